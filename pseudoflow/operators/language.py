@@ -96,8 +96,12 @@ def detect_language(df: DataFrame, profiles: DataFrame, text_col: str = "text",
     mapped = map_language_code(raw)
     fallback = F.struct(F.lit("unknown").alias("detected"), F.lit("fallback").alias("source"),
                         F.lit(None).cast("string").alias("raw"), F.lit(None).cast("double").alias("confidence"))
+    def result(detected, source, r, c):
+        return F.struct(detected.cast("string").alias("detected"), F.lit(source).alias("source"),
+                        r.cast("string").alias("raw"), c.cast("double").alias("confidence"))
+
     res = (F.when(F.col("_short") | best.isNull() | (raw == "und"), fallback)
-           .when(mapped.isNull(), F.struct(F.lit("unknown"), F.lit("text"), raw, conf))
-           .when(conf < MIN_CONFIDENCE, F.struct(F.lit("unknown"), F.lit("fallback"), raw, conf))
-           .otherwise(F.struct(mapped, F.lit("text"), raw, conf)))
+           .when(mapped.isNull(), result(F.lit("unknown"), "text", raw, conf))
+           .when(conf < MIN_CONFIDENCE, result(F.lit("unknown"), "fallback", raw, conf))
+           .otherwise(result(mapped, "text", raw, conf)))
     return out.select(key_col, res.alias("r")).select(key_col, "r.*")

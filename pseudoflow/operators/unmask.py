@@ -105,11 +105,12 @@ def token_shaped_inputs(df: DataFrame, text_col: str = "text") -> DataFrame:
         .filter(F.col("token_like_count") > 0)
 
 
-def mask_response(masked: DataFrame, auto_unmask: bool = False) -> DataFrame:
+def mask_response(masked: DataFrame, auto_unmask: bool = False, key_cols=()) -> DataFrame:
     """Service-style response rows; the warning appears only while the extractor warms up."""
-    warn = F.when(F.col("ner_status") == "warming_up", F.lit(NER_WARNING_WARMING_UP))
-    out = masked.select("session_id", "masked_text", F.lit(auto_unmask).alias("auto_unmask"),
-                        F.coalesce("ner_status", F.lit("disabled")).alias("ner_status"), warn.alias("ner_warning"))
+    status = F.coalesce(F.col("ner_status"), F.lit("disabled")) if "ner_status" in masked.columns else F.lit("disabled")
+    warn = F.when(status == "warming_up", F.lit(NER_WARNING_WARMING_UP))
+    out = masked.select(*key_cols, "session_id", "masked_text", F.lit(auto_unmask).alias("auto_unmask"),
+                        status.alias("ner_status"), warn.cast("string").alias("ner_warning"))
     return out.withColumn("response_json", F.to_json(F.struct("session_id", "masked_text", "auto_unmask",
                                                                "ner_status", "ner_warning")))
 

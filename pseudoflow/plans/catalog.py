@@ -174,3 +174,365 @@ SELECT doc_id, sentence_no, sentence FROM (
     FROM (SELECT doc_id, text, regexp_extract_all(text, {O.q(_SENT_RE2)}) AS x FROM documents) a) b) c""")
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.split_sentences(read_table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- D1 over a whole pack
+
+@register("detect_all_en", "\nUNION ALL\n".join(
+    f"SELECT doc_id, '{r.rule_id}' AS rule_id, hit_no, value, valid FROM ({O.detect_sql(_source_sql('documents'), 'doc_id', 'text', r)}) x{k}"
+    for k, r in enumerate(PACKS["en"])))
+def detect_all_en(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 with the English pack, all rules in one scan of the table."""
+    return D.detect(read_table(spark, sf_dir, "documents"), PACKS["en"]).select("doc_id", "rule_id", "hit_no", "value", "valid")
+
+
+# ---------------------------------------------------------------- D2: spans actually masked
+
+def _seq_spans_sql() -> str:
+    alt = "|".join(f"(?:{O.re2_of(r)})" for r in PACKS["en"])
+    cls = O._classify(PACKS["en"], "hit")
+    tag = O._case(PACKS["en"], "rk", lambda r: O.q(r.tag))
+    ok = O._case(PACKS["en"], "rk", lambda r: O.valid_sql(r, "hit"))
+    return f"""
+WITH parts AS (SELECT doc_id, regexp_extract_all(text, {O.q(alt)}) AS h, regexp_split_to_array(text, {O.q(alt)}) AS p FROM documents),
+hits AS (SELECT doc_id, h, p, generate_subscripts(h, 1) AS i, unnest(h) AS hit FROM parts),
+cls AS (SELECT *, {cls} AS rk FROM hits)
+SELECT doc_id, CAST(list_sum(list_transform(p[1:i], lambda x: length(x)))
+       + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0) AS INTEGER) AS start,
+       {tag} AS tag, hit AS value
+FROM cls WHERE coalesce({ok}, false)"""
+
+
+@register("detect_sequential", _seq_spans_sql())
+def detect_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    segd = M.segment(docs, options=MaskOptions(lang="en", engines="regex"))
+    return D.detect_sequential(segd).select("doc_id", "start", "tag", "value")
+
+
+# ---------------------------------------------------------------- D3 / S2 / S3
+
+_REPORT_RULES = [*PACKS["en"], rule_by_id("global.ipv4")]
+
+
+@register("pii_report_by_source", f"""
+WITH spans AS ({" UNION ALL ".join(
+    f"SELECT doc_id, '{r.tag}' AS tag, value, valid FROM ({O.detect_sql(_source_sql('documents'), 'doc_id', 'text', r)}) y{k}"
+    for k, r in enumerate(_REPORT_RULES))})
+SELECT d.source, s.tag, count(*) FILTER (WHERE s.valid) AS hits,
+       count(DISTINCT s.value) FILTER (WHERE s.valid) AS distinct_values,
+       count(*) FILTER (WHERE NOT s.valid) AS rejected,
+       count(DISTINCT s.doc_id) FILTER (WHERE s.valid) AS documents
+FROM spans s JOIN documents d ON s.doc_id = d.doc_id GROUP BY d.source, s.tag""")
+def pii_report_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pseudoflow.operators.report import pii_report
+    docs = read_table(spark, sf_dir, "documents")
+    spans = D.detect(docs, _REPORT_RULES)
+    return pii_report(spans, docs, ["source"])
+
+
+def _rules_by_level_sql() -> str:
+    from pseudoflow.functions.rules import RULES
+    vals = ", ".join(f"('{lv}', '{r.rule_id}', '{r.tag}')" for r in RULES for lv in r.levels)
+    counts = " UNION ALL ".join(
+        f"SELECT '{r.rule_id}' AS rule_id, count(*) FILTER (WHERE valid) AS hits FROM ({O.detect_sql(_source_sql('documents'), 'doc_id', 'text', r)}) z{k}"
+        for k, r in enumerate(RULES))
+    return f"""
+SELECT c.level, c.rule_id, c.tag, CAST(coalesce(h.hits, 0) AS BIGINT) AS hits
+FROM (VALUES {vals}) c(level, rule_id, tag) LEFT JOIN ({counts}) h ON c.rule_id = h.rule_id"""
+
+
+@register("rules_by_level", _rules_by_level_sql())
+def rules_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue (a 15-row dimension, broadcast) with accepted hits per rule on documents."""
+    from pseudoflow.functions.rules import RULES, rule_catalog
+    docs = read_table(spark, sf_dir, "documents")
+    hits = D.detect(docs, list(RULES)).groupBy("rule_id").agg(F.count(F.when(F.col("valid"), 1)).alias("hits"))
+    cat = rule_catalog(spark).select("rule_id", "tag", F.explode("levels").alias("level"))
+    return F.broadcast(cat).join(hits, "rule_id", "left") \
+        .select("level", "rule_id", "tag", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
+
+
+# ---------------------------------------------------------------- C2: chunks
+
+def _chunks_sql(max_len: int = C.DEFAULT_MAX_LEN) -> str:
+    init = ("{'chunks': []::VARCHAR[], 'cur': '', 'cur_len': 0::BIGINT, 'last': '', 'last_len': 0::BIGINT}")
+    step = (f"CASE WHEN acc.cur_len + length(sx) > {max_len} AND acc.cur_len > 0 THEN "
+            "{'chunks': list_append(acc.chunks, acc.cur), 'cur': acc.last || sx, 'cur_len': acc.last_len + length(sx), "
+            "'last': sx, 'last_len': length(sx)} ELSE "
+            "{'chunks': acc.chunks, 'cur': acc.cur || sx, 'cur_len': acc.cur_len + length(sx), "
+            "'last': sx, 'last_len': length(sx)} END")
+    return f"""
+WITH s AS (
+  SELECT doc_id, text, CASE WHEN len(x) = 0 THEN [text] ELSE x END AS sents
+  FROM (SELECT doc_id, text, regexp_extract_all(text, {O.q(_SENT_RE2)}) AS x FROM documents) a),
+f AS (SELECT doc_id, text, list_reduce(sents, lambda acc, sx: {step}, {init}) AS acc FROM s),
+c AS (SELECT doc_id, CASE WHEN length(text) = 0 THEN [''] WHEN acc.cur_len > 0 THEN list_append(acc.chunks, acc.cur)
+                          ELSE acc.chunks END AS chunks FROM f)
+SELECT doc_id, generate_subscripts(chunks, 1) - 1 AS chunk_no, unnest(chunks) AS chunk FROM c"""
+
+
+@register("chunks", _chunks_sql())
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.chunk_documents(read_table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- M2: literals in sessions
+
+# Fixed parameters of this query: two case-insensitive literals that cannot overlap each other.
+CONV_LITERALS = ("que", "vi")
+
+
+def _literal_rules():
+    from pseudoflow.functions.rules import Rule
+    ordered = sorted(CONV_LITERALS, key=lambda x: -len(x))
+    return [Rule(f"literal.{i}", "CUSTOM", lit, None, (), "literal", flags="i") for i, lit in enumerate(ordered)]
+
+
+_CONV_SRC = "SELECT conv_id * 100000 + turn AS msg_id, CAST(conv_id AS VARCHAR) AS sid, turn, text FROM conversations"
+
+
+@register("custom_literals_conversations", O.session_cte_sql(
+    _CONV_SRC, "msg_id", "text", {"any": _literal_rules()}, "'any'", "sid", "turn")
+    + "\nSELECT k AS msg_id, masked_text FROM masked")
+def custom_literals_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 + T1: literals masked everywhere, numbered per conversation in turn order."""
+    conv = read_table(spark, sf_dir, "conversations") \
+        .select((F.col("conv_id") * 100000 + F.col("turn")).alias("msg_id"),
+                F.col("conv_id").cast("string").alias("sid"), "turn", "text")
+    res = M.mask_sessions(conv, "text", "msg_id", session_col="sid", order_col="turn",
+                          options=MaskOptions(engines="llm", custom_literals=CONV_LITERALS))
+    return res.masked.select("msg_id", "masked_text")
+
+
+# ---------------------------------------------------------------- M3/M4/N5: entities
+
+_ENT_SQL = f"""
+SELECT m.doc_id, replace(m.masked_text, c.c_name, '[PERSON:1]') AS masked_text
+FROM ({O.mask_rows_sql(NOTES_SQL, "doc_id", "text", {"pl": PACKS["pl"], "en": PACKS["en"]}, "lang")}) m
+JOIN customer c ON m.doc_id = c.c_custkey"""
+
+
+def _note_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity table standing in for an extractor: the customer's name (PERSON) and nation (ORG)."""
+    cust = read_table(spark, sf_dir, "customer")
+    nation = read_table(spark, sf_dir, "nation")
+    person = cust.select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("chunk_no"), F.lit(0).alias("entity_no"),
+                         F.lit("PERSON").alias("type"), F.col("c_name").alias("value"))
+    org = cust.join(F.broadcast(nation.select("n_nationkey", "n_name")), cust.c_nationkey == nation.n_nationkey) \
+        .select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("chunk_no"), F.lit(1).alias("entity_no"),
+                F.lit("ORG").alias("type"), F.col("n_name").alias("value"))
+    return person.unionByName(org)
+
+
+@register("entity_masking", _ENT_SQL)
+def entity_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3/M4 hybrid: rules, then entities longest first; entities absent from the text get no token."""
+    res = M.pseudonymize(pii_notes(spark, sf_dir), MaskOptions(engines="hybrid"), entities=_note_entities(spark, sf_dir),
+                         lang_col="lang")
+    return res.masked.select("doc_id", "masked_text")
+
+
+@register("dictionary_entities", f"""
+SELECT n.doc_id, g.type, g.value FROM ({NOTES_SQL}) n
+JOIN (SELECT 'PERSON' AS type, c_name AS value FROM customer UNION SELECT 'ORG', n_name FROM nation) g
+  ON contains(n.text, g.value)""")
+def dictionary_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gazetteer of customer names and nation names matched by containment."""
+    from pseudoflow.operators.entities import dictionary_entities as dict_ents
+    gaz = read_table(spark, sf_dir, "customer").select(F.lit("PERSON").alias("type"), F.col("c_name").alias("value")) \
+        .unionByName(read_table(spark, sf_dir, "nation").select(F.lit("ORG").alias("type"), F.col("n_name").alias("value")))
+    return dict_ents(pii_notes(spark, sf_dir), gaz).select("doc_id", "type", "value")
+
+
+# ---------------------------------------------------------------- N2 / N3 / N4
+
+_REPLY_SQL = """
+SELECT c_custkey AS doc_id,
+       concat('Found: [{{"type":"PERSON","value":"', c_name, '"}},{{"type":"ORG","value":"', c_mktsegment,
+              '"}},{{"type":"LOC","value":"x"}},{{"type":"PERSON","value":', cast(c_nationkey AS string),
+              '}},{{"type":"ORG","value":"  "}}',
+              CASE WHEN c_custkey % 5 = 0 THEN '' ELSE ']' END, ' end') AS reply
+FROM {customer}"""
+_REPLY_SQL_DUCK = _REPLY_SQL.replace("{customer}", "customer").replace("{{", "{").replace("}}", "}")
+
+_WS_RE2 = O.WS_RE2
+
+
+@register("parse_model_replies", f"""
+WITH r AS ({_REPLY_SQL_DUCK}),
+a AS (SELECT doc_id, regexp_extract(reply, '\\[[\\s\\S]*\\]') AS arr FROM r),
+l AS (SELECT doc_id, CASE WHEN json_valid(arr) AND json_type(arr) = 'ARRAY' THEN json_extract(arr, '$[*]') ELSE [] END AS l FROM a),
+e AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS entity_no, unnest(l) AS e FROM l)
+SELECT doc_id, entity_no, e ->> 'type' AS type, e ->> 'value' AS value FROM e
+WHERE json_type(e) = 'OBJECT' AND (e ->> 'type') IN ('PERSON', 'ORG') AND json_type(e -> 'value') = 'VARCHAR'
+  AND length(regexp_replace(e ->> 'value', '^{_WS_RE2}+|{_WS_RE2}+$', '', 'g')) > 0""")
+def parse_model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pseudoflow.operators.entities import parse_model_replies as parse
+    replies = spark.sql(_REPLY_SQL, customer=read_table(spark, sf_dir, "customer"))
+    return parse(replies).select("doc_id", "entity_no", "type", "value")
+
+
+@register("merge_entities", """
+WITH e AS (
+  SELECT o.o_custkey AS doc_id, o.o_orderkey AS chunk_no, 0 AS entity_no, 'PERSON' AS type, c.c_name AS value
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+  UNION ALL
+  SELECT o_custkey, o_orderkey, 1, 'ORG', o_orderpriority FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type, value ORDER BY chunk_no, entity_no) AS rn FROM e)
+SELECT doc_id, chunk_no, entity_no, type, value FROM r WHERE rn = 1""")
+def merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-chunk entities (one chunk per order) merged per customer at first occurrence."""
+    from pseudoflow.operators.entities import merge_entities as merge
+    orders = read_table(spark, sf_dir, "orders")
+    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    person = orders.join(cust, orders.o_custkey == cust.c_custkey).select(
+        F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("chunk_no"), F.lit(0).alias("entity_no"),
+        F.lit("PERSON").alias("type"), F.col("c_name").alias("value"))
+    org = orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("chunk_no"),
+                        F.lit(1).alias("entity_no"), F.lit("ORG").alias("type"), F.col("o_orderpriority").alias("value"))
+    return merge(person.unionByName(org))
+
+
+@register("ner_status", f"""
+WITH s AS (
+  SELECT doc_id, unnest(CASE WHEN len(x) = 0 THEN [text] ELSE x END) AS sentence
+  FROM (SELECT doc_id, text, regexp_extract_all(text, {O.q(_SENT_RE2)}) AS x FROM documents) a)
+SELECT doc_id, CASE WHEN bool_or(length(sentence) <= 200) THEN 'ready'
+                    WHEN bool_or(length(sentence) > 400) THEN 'warming_up' ELSE 'disabled' END AS ner_status
+FROM s GROUP BY doc_id""")
+def ner_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N4 over per-sentence call outcomes: short sentences succeed, very long ones time out."""
+    from pseudoflow.operators.entities import ner_status as status
+    sents = C.split_sentences(read_table(spark, sf_dir, "documents"))
+    results = sents.select("doc_id", F.col("sentence_no").alias("chunk_no"),
+                           (F.length("sentence") <= 200).alias("ok"), (F.length("sentence") > 400).alias("timeout"))
+    return status(results)
+
+
+# ---------------------------------------------------------------- L1-L3
+
+def _lang_norm_sql(src: str, key: str) -> str:
+    return (f"SELECT {key}, ' ' || trim(regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g')) || ' ' AS t FROM ({src}) s")
+
+
+def _gram_sql(src: str, key: str) -> str:
+    return f"""
+SELECT {key}, gram, count(*) AS cnt FROM (
+  SELECT {key}, substr(t, i, 3) AS gram FROM (
+    SELECT {key}, t, unnest(range(1, length(t) - 1)) AS i FROM ({_lang_norm_sql(src, key)}) n WHERE length(t) >= 3) u) g
+GROUP BY {key}, gram"""
+
+
+def _iso3_case(col: str) -> str:
+    from pseudoflow.operators.language import ISO3
+    return "CASE " + " ".join(f"WHEN {col} = '{a}' THEN '{b}'" for a, b in ISO3.items()) + f" ELSE {col} END"
+
+
+_PROFILES_SQL = f"""
+SELECT code, gram, rank FROM (
+  SELECT code, gram, row_number() OVER (PARTITION BY code ORDER BY cnt DESC, gram) AS rank
+  FROM ({_gram_sql(f"SELECT {_iso3_case('lang')} AS code, text FROM documents WHERE lang IS NOT NULL", "code")}) c) r
+WHERE rank <= 300"""
+
+
+@register("language_profiles", _PROFILES_SQL)
+def language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pseudoflow.operators.language import train_language_profiles
+    return train_language_profiles(read_table(spark, sf_dir, "documents"))
+
+
+@register("detect_language", f"""
+WITH prof AS ({_PROFILES_SQL}),
+docs AS (SELECT doc_id, text, length(regexp_replace(text, '^{_WS_RE2}+|{_WS_RE2}+$', '', 'g')) AS n_chars FROM documents),
+g AS ({_gram_sql("SELECT doc_id, text FROM docs WHERE n_chars >= 20", "doc_id")}),
+dr AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, gram) AS drank FROM g),
+dt AS (SELECT doc_id, gram, drank FROM dr WHERE drank <= 300),
+nd AS (SELECT doc_id, count(*) AS n_doc FROM dt GROUP BY doc_id),
+codes AS (SELECT DISTINCT code FROM prof),
+hit AS (SELECT dt.doc_id, p.code, sum(abs(dt.drank - p.rank)) AS near, count(*) AS n_hit
+        FROM dt JOIN prof p ON dt.gram = p.gram GROUP BY dt.doc_id, p.code),
+dist AS (SELECT nd.doc_id, c.code, coalesce(h.near, 0) + (nd.n_doc - coalesce(h.n_hit, 0)) * 300 AS d
+         FROM nd CROSS JOIN codes c LEFT JOIN hit h ON h.doc_id = nd.doc_id AND h.code = c.code),
+best AS (SELECT doc_id, code, d, row_number() OVER (PARTITION BY doc_id ORDER BY d, code) AS r,
+                min(d) OVER (PARTITION BY doc_id) AS dmin FROM dist),
+top AS (SELECT b.doc_id, b.code, CASE WHEN docs.n_chars * 300 - b.dmin > 0
+                THEN round(1 - (b.d - b.dmin) / (docs.n_chars * 300 - b.dmin), 6) ELSE 0.0 END AS score
+        FROM best b JOIN docs ON b.doc_id = docs.doc_id WHERE b.r = 1)
+SELECT d.doc_id,
+  CASE WHEN d.n_chars < 20 OR t.code IS NULL THEN 'unknown' WHEN t.code NOT IN ('pol', 'eng') THEN 'unknown'
+       WHEN t.score < 0.5 THEN 'unknown' WHEN t.code = 'pol' THEN 'pl' ELSE 'en' END AS detected,
+  CASE WHEN d.n_chars < 20 OR t.code IS NULL THEN 'fallback' WHEN t.code NOT IN ('pol', 'eng') THEN 'text'
+       WHEN t.score < 0.5 THEN 'fallback' ELSE 'text' END AS source,
+  CASE WHEN d.n_chars < 20 THEN NULL ELSE t.code END AS raw,
+  CASE WHEN d.n_chars < 20 THEN NULL ELSE t.score END AS confidence
+FROM docs d LEFT JOIN top t ON d.doc_id = t.doc_id""")
+def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pseudoflow.operators.language import detect_language as detect_lang, train_language_profiles
+    docs = read_table(spark, sf_dir, "documents")
+    return detect_lang(docs.select("doc_id", "text"), train_language_profiles(docs))
+
+
+# ---------------------------------------------------------------- U3 / U7 / T3 / T6 / M6
+
+@register("mask_response", _SESSION_CTE + """
+SELECT n.doc_id, n.session_id, m.masked_text, false AS auto_unmask, 'disabled' AS ner_status,
+       CAST(NULL AS VARCHAR) AS ner_warning
+FROM masked m JOIN (""" + NOTES_SQL + ") n ON m.k = n.doc_id")
+def mask_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = M.pseudonymize(pii_notes(spark, sf_dir), MaskOptions(engines="regex"), session_col="session_id",
+                         order_col="call_seq", lang_col="lang")
+    return U.mask_response(res.masked, auto_unmask=False, key_cols=("doc_id",)).drop("response_json")
+
+
+@register("unknown_session", f"""
+SELECT n.doc_id,
+  CASE WHEN nat.n_regionkey = 0 THEN 'Error: session "' || n.session_id || '" not found. It may have expired or never existed.'
+       ELSE n.text END AS text,
+  nat.n_regionkey = 0 AS is_error
+FROM ({NOTES_SQL}) n JOIN customer c ON n.doc_id = c.c_custkey JOIN nation nat ON c.c_nationkey = nat.n_nationkey""")
+def unknown_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T6 + U3: sessions of region-0 nations are cleared; restoring their rows reports the missing session."""
+    from pseudoflow.operators.tokens import clear_sessions
+    res = _notes_sessions(spark, sf_dir)
+    nation = read_table(spark, sf_dir, "nation")
+    cleared = nation.filter(F.col("n_regionkey") == 0).select(
+        F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("session_id"))
+    mapping = clear_sessions(res.mapping, cleared)
+    return U.unmask_checked(res.masked, mapping, "masked_text", "doc_id").select("doc_id", "text", "is_error")
+
+
+_EXT_SRC = f"SELECT n.*, c.c_mktsegment FROM ({NOTES_SQL}) n JOIN customer c ON n.doc_id = c.c_custkey"
+
+
+@register("extend_mapping", O.session_cte_sql(
+    _EXT_SRC, "doc_id", "text", {"pl": PACKS["pl"], "en": PACKS["en"]}, "lang", "session_id", "call_seq",
+    batch_expr="CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 0 ELSE 1 END") + """
+SELECT sid AS session_id, tag, CAST(n AS BIGINT) AS n, '[' || tag || ':' || CAST(n AS VARCHAR) || ']' AS token, core AS value
+FROM snum""")
+def extend_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second batch continues the numbering of the sessions the first batch created."""
+    notes = pii_notes(spark, sf_dir).join(
+        read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), "c_mktsegment"), "doc_id")
+    first = notes.filter(F.col("c_mktsegment") == "AUTOMOBILE")
+    rest = notes.filter(F.col("c_mktsegment").isNull() | (F.col("c_mktsegment") != "AUTOMOBILE"))
+    kw = dict(session_col="session_id", order_col="call_seq", options=MaskOptions(engines="regex"), lang_col="lang")
+    m1 = M.mask_sessions(first, **kw).mapping
+    return M.mask_sessions(rest, existing_mapping=m1, **kw).mapping
+
+
+_PAGES_COLS_SRC = ("SELECT page_id * 10 AS k2, CAST(page_id AS VARCHAR) AS sid, 0 AS cs, url AS text FROM pages "
+                   "UNION ALL SELECT page_id * 10 + 1, CAST(page_id AS VARCHAR), 1, html FROM pages")
+
+
+@register("mask_columns", O.session_cte_sql(
+    _PAGES_COLS_SRC, "k2", "text", {"en": PACKS["en"]}, "'en'", "sid", "cs") + """
+SELECT CAST(k // 10 AS VARCHAR) AS session_id,
+       max(CASE WHEN k % 10 = 0 THEN masked_text END) AS url,
+       max(CASE WHEN k % 10 = 1 THEN masked_text END) AS html
+FROM masked GROUP BY k // 10""")
+def mask_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: url and html of a page share one session; url is the first call."""
+    pages = read_table(spark, sf_dir, "pages")
+    res = M.mask_columns(pages, ["url", "html"], "page_id", options=MaskOptions(lang="en", engines="regex"))
+    return res.masked.select("session_id", "url", "html")
