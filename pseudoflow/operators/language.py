@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pseudoflow.operators.segments import trim_js
+from pseudoflow.session import materialize
 
 # Decision constants and the code map of supported packs.
 MIN_TEXT_LENGTH = 20
@@ -29,7 +30,8 @@ def normalized(text: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, 3))
+    """Every (overlapping) 3-character window, in one regex pass (zero-width look-ahead match)."""
+    return F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1))
 
 
 def _gram_counts(df: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -53,25 +55,28 @@ def score_languages(df: DataFrame, profiles: DataFrame, text_col: str = "text",
 
     distance = sum over the document's top-k trigrams of |rank difference|, or top_k when the
     profile lacks the trigram; score = 1 - (d - d_min) / (len(text) * top_k - d_min).
+    One pass over the documents: trigram counts -> per-document rank window -> broadcast join
+    with the (bounded) profiles -> one aggregate per document.
     """
+    profiles = materialize(profiles.select("code", "gram", "rank"))
     codes = [r[0] for r in profiles.select("code").distinct().orderBy("code").collect()]  # a handful of labels
-    doc = _gram_counts(df, key_col, text_col)
+    norm = df.select(key_col, F.length(trim_js(F.col(text_col))).alias("n_chars"),
+                     normalized(F.col(text_col)).alias("t")).filter(F.length("t") >= 3)
+    grams = norm.select(key_col, "n_chars", F.explode(trigrams(F.col("t"))).alias("gram")) \
+        .groupBy(key_col, "n_chars", "gram").count()
     w = Window.partitionBy(key_col).orderBy(F.col("count").desc(), F.col("gram"))
-    doc = doc.withColumn("drank", F.row_number().over(w)).filter(F.col("drank") <= top_k)
-    n_doc = doc.groupBy(key_col).agg(F.count("*").alias("n_doc"))
-    hits = doc.join(F.broadcast(profiles), "gram") \
-        .groupBy(key_col, "code").agg(F.sum(F.abs(F.col("drank") - F.col("rank"))).alias("near"),
-                                      F.count("*").alias("n_hit"))
-    per_doc = hits.groupBy(key_col).agg(F.map_from_entries(F.collect_list(
-        F.struct("code", F.struct("near", "n_hit")))).alias("m"))
-    lens = df.select(key_col, F.length(trim_js(F.col(text_col))).alias("n_chars"))
-    base = n_doc.join(per_doc, key_col, "left").join(lens, key_col)
+    top = grams.withColumn("drank", F.row_number().over(w)).filter(F.col("drank") <= top_k)
+    joined = top.join(F.broadcast(profiles), "gram", "left")
+    near = F.when(F.col("code").isNotNull(), F.struct(F.col("code"), F.abs(F.col("drank") - F.col("rank")).alias("d")))
+    per_doc = joined.groupBy(key_col).agg(
+        F.max("n_chars").alias("n_chars"), F.count_distinct("gram").alias("n_doc"),
+        F.collect_list(near).alias("pairs"))
     dist = F.array(*[
-        F.struct(F.lit(c).alias("code"),
-                 (F.coalesce(F.col("m")[c]["near"], F.lit(0))
-                  + (F.col("n_doc") - F.coalesce(F.col("m")[c]["n_hit"], F.lit(0))) * top_k).cast("long").alias("distance"))
+        F.struct(F.lit(c).alias("code"), (
+            F.aggregate(F.filter("pairs", lambda x: x["code"] == c), F.lit(0).cast("long"), lambda a, x: a + x["d"])
+            + (F.col("n_doc") - F.size(F.filter("pairs", lambda x: x["code"] == c))) * top_k).cast("long").alias("distance"))
         for c in codes])
-    ranked = base.withColumn("d", F.array_sort(F.transform(dist, lambda x: F.struct(x["distance"].alias("distance"), x["code"].alias("code")))))
+    ranked = per_doc.withColumn("d", F.array_sort(F.transform(dist, lambda x: F.struct(x["distance"].alias("distance"), x["code"].alias("code")))))
     dmin = F.get(F.col("d"), 0)["distance"]
     denom = F.col("n_chars") * top_k - dmin
     scores = F.transform("d", lambda x: F.struct(
