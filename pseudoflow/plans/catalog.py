@@ -536,3 +536,41 @@ def mask_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     res = M.mask_columns(pages, ["url", "html"], "page_id", options=MaskOptions(lang="en", engines="regex"))
     return res.masked.select("session_id", "url", "html")
+
+
+# ---------------------------------------------------------------- ST2: sessions over a stream
+
+@register("stream_literals_conversations", ORACLE["custom_literals_conversations"])
+def stream_literals_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST2: the literal masking of conversations, fed as a file stream in three turn slices.
+
+    Spark writes the slices (hash-partitioned by conversation, so a conversation's rows of one
+    slice share a file) into the checkpoint folder; the stream reads the files oldest first and
+    the session sink continues each conversation's numbering across batches.  The result must
+    equal the batch query.
+    """
+    import time
+    import uuid
+
+    from pseudoflow.session import ensure_checkpoint_dir
+    from pseudoflow.streaming import SessionMaskSink, read_batches, run_available
+
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    conv = read_table(spark, sf_dir, "conversations") \
+        .select((F.col("conv_id") * 100000 + F.col("turn")).alias("msg_id"),
+                F.col("conv_id").cast("string").alias("sid"), "turn", "text")
+    parts = max(2, spark.sparkContext.defaultParallelism)
+    for lo, hi in ((None, 2), (2, 4), (4, None)):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (F.col("turn") >= lo)
+        if hi is not None:
+            cond = cond & (F.col("turn") < hi)
+        conv.filter(cond).repartition(parts, "sid").write.mode("append").parquet(f"{base}/in")
+        time.sleep(1.1)  # later slices get strictly later file times
+    # batches take files oldest first, so every batch respects the slice (turn) order
+    stream = spark.readStream.schema(conv.schema).option("maxFilesPerTrigger", parts).parquet(f"{base}/in")
+    sink = SessionMaskSink(f"{base}/mapping", f"{base}/masked", "text", "msg_id", session_col="sid", order_col="turn",
+                           options=MaskOptions(engines="llm", custom_literals=CONV_LITERALS))
+    run_available(stream, sink, f"{base}/ckpt")
+    return read_batches(spark, f"{base}/masked").select("msg_id", "masked_text")
