@@ -574,3 +574,108 @@ def stream_literals_conversations(spark: SparkSession, sf_dir: str) -> DataFrame
                            options=MaskOptions(engines="llm", custom_literals=CONV_LITERALS))
     run_available(stream, sink, f"{base}/ckpt")
     return read_batches(spark, f"{base}/masked").select("msg_id", "masked_text")
+
+
+# ---------------------------------------------------------------- N1: extractor over ordered chunks
+
+# Fixed parameter of this query's stand-in extractor: capitalised ASCII words of 8+ letters are ORG.
+_CAP_WORD = r"\b[A-Z][a-z]{7,}\b"
+
+
+def _cap_word_extractor(chunk: str, known: list) -> list:
+    import re
+    return [{"type": "ORG", "value": w} for w in re.findall(_CAP_WORD, chunk, flags=re.ASCII)]
+
+
+_EXTRACT_SQL = (
+    "SELECT doc_id, chunk_no, entity_no, type, value FROM ("
+    " SELECT doc_id, chunk_no, generate_subscripts(e, 1) - 1 AS entity_no, 'ORG' AS type, unnest(e) AS value FROM ("
+    f"  SELECT doc_id, chunk_no, regexp_extract_all(chunk, {O.q(_CAP_WORD)}) AS e FROM ({_chunks_sql()}) ch) w) z")
+
+
+@register("extract_entities_chunks", _EXTRACT_SQL)
+def extract_entities_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python extractor called per chunk (800 chars, one-sentence overlap), chunks in order."""
+    from pseudoflow.operators.entities import entities_of, extract_entities
+    res = extract_entities(read_table(spark, sf_dir, "documents"), _cap_word_extractor)
+    return entities_of(res).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+# ---------------------------------------------------------------- T4 / T7 / U6
+
+_TOKEN_RE = r"\[[A-Z_]+:\d+\]"
+
+
+@register("lookup_tokens", _SESSION_CTE + f""",
+notes AS ({NOTES_SQL}),
+toks AS (SELECT DISTINCT n.session_id, unnest(regexp_extract_all(m.masked_text, {O.q(_TOKEN_RE)})) AS token
+         FROM masked m JOIN notes n ON m.k = n.doc_id
+         UNION SELECT DISTINCT session_id, '[SSN:999999]' FROM notes)
+SELECT t.session_id, t.token, s.core AS value
+FROM toks t LEFT JOIN snum s ON t.session_id = s.sid AND t.token = '[' || s.tag || ':' || CAST(s.n AS VARCHAR) || ']'""")
+def lookup_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: every token found in the masked notes plus one unknown token per session -> value (or NULL)."""
+    from pseudoflow.operators.tokens import lookup_tokens as lookup
+    res = _notes_sessions(spark, sf_dir)
+    found = res.masked.select("session_id", F.explode(F.regexp_extract_all("masked_text", F.lit(_TOKEN_RE), F.lit(0))).alias("token"))
+    unknown = res.masked.select("session_id", F.lit("[SSN:999999]").alias("token"))
+    return lookup(res.mapping, found.unionByName(unknown).distinct()).select("session_id", "token", "value")
+
+
+@register("row_session_ids", f"""
+SELECT doc_id, sha256('run' || chr(0) || CAST(doc_id AS VARCHAR)) AS session_id FROM documents""")
+def row_session_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deterministic session id per row when none is given (masked and mapping outputs agree)."""
+    res = M.mask_rows(read_table(spark, sf_dir, "documents"), options=MaskOptions(lang="en", engines="regex"))
+    return res.masked.select("doc_id", "session_id")
+
+
+@register("protected_apply", f"SELECT doc_id, 'Summary: ' || text AS result_text FROM ({NOTES_SQL}) n")
+def protected_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mask -> a transform that only sees masked text -> restore."""
+    out = U.protected_apply(pii_notes(spark, sf_dir),
+                            lambda d: d.withColumn("masked_text", F.concat(F.lit("Summary: "), "masked_text")),
+                            MaskOptions(engines="regex"), session_col="session_id", order_col="call_seq", lang_col="lang")
+    return out.select("doc_id", "result_text")
+
+
+# ---------------------------------------------------------------- D1 with offsets, D3 rollup, L2 scores
+
+@register("detect_email_offsets", f"""
+WITH p AS (SELECT doc_id, regexp_extract_all(text, {O.q(O.re2_of(rule_by_id('global.email')))}) AS h,
+                  regexp_split_to_array(text, {O.q(O.re2_of(rule_by_id('global.email')))}) AS g FROM documents),
+x AS (SELECT doc_id, h, g, generate_subscripts(h, 1) AS i FROM p)
+SELECT doc_id, i - 1 AS hit_no, h[i] AS value,
+       CAST(list_sum(list_transform(g[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(h[1:i-1], lambda s: length(s))), 0) AS INTEGER) AS start,
+       CAST(list_sum(list_transform(g[1:i], lambda s: length(s))) + list_sum(list_transform(h[1:i], lambda s: length(s))) AS INTEGER) AS "end"
+FROM x""")
+def detect_email_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = D.detect(read_table(spark, sf_dir, "documents"), [rule_by_id("global.email")], with_offsets=True)
+    return spans.select("doc_id", "hit_no", "value", "start", "end")
+
+
+@register("pii_report_rollup", ORACLE["pii_report_by_source"].replace(
+    "GROUP BY d.source, s.tag", "GROUP BY ROLLUP (d.source, s.tag)"))
+def pii_report_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3 with subtotals per source and a grand total (rollup)."""
+    from pseudoflow.operators.report import pii_report
+    docs = read_table(spark, sf_dir, "documents")
+    return pii_report(D.detect(docs, _REPORT_RULES), docs, ["source"], rollup=True)
+
+
+_LANG_ORACLE = ORACLE["detect_language"]
+_SCORES_SQL = _LANG_ORACLE[:_LANG_ORACLE.index("top AS (")] + """scored AS (SELECT b.doc_id, b.code, CAST(b.d AS BIGINT) AS distance,
+       CASE WHEN docs.n_chars * 300 - b.dmin > 0 THEN round(1 - (b.d - b.dmin) / (docs.n_chars * 300 - b.dmin), 6) ELSE 0.0 END AS score
+       FROM best b JOIN docs ON b.doc_id = docs.doc_id)
+SELECT doc_id, code, distance, score FROM scored"""
+
+
+@register("language_scores", _SCORES_SQL)
+def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2: distance and score of every document (20+ characters) against every profile."""
+    from pseudoflow.operators.language import score_languages, train_language_profiles, MIN_TEXT_LENGTH
+    from pseudoflow.operators.segments import trim_js
+    docs = read_table(spark, sf_dir, "documents")
+    src = docs.filter(F.length(trim_js(F.col("text"))) >= MIN_TEXT_LENGTH).select("doc_id", "text")
+    return score_languages(src, train_language_profiles(docs)) \
+        .select("doc_id", F.explode("scores").alias("s")).select("doc_id", "s.code", "s.distance", "s.score")

@@ -98,3 +98,18 @@ def test_language_ladder(spark):
     assert got[1] == ("unknown", "fallback", None) and got[2] == ("unknown", "fallback", None)
     assert got[3] == ("en", "text", "eng") and got[4] == ("pl", "text", "pol")
     assert got[5][0] == "unknown" and got[5][2] is not None
+
+
+def test_leak_check_and_token_shaped_inputs(spark):
+    from pseudoflow.operators import mask as M
+    from pseudoflow.operators.tokens import hits_table
+    from pseudoflow.options import MaskOptions
+
+    df = spark.createDataFrame([(1, "mail a@b.com"), (2, "x4111111111111111 and 4111111111111111"), (3, "see [EMAIL:7]")],
+                               "doc_id int, text string")
+    res = M.mask_rows(df, options=MaskOptions(lang="en", engines="regex"))
+    seg = M.segment(df, options=MaskOptions(lang="en", engines="regex")).withColumn("session_id", F.lit("s"))
+    h = hits_table(seg, "doc_id").withColumnRenamed("_key", "doc_id")
+    leaks = {(r.doc_id, r.leaked_value) for r in U.leak_check(res.masked, h).collect()}
+    assert leaks == {(2, "4111111111111111")}  # the copy glued to a word is not a hit
+    assert [r.doc_id for r in U.token_shaped_inputs(df).collect()] == [3]
