@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,6 +78,19 @@ def _nip_body(digits: Column) -> Column:
 VALIDATORS = {"ssn": ssn_valid, "luhn": luhn_valid, "nip": nip_valid}
 
 
+def python_validator(fn):
+    """Wrap a Python ``str -> bool`` check as an Arrow-batched pandas UDF usable as
+    ``Rule(custom_validator=...)``.  Built-in expressions above are preferred (they stay in the JVM);
+    this is for checks that cannot be written as column expressions.  Note: inside the masking
+    fold a Python UDF cannot run within a lambda, so custom Python validators apply to ``detect``.
+    """
+    @F.pandas_udf("boolean")
+    def _check(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: bool(fn(v)) if v is not None else False)
+
+    return _check
+
+
 # ---------------------------------------------------------------- DuckDB SQL text (oracle)
 
 _RE2_SEP = "[" + WS_BODY["re2"] + r"\-]"

@@ -7,6 +7,8 @@ Profiles are ``languages x top_k`` rows — a bounded table, broadcast into the
 
 from __future__ import annotations
 
+from typing import Optional
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,30 @@ def _gram_counts(df: DataFrame, key: str, text_col: str) -> DataFrame:
     return norm.select(key, F.explode(trigrams(F.col("t"))).alias("gram")).groupBy(key, "gram").count()
 
 
+def gram_counts(df: DataFrame, text_col: str = "text", key_col: str = "doc_id", label_col: Optional[str] = None) -> DataFrame:
+    """Trigram counts per document: key, [label], n_chars, gram, count (one regex pass per text).
+
+    Computing this once lets profile training and scoring share the expensive part.
+    """
+    extra = [label_col] if label_col else []
+    norm = df.select(key_col, *extra, F.length(trim_js(F.col(text_col))).alias("n_chars"),
+                     normalized(F.col(text_col)).alias("t")).filter(F.length("t") >= 3)
+    return norm.select(key_col, *extra, "n_chars", F.explode(trigrams(F.col("t"))).alias("gram")) \
+        .groupBy(key_col, *extra, "n_chars", "gram").count()
+
+
+def _iso3(label: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in ISO3.items() for x in kv])[label], label)
+
+
+def profiles_from_counts(counts: DataFrame, label_col: str = "lang", top_k: int = DEFAULT_TOP_K) -> DataFrame:
+    """L1 from precomputed ``gram_counts(..., label_col=...)``."""
+    per_code = counts.filter(F.col(label_col).isNotNull()).groupBy(_iso3(F.col(label_col)).alias("code"), "gram") \
+        .agg(F.sum("count").alias("count"))
+    w = Window.partitionBy("code").orderBy(F.col("count").desc(), F.col("gram"))
+    return per_code.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k).select("code", "gram", "rank")
+
+
 def train_language_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
                             top_k: int = DEFAULT_TOP_K) -> DataFrame:
     """L1: ``code, gram, rank`` (rank 1 = most frequent; ties by gram)."""
@@ -49,8 +75,8 @@ def train_language_profiles(df: DataFrame, text_col: str = "text", lang_col: str
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k).select("code", "gram", "rank")
 
 
-def score_languages(df: DataFrame, profiles: DataFrame, text_col: str = "text", key_col: str = "doc_id",
-                    top_k: int = DEFAULT_TOP_K) -> DataFrame:
+def score_languages(df: Optional[DataFrame], profiles: DataFrame, text_col: str = "text", key_col: str = "doc_id",
+                    top_k: int = DEFAULT_TOP_K, counts: Optional[DataFrame] = None) -> DataFrame:
     """L2: ``key, scores ARRAY<STRUCT<code, distance, score>>`` best first.
 
     distance = sum over the document's top-k trigrams of |rank difference|, or top_k when the
@@ -60,10 +86,8 @@ def score_languages(df: DataFrame, profiles: DataFrame, text_col: str = "text",
     """
     profiles = materialize(profiles.select("code", "gram", "rank"))
     codes = [r[0] for r in profiles.select("code").distinct().orderBy("code").collect()]  # a handful of labels
-    norm = df.select(key_col, F.length(trim_js(F.col(text_col))).alias("n_chars"),
-                     normalized(F.col(text_col)).alias("t")).filter(F.length("t") >= 3)
-    grams = norm.select(key_col, "n_chars", F.explode(trigrams(F.col("t"))).alias("gram")) \
-        .groupBy(key_col, "n_chars", "gram").count()
+    grams = counts if counts is not None else gram_counts(df, text_col, key_col)
+    grams = grams.select(key_col, "n_chars", "gram", "count")
     w = Window.partitionBy(key_col).orderBy(F.col("count").desc(), F.col("gram"))
     top = grams.withColumn("drank", F.row_number().over(w)).filter(F.col("drank") <= top_k)
     joined = top.join(F.broadcast(profiles), "gram", "left")
@@ -91,10 +115,14 @@ def map_language_code(code: Column) -> Column:
 
 
 def detect_language(df: DataFrame, profiles: DataFrame, text_col: str = "text", key_col: str = "doc_id",
-                    top_k: int = DEFAULT_TOP_K) -> DataFrame:
+                    top_k: int = DEFAULT_TOP_K, counts: Optional[DataFrame] = None) -> DataFrame:
     """L3: ``key, detected, source, raw, confidence`` by the decision ladder."""
     short = F.length(trim_js(F.col(text_col))) < MIN_TEXT_LENGTH
-    scored = score_languages(df.filter(~short), profiles, text_col, key_col, top_k)
+    if counts is not None:
+        scored = score_languages(None, profiles, text_col, key_col, top_k,
+                                 counts=counts.filter(F.col("n_chars") >= MIN_TEXT_LENGTH))
+    else:
+        scored = score_languages(df.filter(~short), profiles, text_col, key_col, top_k)
     out = df.select(key_col, short.alias("_short")).join(scored, key_col, "left")
     best = F.get(F.col("scores"), 0)
     raw, conf = best["code"], best["score"]

@@ -69,15 +69,22 @@ def segment(df: DataFrame, text_col: str = "text", *, options: MaskOptions = Mas
 
 def mask_rows(df: DataFrame, text_col: str = "text", key_col: str = "doc_id", *,
               options: MaskOptions = MaskOptions(engines="regex"), session_col: Optional[str] = None,
-              keep_cols: Sequence[str] = (), **seg_kwargs) -> MaskResult:
-    """Row-local masking (T8): each row is its own session; no shuffle at all."""
+              keep_cols: Sequence[str] = (), persist: bool = False, **seg_kwargs) -> MaskResult:
+    """Row-local masking (T8): each row is its own session; no shuffle at all.
+
+    Masked text and the row's mapping come from one evaluation of the fold; with ``persist`` that
+    row table is checkpointed so that both outputs can be read without recomputing it.
+    """
     seg_df = segment(df, text_col, options=options, **seg_kwargs)
     if session_col is None:
         seg_df = T.with_session_id(seg_df, key_col)
         session_col = "session_id"
-    base = seg_df.select(F.col(key_col), F.col(session_col).alias("session_id"), *keep_cols, "segs")
-    masked = base.select(key_col, "session_id", *keep_cols, S.render_local(F.col("segs")).alias("masked_text"))
-    mapping = base.select("session_id", F.explode(S.local_numbering(F.col("segs"))).alias("m")) \
+    base = seg_df.select(F.col(key_col), F.col(session_col).alias("session_id"), *keep_cols,
+                         S.masked_and_numbering(F.col("segs")).alias("mn"))
+    if persist:
+        base = materialize(base)
+    masked = base.select(key_col, "session_id", *keep_cols, F.col("mn.masked_text").alias("masked_text"))
+    mapping = base.select("session_id", F.explode("mn.numbered").alias("m")) \
         .select("session_id", F.col("m.tag").alias("tag"), F.col("m.n").alias("n"), F.col("m.txt").alias("value"))
     mapping = mapping.select("session_id", "tag", "n", S.token_text(F.col("tag"), F.col("n")).alias("token"), "value")
     return MaskResult(masked, mapping)

@@ -210,19 +210,28 @@ def value_key(tag: Column, txt: Column) -> Column:
     return F.concat(tag, F.lit(KEY_SEP), txt)
 
 
-def render_local(segs: Column) -> Column:
-    """Masked text with row-local tokens."""
+def _render(segs: Column, numbered: Column) -> Column:
+    tokmap = F.map_from_entries(F.transform(numbered, lambda x: F.struct(
+        value_key(x["tag"], x["txt"]).alias("key"), token_text(x["tag"], x["n"]).alias("value"))))
+    return let({"segs": segs, "tokmap": tokmap}, lambda w: F.array_join(F.transform(
+        w["segs"], lambda s: F.when(s["tag"].isNull(), s["txt"])
+        .otherwise(F.element_at(w["tokmap"], value_key(s["tag"], s["txt"])))), ""))
+
+
+def masked_and_numbering(segs: Column) -> Column:
+    """``struct<masked_text, numbered>`` from one evaluation of ``segs`` (row-local tokens)."""
 
-    def body(v: Column) -> Column:
-        segs_v, numbered = v["segs"], v["numbered"]
-        tokmap = F.map_from_entries(F.transform(numbered, lambda x: F.struct(
-            value_key(x["tag"], x["txt"]).alias("key"), token_text(x["tag"], x["n"]).alias("value"))))
-        return let({"segs": segs_v, "tokmap": tokmap}, lambda w: F.array_join(F.transform(
-            w["segs"], lambda s: F.when(s["tag"].isNull(), s["txt"])
-            .otherwise(F.element_at(w["tokmap"], value_key(s["tag"], s["txt"])))), ""))
+    def body(w: Column) -> Column:
+        return F.struct(F.when(w["segs"].isNull(), F.lit(None).cast("string"))
+                        .otherwise(_render(w["segs"], w["numbered"])).alias("masked_text"),
+                        w["numbered"].alias("numbered"))
 
-    return F.when(segs.isNull(), F.lit(None).cast("string")).otherwise(
-        let({"segs": segs}, lambda v: let({"segs": v["segs"], "numbered": local_numbering(v["segs"])}, body)))
+    return let({"segs": segs}, lambda v: let({"segs": v["segs"], "numbered": local_numbering(v["segs"])}, body))
+
+
+def render_local(segs: Column) -> Column:
+    """Masked text with row-local tokens."""
+    return masked_and_numbering(segs)["masked_text"]
 
 
 def render_with(segs: Column, tokens_by_idx: Column) -> Column:

@@ -158,7 +158,8 @@ def unmask_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("unmask_documents", "SELECT doc_id, text AS restored_text FROM documents")
 def unmask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U1/U2 on row-local sessions: every document restores to its input."""
-    res = M.mask_rows(read_table(spark, sf_dir, "documents"), options=MaskOptions(lang="en", engines="regex"))
+    res = M.mask_rows(read_table(spark, sf_dir, "documents"), options=MaskOptions(lang="en", engines="regex"),
+                      persist=True)
     return U.unmask(res.masked, res.mapping, "masked_text", "doc_id").select("doc_id", "restored_text")
 
 
@@ -470,6 +471,7 @@ FROM docs d LEFT JOIN top t ON d.doc_id = t.doc_id""")
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pseudoflow.operators.language import detect_language as detect_lang, train_language_profiles
     docs = read_table(spark, sf_dir, "documents")
+    # recounting trigrams for scoring is cheaper here than checkpointing ~10M (document, trigram) rows
     return detect_lang(docs.select("doc_id", "text"), train_language_profiles(docs))
 
 
