@@ -56,11 +56,13 @@ def _run_document(key: str, chunks: list, extractor: Extractor) -> list[tuple]:
 
 
 def extract_entities(df: DataFrame, extractor: Extractor, text_col: str = "text", key_col: str = "doc_id",
-                     max_len: int = DEFAULT_MAX_LEN) -> DataFrame:
+                     max_len: int = DEFAULT_MAX_LEN, persist: bool = True) -> DataFrame:
     """Returns rows of kind 'chunk' (ok / timeout / error) and 'entity' (type, value).
 
     The extractor is ``(chunk_text, known_entities) -> iterable of {"type", "value"}``; it must carry
-    its own time limit and raise ``TimeoutError`` on expiry.
+    its own time limit and raise ``TimeoutError`` on expiry.  The result feeds both the entity list
+    and the status, so it is checkpointed (``persist``): the extractor is never called twice for a
+    chunk, and a lost executor does not repeat finished model calls.
     """
     src = df.select(F.col(key_col).cast("string").alias("doc_key"), chunks_expr(F.col(text_col), max_len).alias("chunks"))
 
@@ -72,7 +74,11 @@ def extract_entities(df: DataFrame, extractor: Extractor, text_col: str = "text"
                 out.extend(_run_document(key, list(chunks) if chunks is not None else [], extractor))
             yield pd.DataFrame(out, columns=cols)
 
-    return src.mapInPandas(run, RESULT_SCHEMA)
+    out = src.mapInPandas(run, RESULT_SCHEMA)
+    if persist:
+        from pseudoflow.session import materialize
+        out = materialize(out)
+    return out
 
 
 def entities_of(results: DataFrame, key_col: str = "doc_id") -> DataFrame:

@@ -97,38 +97,40 @@ def mask_sessions(df: DataFrame, text_col: str = "text", key_col: str = "doc_id"
                   persist: bool = True, **seg_kwargs) -> MaskResult:
     """Session masking (T1-T3): numbering shared by all rows of a session, in ``order_col`` order.
 
-    The segment table feeds both outputs, so it is checkpointed once (``persist``).
+    Rows with accepted hits feed both outputs (their hits are numbered, their text is rebuilt with
+    tokens), so only those rows are checkpointed (``persist``).  Rows without hits keep their text;
+    re-deriving them costs the exact pre-check for almost all of them.
     """
     seg_df = segment(df, text_col, options=options, **seg_kwargs)
     seg_df = seg_df.select(F.col(key_col), F.col(session_col).cast("string").alias("session_id"),
-                           *([F.col(order_col)] if order_col else []), *keep_cols, "segs",
-                           F.exists("segs", lambda s: s["tag"].isNotNull()).alias("_hit"))
+                           *([F.col(order_col)] if order_col else []), *keep_cols,
+                           F.col(text_col).alias("_text"), "segs",
+                           F.coalesce(F.exists("segs", lambda s: s["tag"].isNotNull()), F.lit(False)).alias("_hit"))
+    hit_rows = seg_df.filter("_hit").drop("_text", "_hit")
     if persist:
-        seg_df = materialize(seg_df)
-    hits = T.hits_table(seg_df.filter("_hit"), key_col, "session_id", order_col)
+        hit_rows = materialize(hit_rows)
+    hits = T.hits_table(hit_rows, key_col, "session_id", order_col)
     if existing_mapping is None:
         mapping = T.assign_tokens(hits, strategy)
     else:
         mapping = T.extend_mapping(existing_mapping, hits, strategy)
-    masked = attach_tokens(seg_df, hits, mapping, key_col, keep_cols)
+    plain_rows = seg_df.filter(~F.col("_hit")).select(key_col, "session_id", *keep_cols, F.col("_text").alias("masked_text"))
+    masked = attach_tokens(hit_rows, hits, mapping, key_col, keep_cols).unionByName(plain_rows)
     return MaskResult(masked, mapping)
 
 
-def attach_tokens(seg_df: DataFrame, hits: DataFrame, mapping: DataFrame, key_col: str,
+def attach_tokens(hit_rows: DataFrame, hits: DataFrame, mapping: DataFrame, key_col: str,
                   keep_cols: Sequence[str] = ()) -> DataFrame:
-    """Render masked text: hits get their token via an equi-join on (session, tag, value)."""
+    """Render masked text of rows with hits: each hit gets its token via an equi-join on
+    (session, tag, value); tokens are folded back per row and joined to the row by key."""
     tok = (
         hits.join(mapping.select("session_id", "tag", "value", "token"), ["session_id", "tag", "value"])
         .groupBy("_key")
         .agg(F.map_from_entries(F.collect_list(F.struct("idx", "token"))).alias("tokmap"))
         .withColumnRenamed("_key", key_col)
     )
-    with_hits = seg_df.filter("_hit").join(tok, key_col, "left") \
+    return hit_rows.join(tok, key_col, "left") \
         .select(key_col, "session_id", *keep_cols, S.render_with(F.col("segs"), F.col("tokmap")).alias("masked_text"))
-    without = seg_df.filter(~F.col("_hit")) \
-        .select(key_col, "session_id", *keep_cols,
-                F.array_join(F.transform("segs", lambda s: s["txt"]), "").alias("masked_text"))
-    return with_hits.unionByName(without)
 
 
 def pseudonymize(df: DataFrame, options: MaskOptions, text_col: str = "text", key_col: str = "doc_id", *,

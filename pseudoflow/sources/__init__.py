@@ -26,7 +26,7 @@ def spread(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """
     par = df.sparkSession.sparkContext.defaultParallelism
     try:
-        files = len(df.inputFiles())
+        files = len(df._jdf.inputFiles())  # counted in the JVM; the paths are not copied to Python
     except Exception:  # noqa: BLE001 - not a file source
         return df
     if files == 0 or files >= par:
