@@ -102,23 +102,49 @@ def mask_sessions(df: DataFrame, text_col: str = "text", key_col: str = "doc_id"
     re-deriving them costs the exact pre-check for almost all of them.
     """
     seg_df = segment(df, text_col, options=options, **seg_kwargs)
+    cand = candidate_expr(F.col(text_col), options, seg_kwargs.get("lang_col"), seg_kwargs.get("rules"),
+                          bool(seg_kwargs.get("literals_col")), bool(seg_kwargs.get("entities_col")))
     seg_df = seg_df.select(F.col(key_col), F.col(session_col).cast("string").alias("session_id"),
                            *([F.col(order_col)] if order_col else []), *keep_cols,
-                           F.col(text_col).alias("_text"), "segs",
-                           F.coalesce(F.exists("segs", lambda s: s["tag"].isNotNull()), F.lit(False)).alias("_hit"))
-    hit_rows = seg_df.filter("_hit").drop("_text", "_hit")
+                           F.col(text_col).alias("_text"), "segs", cand.alias("_cand"))
+    # rows that pass the exact pre-check carry the real work: fold once, keep the result
+    cand_rows = seg_df.filter("_cand").drop("_text", "_cand") \
+        .withColumn("_hit", F.coalesce(F.exists("segs", lambda s: s["tag"].isNotNull()), F.lit(False)))
     if persist:
-        hit_rows = materialize(hit_rows)
+        cand_rows = materialize(cand_rows)
+    hit_rows = cand_rows.filter("_hit").drop("_hit")
     hits = T.hits_table(hit_rows, key_col, "session_id", order_col)
     if existing_mapping is None:
         mapping = T.assign_tokens(hits, strategy)
     else:
         mapping = T.extend_mapping(existing_mapping, hits, strategy)
-    plain_rows = seg_df.filter(~F.col("_hit")).select(key_col, "session_id", *keep_cols, F.col("_text").alias("masked_text"))
-    masked = attach_tokens(hit_rows, hits, mapping, key_col, keep_cols).unionByName(plain_rows)
+    # every other row keeps its text; for them the fold is never evaluated (column pruned)
+    plain_rows = seg_df.filter(~F.col("_cand")).select(key_col, "session_id", *keep_cols, F.col("_text").alias("masked_text"))
+    no_hit = cand_rows.filter(~F.col("_hit")).select(
+        key_col, "session_id", *keep_cols, F.array_join(F.transform("segs", lambda s: s["txt"]), "").alias("masked_text"))
+    masked = attach_tokens(hit_rows, hits, mapping, key_col, keep_cols).unionByName(no_hit).unionByName(plain_rows)
     return MaskResult(masked, mapping)
 
 
+def candidate_expr(text: Column, options: MaskOptions, lang_col: Optional[str], rules: Optional[Sequence[Rule]],
+                   has_row_literals: bool, has_entities: bool) -> Column:
+    """Exact pre-check: false only when no pass can produce a hit in ``text``."""
+    if options.custom_literals or has_row_literals or (has_entities and options.engines in ("llm", "hybrid")):
+        return F.lit(True)
+    if options.engines not in ("regex", "hybrid"):
+        return F.lit(False)
+    if rules is not None:
+        ruleset = list(rules)
+    elif lang_col is not None:
+        ruleset = rules_for_language("pl") + rules_for_language("en")
+    else:
+        ruleset = rules_for_language(options.lang)
+    hint = S.prefilter_pattern(ruleset)
+    if hint is None:
+        return F.lit(True)
+    return F.coalesce(F.regexp(text, F.lit(hint)), F.lit(False))
+
+
 def attach_tokens(hit_rows: DataFrame, hits: DataFrame, mapping: DataFrame, key_col: str,
                   keep_cols: Sequence[str] = ()) -> DataFrame:
     """Render masked text of rows with hits: each hit gets its token via an equi-join on

@@ -24,10 +24,10 @@ def spread(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     A small one (for example one parquet row group holding every document) is hash-partitioned
     on its row key into 2 x default parallelism, which is deterministic on task retry.
     """
-    par = df.sparkSession.sparkContext.defaultParallelism
     try:
+        par = df.sparkSession.sparkContext.defaultParallelism
         files = len(df._jdf.inputFiles())  # counted in the JVM; the paths are not copied to Python
-    except Exception:  # noqa: BLE001 - not a file source
+    except Exception:  # noqa: BLE001 - not a file source, or a remote session
         return df
     if files == 0 or files >= par:
         return df
