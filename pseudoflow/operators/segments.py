@@ -146,15 +146,36 @@ def sorted_by_length_desc(values: Column, length_of: Callable[[Column], Column]
     return F.array_sort(keyed)
 
 
+# Characters that Java's (?iu) equates with ASCII letters, and their ASCII fold.
+ASCII_FOLD_FROM = "\u212a\u017f\u0130\u0131ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ASCII_FOLD_TO = "ksiiabcdefghijklmnopqrstuvwxyz"
+
+
+def _full_text(segs: Column) -> Column:
+    return F.array_join(F.transform(segs, lambda s: s["txt"]), "")
+
+
 def literal_passes(segs: Column, literals: Column, first_pass: Column | int) -> Column:
-    """Case-insensitive literal passes (tag CUSTOM), longest literal first, blanks dropped."""
+    """Case-insensitive literal passes (tag CUSTOM), longest literal first, blanks dropped.
+
+    Pass numbers follow the full sorted list; a literal that cannot occur in the row is skipped
+    before the fold by an exact, regex-free check (``instr`` on an ASCII case fold of the text for
+    ASCII literals; other literals always run), so long literal lists cost a scan, not a pass each.
+    """
     lits = F.filter(literals, lambda x: x.isNotNull() & (F.length(x) > 0))
     ordered = F.transform(sorted_by_length_desc(lits), lambda x, j: F.struct(x["v"].alias("v"), j.alias("j")))
     base = F.lit(first_pass) if isinstance(first_pass, int) else first_pass
-    return F.aggregate(
-        ordered, segs,
-        lambda acc, x: apply_pass(acc, F.concat(F.lit("(?iu)"), escape_literal(x["v"])), "CUSTOM", base + x["j"]),
-    )
+
+    def run(v: Column) -> Column:
+        folded = F.translate(_full_text(v["segs"]), ASCII_FOLD_FROM, ASCII_FOLD_TO)
+        return let({"folded": folded}, lambda w: F.aggregate(
+            F.filter(ordered, lambda x: ~x["v"].rlike("^[\\x00-\\x7F]*$")
+                     | (F.instr(w["folded"], F.lower(x["v"])) > 0)),
+            v["segs"],
+            lambda acc, x: apply_pass(acc, F.concat(F.lit("(?iu)"), escape_literal(x["v"])), "CUSTOM", base + x["j"]),
+        ))
+
+    return let({"segs": segs}, run)
 
 
 def entity_passes(segs: Column, entities: Column, first_pass: Column | int) -> Column:
@@ -164,10 +185,16 @@ def entity_passes(segs: Column, entities: Column, first_pass: Column | int) -> C
                                                     e["type"].alias("type"), trim_js(e["value"]).alias("v")))
     ordered = F.transform(F.array_sort(keyed), lambda x, j: F.struct(x["type"].alias("type"), x["v"].alias("v"), j.alias("j")))
     base = F.lit(first_pass) if isinstance(first_pass, int) else first_pass
-    return F.aggregate(
-        ordered, segs,
-        lambda acc, x: apply_pass(acc, escape_literal(x["v"]), x["type"], base + x["j"]),
-    )
+
+    def run(v: Column) -> Column:
+        # case-sensitive containment is exactly the match condition: absent entities never run
+        return let({"text": _full_text(v["segs"])}, lambda w: F.aggregate(
+            F.filter(ordered, lambda x: F.instr(w["text"], x["v"]) > 0),
+            v["segs"],
+            lambda acc, x: apply_pass(acc, escape_literal(x["v"]), x["type"], base + x["j"]),
+        ))
+
+    return let({"segs": segs}, run)
 
 
 def trim_js(c: Column) -> Column:

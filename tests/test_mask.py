@@ -92,3 +92,11 @@ def test_mask_by_row_language(spark):
     res = M.mask_rows(df, options=MaskOptions(engines="regex"), lang_col="lang")
     got = {r.doc_id: r.masked_text for r in res.masked.collect()}
     assert got == {1: "PESEL [PESEL:1]", 2: "SSN [SSN:1]", 3: "SSN [SSN:1]"}
+
+
+def test_literal_candidate_filter_is_exact(spark):
+    # Kelvin sign and long s match ASCII k / s under (?iu); the pre-check must keep those literals
+    out, back = masked(spark, "Kate and ſam and KATE", lang="en", engines="llm",
+                       custom_literals=("kate", "sam", "absent"))
+    assert out == "[CUSTOM:1] and [CUSTOM:2] and [CUSTOM:3]"
+    assert back == "Kate and ſam and KATE"
