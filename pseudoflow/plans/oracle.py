@@ -142,12 +142,3 @@ snum AS (SELECT sid, tag, core, row_number() OVER (PARTITION BY sid, tag ORDER B
 num AS (SELECT a.k, a.tag, a.core, s.n FROM (SELECT DISTINCT k, sid, tag, core FROM acc WHERE ok) a
         JOIN snum s ON a.sid = s.sid AND a.tag = s.tag AND a.core = s.core),
 {render_sql('num')}"""
-
-
-def pack_rules(lang: str) -> list[Rule]:
-    from pseudoflow.functions.rules import rules_for_language
-    return rules_for_language(lang)
-
-
-def rule(rule_id: str) -> Rule:
-    return rule_by_id(rule_id)

@@ -8,6 +8,32 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Settings for a large cluster (values are starting points, not fixed limits).
+SCALE_CONF = {
+    # AQE: start with many shuffle partitions, let AQE coalesce small ones and split skewed joins
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.shuffle.partitions": "8000",
+    # scan splits: text rows are large; 128 MB splits keep a task's fold within executor memory
+    "spark.sql.files.maxPartitionBytes": str(128 << 20),
+    # HOF folds over long texts allocate per row: keep Arrow / Python batches moderate
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # originals can reach shuffle files and spills: encrypt them
+    "spark.io.encryption.enabled": "true",
+}
+
+
+def apply_scale_conf(spark: SparkSession, overrides: dict | None = None) -> None:
+    """Apply ``SCALE_CONF`` (runtime-settable keys only) plus ``overrides`` to a session."""
+    for k, v in {**SCALE_CONF, **(overrides or {})}.items():
+        try:
+            spark.conf.set(k, v)
+        except Exception:  # noqa: BLE001 - static settings (e.g. io encryption) belong in spark-submit
+            pass
+
+
 def get_spark(master: str | None = None, app: str = "pseudoflow", shuffle_partitions: int | None = None) -> SparkSession:
     """Session for tests / benches.  On a cluster use the cluster's own session instead."""
     master = master or os.environ.get("PSEUDOFLOW_MASTER", "local[8]")
