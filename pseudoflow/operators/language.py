@@ -57,6 +57,12 @@ def _iso3(label: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in ISO3.items() for x in kv])[label], label)
 
 
+def label_codes(df: DataFrame, label_col: str = "lang") -> list:
+    """Profile codes of the labels present (a distinct over one short column)."""
+    labels = [r[0] for r in df.select(label_col).distinct().collect() if r[0] is not None]
+    return sorted({ISO3.get(x, x) for x in labels})
+
+
 def profiles_from_counts(counts: DataFrame, label_col: str = "lang", top_k: int = DEFAULT_TOP_K) -> DataFrame:
     """L1 from precomputed ``gram_counts(..., label_col=...)``."""
     per_code = counts.filter(F.col(label_col).isNotNull()).groupBy(_iso3(F.col(label_col)).alias("code"), "gram") \
@@ -76,7 +82,8 @@ def train_language_profiles(df: DataFrame, text_col: str = "text", lang_col: str
 
 
 def score_languages(df: Optional[DataFrame], profiles: DataFrame, text_col: str = "text", key_col: str = "doc_id",
-                    top_k: int = DEFAULT_TOP_K, counts: Optional[DataFrame] = None) -> DataFrame:
+                    top_k: int = DEFAULT_TOP_K, counts: Optional[DataFrame] = None,
+                    codes: Optional[list] = None) -> DataFrame:
     """L2: ``key, scores ARRAY<STRUCT<code, distance, score>>`` best first.
 
     distance = sum over the document's top-k trigrams of |rank difference|, or top_k when the
@@ -84,8 +91,11 @@ def score_languages(df: Optional[DataFrame], profiles: DataFrame, text_col: str
     One pass over the documents: trigram counts -> per-document rank window -> broadcast join
     with the (bounded) profiles -> one aggregate per document.
     """
-    profiles = materialize(profiles.select("code", "gram", "rank"))
-    codes = [r[0] for r in profiles.select("code").distinct().orderBy("code").collect()]  # a handful of labels
+    profiles = profiles.select("code", "gram", "rank")
+    if codes is None:
+        profiles = materialize(profiles)
+        codes = [r[0] for r in profiles.select("code").distinct().orderBy("code").collect()]  # a handful of labels
+    codes = sorted(codes)
     grams = counts if counts is not None else gram_counts(df, text_col, key_col)
     grams = grams.select(key_col, "n_chars", "gram", "count")
     w = Window.partitionBy(key_col).orderBy(F.col("count").desc(), F.col("gram"))
@@ -115,14 +125,15 @@ def map_language_code(code: Column) -> Column:
 
 
 def detect_language(df: DataFrame, profiles: DataFrame, text_col: str = "text", key_col: str = "doc_id",
-                    top_k: int = DEFAULT_TOP_K, counts: Optional[DataFrame] = None) -> DataFrame:
+                    top_k: int = DEFAULT_TOP_K, counts: Optional[DataFrame] = None,
+                    codes: Optional[list] = None) -> DataFrame:
     """L3: ``key, detected, source, raw, confidence`` by the decision ladder."""
     short = F.length(trim_js(F.col(text_col))) < MIN_TEXT_LENGTH
     if counts is not None:
         scored = score_languages(None, profiles, text_col, key_col, top_k,
-                                 counts=counts.filter(F.col("n_chars") >= MIN_TEXT_LENGTH))
+                                 counts=counts.filter(F.col("n_chars") >= MIN_TEXT_LENGTH), codes=codes)
     else:
-        scored = score_languages(df.filter(~short), profiles, text_col, key_col, top_k)
+        scored = score_languages(df.filter(~short), profiles, text_col, key_col, top_k, codes=codes)
     out = df.select(key_col, short.alias("_short")).join(scored, key_col, "left")
     best = F.get(F.col("scores"), 0)
     raw, conf = best["code"], best["score"]

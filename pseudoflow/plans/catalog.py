@@ -469,10 +469,11 @@ SELECT d.doc_id,
   CASE WHEN d.n_chars < 20 THEN NULL ELSE t.score END AS confidence
 FROM docs d LEFT JOIN top t ON d.doc_id = t.doc_id""")
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pseudoflow.operators.language import detect_language as detect_lang, train_language_profiles
+    from pseudoflow.operators.language import detect_language as detect_lang, label_codes, train_language_profiles
     docs = read_table(spark, sf_dir, "documents")
-    # recounting trigrams for scoring is cheaper here than checkpointing ~10M (document, trigram) rows
-    return detect_lang(docs.select("doc_id", "text"), train_language_profiles(docs))
+    # profiles (languages x 300 rows) are built inside the same plan and broadcast; the codes come
+    # from the labels, so no separate profile job is needed
+    return detect_lang(docs.select("doc_id", "text"), train_language_profiles(docs), codes=label_codes(docs))
 
 
 # ---------------------------------------------------------------- U3 / U7 / T3 / T6 / M6
