@@ -48,3 +48,27 @@ def test_extractor_failure_keeps_rule_output(spark):
                          ner_status=status.withColumn("doc_id", F.col("doc_id").cast("int")))
     row = out.masked.first()
     assert row.masked_text == "Anna Nowak, SSN [SSN:1]." and row.ner_status == "disabled"
+
+
+def test_mask_and_restore_jobs(spark):
+    from pseudoflow.plans.jobs import mask_job, restore_job
+
+    base = f"{ensure_checkpoint_dir(spark)}/job-{uuid.uuid4().hex}"
+    src = spark.createDataFrame([(1, "c1", 1, "SSN 123-45-6789, mail a@b.com"), (2, "c1", 2, "again a@b.com"),
+                                 (3, "c2", 1, "none")], "doc_id int, conv string, turn int, text string")
+    src.write.parquet(f"{base}/in")
+    mask_job(spark, f"{base}/in", f"{base}/masked", f"{base}/mapping", session_col="conv", order_col="turn",
+             options=MaskOptions(lang="en", engines="regex"))
+    masked = {r.doc_id: r.masked_text for r in spark.read.parquet(f"{base}/masked").collect()}
+    assert masked == {1: "SSN [SSN:1], mail [EMAIL:1]", 2: "again [EMAIL:1]", 3: "none"}
+    restore_job(spark, f"{base}/masked", f"{base}/mapping", f"{base}/restored")
+    back = {r.doc_id: (r.text, r.is_error) for r in spark.read.parquet(f"{base}/restored").collect()}
+    assert back[1] == ("SSN 123-45-6789, mail a@b.com", False) and back[2] == ("again a@b.com", False)
+    # c2 had no hits but was masked, so it is a known session
+    assert back[3] == ("none", False)
+    answers = spark.createDataFrame([(10, "c1", "Reply to [EMAIL:1]"), (11, "zz", "[SSN:1]")],
+                                    "doc_id int, session_id string, masked_text string")
+    answers.write.parquet(f"{base}/answers")
+    restore_job(spark, f"{base}/masked", f"{base}/mapping", f"{base}/restored2", texts_path=f"{base}/answers")
+    back2 = {r.doc_id: (r.text, r.is_error) for r in spark.read.parquet(f"{base}/restored2").collect()}
+    assert back2[10] == ("Reply to a@b.com", False) and back2[11][1] is True
