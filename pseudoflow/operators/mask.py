@@ -29,6 +29,10 @@ class MaskResult:
     masked: DataFrame
     mapping: DataFrame
 
+    def checkpoint(self) -> "MaskResult":
+        """Cut lineage of both outputs (what writing them does in a job) before several readers use them."""
+        return MaskResult(materialize(self.masked), materialize(self.mapping))
+
 
 def _rules_expr(text: Column, lang: Optional[str], lang_col: Optional[str],
                 rules: Optional[Sequence[Rule]], strict: bool) -> Column:

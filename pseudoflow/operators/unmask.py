@@ -124,6 +124,8 @@ def protected_apply(df: DataFrame, transform: Callable[[DataFrame], DataFrame],
     """
     from pseudoflow.operators.mask import pseudonymize
 
-    res = pseudonymize(df, options, text_col, key_col, **mask_kwargs)
-    worked = transform(res.masked.select(key_col, "session_id", "masked_text"))
+    from pseudoflow.session import materialize
+
+    res = pseudonymize(df, options, text_col, key_col, **mask_kwargs).checkpoint()
+    worked = materialize(transform(res.masked.select(key_col, "session_id", "masked_text")))
     return unmask(worked, res.mapping, "masked_text", key_col, "session_id", "result_text")

@@ -151,7 +151,7 @@ def token_mapping_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("unmask_roundtrip", f"SELECT doc_id, text AS restored_text FROM ({NOTES_SQL}) n")
 def unmask_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restoring the session-masked notes gives the original text back."""
-    res = _notes_sessions(spark, sf_dir)
+    res = _notes_sessions(spark, sf_dir).checkpoint()
     return U.unmask(res.masked, res.mapping, "masked_text", "doc_id").select("doc_id", "restored_text")
 
 
@@ -497,7 +497,7 @@ FROM ({NOTES_SQL}) n JOIN customer c ON n.doc_id = c.c_custkey JOIN nation nat O
 def unknown_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T6 + U3: sessions of region-0 nations are cleared; restoring their rows reports the missing session."""
     from pseudoflow.operators.tokens import clear_sessions
-    res = _notes_sessions(spark, sf_dir)
+    res = _notes_sessions(spark, sf_dir).checkpoint()
     nation = read_table(spark, sf_dir, "nation")
     cleared = nation.filter(F.col("n_regionkey") == 0).select(
         F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("session_id"))
@@ -622,7 +622,7 @@ FROM toks t LEFT JOIN snum s ON t.session_id = s.sid AND t.token = '[' || s.tag
 def lookup_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4: every token found in the masked notes plus one unknown token per session -> value (or NULL)."""
     from pseudoflow.operators.tokens import lookup_tokens as lookup
-    res = _notes_sessions(spark, sf_dir)
+    res = _notes_sessions(spark, sf_dir).checkpoint()
     found = res.masked.select("session_id", F.explode(F.regexp_extract_all("masked_text", F.lit(_TOKEN_RE), F.lit(0))).alias("token"))
     unknown = res.masked.select("session_id", F.lit("[SSN:999999]").alias("token"))
     return lookup(res.mapping, found.unionByName(unknown).distinct()).select("session_id", "token", "value")
