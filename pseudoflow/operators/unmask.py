@@ -58,21 +58,25 @@ def unmask(df: DataFrame, mapping: DataFrame, text_col: str = "masked_text", key
 def unmask_checked(df: DataFrame, mapping: DataFrame, text_col: str = "masked_text", key_col: str = "doc_id",
                    session_col: str = "session_id", known_sessions: Optional[DataFrame] = None,
                    on_missing_session: str = "error_row") -> DataFrame:
-    """Rows whose session is unknown get an error message and ``is_error = true``."""
+    """Rows whose session is unknown get an error message and ``is_error = true``.
+
+    Restore runs once over all rows (tokens of an unknown session simply stay); one left join with
+    the distinct known sessions then flags the rows (AQE splits a hot session on the big side).
+    """
     sessions = (known_sessions if known_sessions is not None else mapping).select(
         F.col("session_id").cast("string").alias("_sid")).distinct().withColumn("_known", F.lit(True))
-    tagged = df.join(sessions, F.col(session_col).cast("string") == F.col("_sid"), "left").drop("_sid")
     if on_missing_session == "raise":
-        missing = tagged.filter(F.col("_known").isNull()).select(session_col).limit(1).collect()
+        missing = df.select(F.col(session_col).cast("string").alias("_sid")).distinct() \
+            .join(sessions, "_sid", "left_anti").limit(1).collect()
         if missing:
             raise KeyError(SESSION_NOT_FOUND.format(sid=missing[0][0]))
-    ok = unmask(tagged.filter(F.col("_known").isNotNull()).drop("_known"), mapping, text_col, key_col,
-                session_col, "text").withColumn("is_error", F.lit(False))
-    bad = tagged.filter(F.col("_known").isNull()).drop("_known") \
-        .withColumn("text", F.format_string('Error: session "%s" not found. It may have expired or never existed.',
-                                            F.col(session_col).cast("string"))) \
-        .withColumn("is_error", F.lit(True))
-    return ok.unionByName(bad)
+    restored = unmask(df, mapping, text_col, key_col, session_col, "_restored")
+    flagged = restored.join(sessions, F.col(session_col).cast("string") == F.col("_sid"), "left")
+    known = F.coalesce(F.col("_known"), F.lit(False))
+    message = F.format_string('Error: session "%s" not found. It may have expired or never existed.',
+                              F.col(session_col).cast("string"))
+    return flagged.withColumn("text", F.when(known, F.col("_restored")).otherwise(message)) \
+        .withColumn("is_error", ~known).drop("_sid", "_known", "_restored")
 
 
 def round_trip_check(original: DataFrame, restored: DataFrame, key_col: str = "doc_id",
