@@ -685,3 +685,47 @@ def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = docs.filter(F.length(trim_js(F.col("text"))) >= MIN_TEXT_LENGTH).select("doc_id", "text")
     return score_languages(src, train_language_profiles(docs)) \
         .select("doc_id", F.explode("scores").alias("s")).select("doc_id", "s.code", "s.distance", "s.score")
+
+
+
+# ---------------------------------------------------------------- ST1 / ST3: stateless stream, restore stream
+
+def _stream_base(spark: SparkSession) -> str:
+    import uuid
+
+    from pseudoflow.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _documents_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = read_table(spark, sf_dir, "documents", spread_input=False).schema
+    # a glob keeps the file source on the one table file of the folder
+    return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/documents*.parquet")
+
+
+@register("mask_stream_documents", ORACLE["mask_documents_en"])
+def mask_stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1: the row-local masking expressions on a file stream of documents (equal to the batch query)."""
+    from pseudoflow.streaming import mask_stream
+    base = _stream_base(spark)
+    q = mask_stream(_documents_stream(spark, sf_dir), options=MaskOptions(lang="en", engines="regex")) \
+        .select("doc_id", "masked_text").writeStream.format("parquet") \
+        .option("checkpointLocation", f"{base}/ckpt").option("path", f"{base}/out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@register("stream_restore_documents", "SELECT doc_id, text, false AS is_error FROM documents")
+def stream_restore_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST2 + ST3: documents masked by the session sink (one session per document), then the masked
+    stream restored by the restore sink: every text comes back, no session is unknown."""
+    from pseudoflow.streaming import SessionMaskSink, SessionUnmaskSink, read_batches, run_available
+    base = _stream_base(spark)
+    docs = _documents_stream(spark, sf_dir).withColumn("session_id", F.col("doc_id").cast("string"))
+    run_available(docs, SessionMaskSink(f"{base}/mapping", f"{base}/masked", "text", "doc_id",
+                                        options=MaskOptions(lang="en", engines="regex")), f"{base}/ck1")
+    masked_schema = read_batches(spark, f"{base}/masked").drop("batch_id").schema
+    masked = spark.readStream.schema(masked_schema).parquet(f"{base}/masked/batch_id=*")
+    run_available(masked, SessionUnmaskSink(f"{base}/mapping", f"{base}/restored", masked_path=f"{base}/masked"),
+                  f"{base}/ck2")
+    return read_batches(spark, f"{base}/restored").select("doc_id", "text", "is_error")

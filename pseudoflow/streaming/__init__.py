@@ -101,15 +101,21 @@ class SessionUnmaskSink:
     """ST3: restore every micro-batch against the mapping table; writes ``out_path/batch_id=N``."""
 
     def __init__(self, mapping_path: str, out_path: str, text_col: str = "masked_text", key_col: str = "doc_id",
-                 session_col: str = "session_id"):
-        self.mapping_path, self.out_path = mapping_path, out_path
+                 session_col: str = "session_id", masked_path: Optional[str] = None):
+        self.mapping_path, self.out_path, self.masked_path = mapping_path, out_path, masked_path
         self.text_col, self.key_col, self.session_col = text_col, key_col, session_col
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        mapping = read_mapping(batch.sparkSession, self.mapping_path)
+        spark = batch.sparkSession
+        mapping = read_mapping(spark, self.mapping_path)
         if mapping is None:
-            mapping = batch.sparkSession.createDataFrame([], "session_id string, tag string, n long, token string, value string")
-        out = U.unmask_checked(batch, mapping.select(*MAPPING_COLS), self.text_col, self.key_col, self.session_col)
+            mapping = spark.createDataFrame([], "session_id string, tag string, n long, token string, value string")
+        known = None
+        if self.masked_path is not None and _has_data(spark, self.masked_path):
+            # sessions that were masked are known even when they produced no mapping rows
+            known = read_batches(spark, self.masked_path).select("session_id")
+        out = U.unmask_checked(batch, mapping.select(*MAPPING_COLS), self.text_col, self.key_col, self.session_col,
+                               known_sessions=known)
         out.write.mode("overwrite").parquet(f"{self.out_path}/batch_id={batch_id}")
 
 
