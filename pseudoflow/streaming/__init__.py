@@ -86,7 +86,11 @@ class SessionMaskSink:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         existing = read_mapping(spark, self.mapping_path, before_batch=batch_id, ttl_batches=self.ttl)
-        existing_m = existing.select(*MAPPING_COLS) if existing is not None else None
+        existing_m = None
+        if existing is not None:
+            # only the sessions of this batch matter: the numbering joins never touch the rest
+            here = batch.select(F.col(self.session_col).cast("string").alias("session_id")).distinct()
+            existing_m = existing.select(*MAPPING_COLS).join(here, "session_id", "left_semi")
         res = M.mask_sessions(batch, self.text_col, self.key_col, session_col=self.session_col,
                               order_col=self.order_col, options=self.options, strategy=self.strategy,
                               existing_mapping=existing_m, keep_cols=self.keep_cols, **self.seg_kwargs)
