@@ -58,12 +58,14 @@ def detect(df: DataFrame, rules: Sequence[Rule], text_col: str = "text", key_col
 
 
 def detect_sequential(seg_df: DataFrame, key_col: str = "doc_id", segs_col: str = "segs") -> DataFrame:
-    """The spans the masking pass actually replaced, with character offsets in the original text."""
-    lens = F.transform(segs_col, lambda s: F.length(s["txt"]))
-    return seg_df.select(F.col(key_col), F.posexplode(
-        F.arrays_zip(F.col(segs_col).alias("seg"), lens.alias("len"))).alias("idx", "z"),
-        lens.alias("_lens")) \
-        .filter(F.col("z.seg.tag").isNotNull()) \
-        .select(key_col, "idx", F.col("z.seg.pass_no").alias("pass_no"), F.col("z.seg.tag").alias("tag"),
-                F.col("z.seg.txt").alias("value"),
-                F.aggregate(F.slice("_lens", 1, F.col("idx")), F.lit(0), lambda a, b: a + b).alias("start"))
+    """The spans the masking pass actually replaced, with character offsets in the original text.
+
+    Offsets are a running sum of piece lengths: pieces are exploded as (key, idx, length) rows —
+    no text moves — and summed with a window per row key (bounded by the row's pieces).
+    """
+    pieces = seg_df.select(F.col(key_col), F.posexplode(segs_col).alias("idx", "seg")) \
+        .select(key_col, "idx", F.length("seg.txt").alias("len"), F.col("seg.pass_no").alias("pass_no"),
+                F.col("seg.tag").alias("tag"), F.when(F.col("seg.tag").isNotNull(), F.col("seg.txt")).alias("value"))
+    before = Window.partitionBy(key_col).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    return pieces.withColumn("start", F.coalesce(F.sum("len").over(before), F.lit(0)).cast("int")) \
+        .filter(F.col("tag").isNotNull()).select(key_col, "idx", "pass_no", "tag", "value", "start")

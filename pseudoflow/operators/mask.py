@@ -156,7 +156,7 @@ def attach_tokens(hit_rows: DataFrame, hits: DataFrame, mapping: DataFrame, key_
     tok = (
         hits.join(mapping.select("session_id", "tag", "value", "token"), ["session_id", "tag", "value"])
         .groupBy("_key")
-        .agg(F.map_from_entries(F.collect_list(F.struct("idx", "token"))).alias("tokmap"))
+        .agg(F.collect_list(F.struct("idx", "token")).alias("tokmap"))
         .withColumnRenamed("_key", key_col)
     )
     return hit_rows.join(tok, key_col, "left") \

@@ -60,10 +60,14 @@ def _split_plain(txt: Column, pat: Column, tag: Column, pass_no: Column,
                 .otherwise(F.array(plain_seg(F.get(p, i)))),
             )))
 
-        def with_accepted(w: Column) -> Column:
-            pieces, acc = w["pieces"], w["acc"]
+        def with_accepted(w0: Column) -> Column:
+            # accepted-hit bounds, bound once (read for every group below)
+            bounds0 = F.concat(F.array(F.lit(-1)), w0["acc"], F.array(n))
+            return let({"pieces": w0["pieces"], "acc": w0["acc"], "bounds": bounds0}, with_bounds)
+
+        def with_bounds(w: Column) -> Column:
+            pieces, acc, bounds = w["pieces"], w["acc"], w["bounds"]
             m = F.size(acc)
-            bounds = F.concat(F.array(F.lit(-1)), acc, F.array(n))
 
             def group(g: Column) -> Column:
                 a = F.get(bounds, g)
@@ -216,19 +220,6 @@ def hit_entries(segs: Column) -> Column:
     return F.array_sort(hits)
 
 
-def local_numbering(segs: Column) -> Column:
-    """Row-local dense numbering per tag by first replacement: ``array<struct<tag, txt, n>>``."""
-
-    def number(v: Column) -> Column:
-        keys = v["keys"]
-        return F.transform(keys, lambda k, j: F.struct(
-            k["tag"].alias("tag"), k["txt"].alias("txt"),
-            F.size(F.filter(F.slice(keys, 1, j + 1), lambda q: q["tag"] == k["tag"])).cast("long").alias("n")))
-
-    keys = F.array_distinct(F.transform(hit_entries(segs), lambda x: F.struct(x["tag"].alias("tag"), x["txt"].alias("txt"))))
-    return let({"keys": keys}, number)
-
-
 def token_text(tag: Column, n: Column) -> Column:
     return F.concat(F.lit("["), tag, F.lit(":"), n.cast("string"), F.lit("]"))
 
@@ -237,23 +228,84 @@ def value_key(tag: Column, txt: Column) -> Column:
     return F.concat(tag, F.lit(KEY_SEP), txt)
 
 
-def _render(segs: Column, numbered: Column) -> Column:
-    tokmap = F.map_from_entries(F.transform(numbered, lambda x: F.struct(
-        value_key(x["tag"], x["txt"]).alias("key"), token_text(x["tag"], x["n"]).alias("value"))))
-    return let({"segs": segs, "tokmap": tokmap}, lambda w: F.array_join(F.transform(
-        w["segs"], lambda s: F.when(s["tag"].isNull(), s["txt"])
-        .otherwise(F.element_at(w["tokmap"], value_key(s["tag"], s["txt"])))), ""))
+def _plain_pieces(segs: Column) -> Column:
+    """``array<struct<idx, txt>>`` of the plain pieces, keyed by their position."""
+    return F.transform(
+        F.filter(F.transform(segs, lambda s, i: F.struct(i.alias("idx"), s["txt"].alias("txt"), s["tag"].alias("tag"))),
+                 lambda x: x["tag"].isNull()),
+        lambda x: F.struct(x["idx"].alias("idx"), x["txt"].alias("txt")))
 
 
-def masked_and_numbering(segs: Column) -> Column:
-    """``struct<masked_text, numbered>`` from one evaluation of ``segs`` (row-local tokens)."""
+def _merge_by_idx(plains: Column, tokens: Column) -> Column:
+    """Text from plain pieces and token pieces ``(idx, txt)``: one sort by position, no lookups."""
+    return F.array_join(F.transform(F.array_sort(F.concat(plains, tokens)), lambda x: x["txt"]), "")
 
-    def body(w: Column) -> Column:
-        return F.struct(F.when(w["segs"].isNull(), F.lit(None).cast("string"))
-                        .otherwise(_render(w["segs"], w["numbered"])).alias("masked_text"),
-                        w["numbered"].alias("numbered"))
 
-    return let({"segs": segs}, lambda v: let({"segs": v["segs"], "numbered": local_numbering(v["segs"])}, body))
+def masked_and_numbering(segs: Column) -> Column:
+    """``struct<masked_text, numbered>`` from one evaluation of ``segs`` (row-local tokens).
+
+    O(h log h) in the row's hits h, without map lookups (Spark map lookups scan linearly):
+    hits sorted by value key -> the first hit of each key -> numbers by (tag, first replacement)
+    -> each number repeated over its key's hits (``array_repeat`` + ``flatten``) -> tokens and plain
+    pieces merged by position with one sort.
+    """
+    empty_num = F.array().cast("array<struct<tag:string,txt:string,n:bigint>>")
+
+    def with_sorted(w: Column) -> Column:
+        srt, h = w["S"], F.size(w["S"])
+        starts = F.filter(F.sequence(F.lit(0), h - 1),
+                          lambda q: (q == 0) | (F.get(srt, q - 1)["key"] != F.get(srt, q)["key"]))
+        return let({"S": srt, "starts": starts}, lambda u: with_starts(u, w["plains"]))
+
+    def with_starts(u: Column, plains: Column) -> Column:
+        srt, starts = u["S"], u["starts"]
+        h, g = F.size(srt), F.size(starts)
+        firsts = F.transform(starts, lambda st: F.get(srt, st))
+        return let({"S": srt, "starts": starts, "F": firsts}, lambda z: finish(z, plains, h, g))
+
+    def finish(z: Column, plains: Column, h: Column, g: Column) -> Column:
+        srt, starts, firsts = z["S"], z["starts"], z["F"]
+        tags = F.array_distinct(F.transform(firsts, lambda f: f["tag"]))
+        # bound once: an expression read inside a lambda is evaluated again for every element
+        less = F.map_from_arrays(tags, F.transform(tags, lambda t: F.size(F.filter(firsts, lambda f: f["tag"] < t))))
+        return let({"S": srt, "starts": starts, "F": firsts, "less": less}, lambda zz: rank(zz, plains, h, g))
+
+    def rank(zz: Column, plains: Column, h: Column, g: Column) -> Column:
+        srt, starts, firsts, less = zz["S"], zz["starts"], zz["F"], zz["less"]
+        by_tag = F.array_sort(F.transform(firsts, lambda f, r: F.struct(f["tag"].alias("tag"), f["p"].alias("p"), r.alias("r"))))
+        numbers = F.transform(
+            F.array_sort(F.transform(by_tag, lambda x, q: F.struct(
+                x["r"].alias("r"), (q + 1 - F.element_at(less, x["tag"])).cast("long").alias("n")))),
+            lambda x: x["n"])
+        return let({"S": srt, "starts": starts, "F": firsts, "N": numbers}, lambda y: spread(y, plains, h, g))
+
+    def spread(y: Column, plains: Column, h: Column, g: Column) -> Column:
+        srt, starts, numbers = y["S"], y["starts"], y["N"]
+        full = F.flatten(F.transform(F.sequence(F.lit(0), g - 1), lambda r: F.array_repeat(
+            F.get(numbers, r), F.coalesce(F.get(starts, r + 1), h) - F.get(starts, r))))
+        return let({"S": srt, "F": y["F"], "N": numbers, "full": full}, lambda x: emit(x, plains, h, g))
+
+    def emit(y: Column, plains: Column, h: Column, g: Column) -> Column:
+        srt, firsts, numbers, full = y["S"], y["F"], y["N"], y["full"]
+        tokens = F.transform(F.sequence(F.lit(0), h - 1), lambda q: F.struct(
+            F.get(srt, q)["idx"].alias("idx"), token_text(F.get(srt, q)["tag"], F.get(full, q)).alias("txt")))
+        numbered = F.transform(F.sequence(F.lit(0), g - 1), lambda r: F.struct(
+            F.get(firsts, r)["tag"].alias("tag"),
+            F.substring(F.get(firsts, r)["key"], F.length(F.get(firsts, r)["tag"]) + 2, 1 << 30).alias("txt"),
+            F.get(numbers, r).alias("n")))
+        return F.struct(_merge_by_idx(plains, tokens).alias("masked_text"), numbered.alias("numbered"))
+
+    def body(v: Column) -> Column:
+        ents = hit_entries(v["segs"])
+        keyed = F.transform(ents, lambda x, p: F.struct(value_key(x["tag"], x["txt"]).alias("key"), p.alias("p"),
+                                                         x["idx"].alias("idx"), x["tag"].alias("tag")))
+        no_hits = F.struct(F.array_join(F.transform(v["segs"], lambda s: s["txt"]), "").alias("masked_text"),
+                           empty_num.alias("numbered"))
+        return F.when(F.size(ents) == 0, no_hits).otherwise(
+            let({"S": F.array_sort(keyed), "plains": _plain_pieces(v["segs"])}, with_sorted))
+
+    return F.when(segs.isNull(), F.struct(F.lit(None).cast("string").alias("masked_text"), empty_num.alias("numbered"))) \
+        .otherwise(let({"segs": segs}, body))
 
 
 def render_local(segs: Column) -> Column:
@@ -261,10 +313,15 @@ def render_local(segs: Column) -> Column:
     return masked_and_numbering(segs)["masked_text"]
 
 
-def render_with(segs: Column, tokens_by_idx: Column) -> Column:
-    """Masked text where hit piece ``i`` becomes ``tokens_by_idx[i]`` (a map idx -> token)."""
-    return F.array_join(F.transform(segs, lambda s, i: F.when(s["tag"].isNull(), s["txt"])
-                                    .otherwise(F.element_at(tokens_by_idx, i))), "")
+def local_numbering(segs: Column) -> Column:
+    """Row-local dense numbering per tag by first replacement: ``array<struct<tag, txt, n>>``."""
+    return masked_and_numbering(segs)["numbered"]
+
+
+def render_with(segs: Column, tokens: Column) -> Column:
+    """Masked text where hit pieces are replaced by ``tokens`` = ``array<struct<idx, token>>``."""
+    toks = F.transform(tokens, lambda t: F.struct(t["idx"].alias("idx"), t["token"].alias("txt")))
+    return let({"segs": segs}, lambda v: _merge_by_idx(_plain_pieces(v["segs"]), toks))
 
 
 def has_token_shape(text: Column) -> Column:

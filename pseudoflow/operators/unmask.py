@@ -18,14 +18,15 @@ SESSION_NOT_FOUND = 'Error: session "{sid}" not found. It may have expired or ne
 
 
 def _restore_expr(text, vals):
-    """Single pass: gap_0 v_0 gap_1 v_1 ... gap_n, where v_i replaces the i-th token."""
+    """Single pass: gap_0 v_0 gap_1 v_1 ... gap_n, where ``vals[i]`` (sorted by position) replaces
+    the i-th token — an index read, not a map lookup."""
 
     def body(v):
         p = v["p"]
         k = F.size(p) - 1
         return F.array_join(F.flatten(F.transform(
             F.sequence(F.lit(0), k),
-            lambda i: F.when(i < k, F.array(F.get(p, i), F.element_at(vals, i))).otherwise(F.array(F.get(p, i))),
+            lambda i: F.when(i < k, F.array(F.get(p, i), F.get(vals, i))).otherwise(F.array(F.get(p, i))),
         )), "")
 
     return let({"p": F.split(text, TOKEN_PATTERN, -1)}, body)
@@ -47,7 +48,8 @@ def unmask(df: DataFrame, mapping: DataFrame, text_col: str = "masked_text", key
     vals = (
         toks.join(mapping.select("session_id", "token", "value"), ["session_id", "token"], "left")
         .groupBy("_k")
-        .agg(F.map_from_entries(F.collect_list(F.struct("pos", F.coalesce("value", "token")))).alias("_vals"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("value", "token").alias("v")))),
+                         lambda x: x["v"]).alias("_vals"))
     )
     restored = with_tok.join(vals, with_tok[key_col] == vals["_k"], "left") \
         .withColumn(out_col, _restore_expr(F.col(text_col), F.col("_vals"))).drop("_k", "_vals")
