@@ -304,8 +304,41 @@ def masked_and_numbering(segs: Column) -> Column:
         return F.when(F.size(ents) == 0, no_hits).otherwise(
             let({"S": F.array_sort(keyed), "plains": _plain_pieces(v["segs"])}, with_sorted))
 
-    return F.when(segs.isNull(), F.struct(F.lit(None).cast("string").alias("masked_text"), empty_num.alias("numbered"))) \
-        .otherwise(let({"segs": segs}, body))
+    null_row = F.struct(F.lit(None).cast("string").alias("masked_text"), empty_num.alias("numbered"))
+    n_hits = lambda v: F.size(F.filter(v["segs"], lambda x: x["tag"].isNotNull()))
+    # the null check reads the bound value: ``segs`` (the whole fold) is evaluated once.  Rows with
+    # few hits (the usual case) take the direct path; rows with many take the O(h log h) path.
+    return let({"segs": segs}, lambda v: F.when(v["segs"].isNull(), null_row)
+               .when(n_hits(v) <= SMALL_ROW_HITS, _small_row(v["segs"]))
+               .otherwise(body(v)))
+
+
+# Rows with at most this many hits are numbered directly (quadratic in hits, cheapest when small).
+SMALL_ROW_HITS = 64
+
+
+def _small_row(segs: Column) -> Column:
+    """``struct<masked_text, numbered>`` for a row with few hits: distinct values in first-replacement
+    order, n = rank among earlier values of the same tag, tokens looked up in a small map."""
+
+    def number(v: Column) -> Column:
+        keys = v["keys"]
+        return F.transform(keys, lambda k, j: F.struct(
+            k["tag"].alias("tag"), k["txt"].alias("txt"),
+            F.size(F.filter(F.slice(keys, 1, j + 1), lambda q: q["tag"] == k["tag"])).cast("long").alias("n")))
+
+    keys = F.array_distinct(F.transform(hit_entries(segs), lambda x: F.struct(x["tag"].alias("tag"), x["txt"].alias("txt"))))
+
+    def render(w: Column) -> Column:
+        tokmap = F.map_from_entries(F.transform(w["numbered"], lambda x: F.struct(
+            value_key(x["tag"], x["txt"]).alias("key"), token_text(x["tag"], x["n"]).alias("value"))))
+        return let({"segs": w["segs"], "numbered": w["numbered"], "tokmap": tokmap}, lambda u: F.struct(
+            F.array_join(F.transform(u["segs"], lambda s: F.when(s["tag"].isNull(), s["txt"])
+                                     .otherwise(F.element_at(u["tokmap"], value_key(s["tag"], s["txt"])))), "")
+            .alias("masked_text"),
+            u["numbered"].alias("numbered")))
+
+    return let({"segs": segs, "numbered": let({"keys": keys}, number)}, render)
 
 
 def render_local(segs: Column) -> Column:
