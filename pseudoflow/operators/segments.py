@@ -167,7 +167,9 @@ def literal_passes(segs: Column, literals: Column, first_pass: Column | int) ->
     ASCII literals; other literals always run), so long literal lists cost a scan, not a pass each.
     """
     lits = F.filter(literals, lambda x: x.isNotNull() & (F.length(x) > 0))
-    ordered = F.transform(sorted_by_length_desc(lits), lambda x, j: F.struct(x["v"].alias("v"), j.alias("j")))
+    # each literal's pattern is built once here, not again for every piece it is tried on
+    ordered = F.transform(sorted_by_length_desc(lits), lambda x, j: F.struct(
+        x["v"].alias("v"), j.alias("j"), F.concat(F.lit("(?iu)"), escape_literal(x["v"])).alias("re")))
     base = F.lit(first_pass) if isinstance(first_pass, int) else first_pass
 
     def run(v: Column) -> Column:
@@ -176,7 +178,7 @@ def literal_passes(segs: Column, literals: Column, first_pass: Column | int) ->
             F.filter(ordered, lambda x: ~x["v"].rlike("^[\\x00-\\x7F]*$")
                      | (F.instr(w["folded"], F.lower(x["v"])) > 0)),
             v["segs"],
-            lambda acc, x: apply_pass(acc, F.concat(F.lit("(?iu)"), escape_literal(x["v"])), "CUSTOM", base + x["j"]),
+            lambda acc, x: apply_pass(acc, x["re"], "CUSTOM", base + x["j"]),
         ))
 
     return let({"segs": segs}, run)
@@ -187,7 +189,8 @@ def entity_passes(segs: Column, entities: Column, first_pass: Column | int) -> C
     ents = F.filter(entities, lambda e: F.length(trim_js(e["value"])) > 0)
     keyed = F.transform(ents, lambda e, i: F.struct((-F.length(e["value"])).alias("k"), i.alias("i"),
                                                     e["type"].alias("type"), trim_js(e["value"]).alias("v")))
-    ordered = F.transform(F.array_sort(keyed), lambda x, j: F.struct(x["type"].alias("type"), x["v"].alias("v"), j.alias("j")))
+    ordered = F.transform(F.array_sort(keyed), lambda x, j: F.struct(
+        x["type"].alias("type"), x["v"].alias("v"), j.alias("j"), escape_literal(x["v"]).alias("re")))
     base = F.lit(first_pass) if isinstance(first_pass, int) else first_pass
 
     def run(v: Column) -> Column:
@@ -195,7 +198,7 @@ def entity_passes(segs: Column, entities: Column, first_pass: Column | int) -> C
         return let({"text": _full_text(v["segs"])}, lambda w: F.aggregate(
             F.filter(ordered, lambda x: F.instr(w["text"], x["v"]) > 0),
             v["segs"],
-            lambda acc, x: apply_pass(acc, escape_literal(x["v"]), x["type"], base + x["j"]),
+            lambda acc, x: apply_pass(acc, x["re"], x["type"], base + x["j"]),
         ))
 
     return let({"segs": segs}, run)
