@@ -43,3 +43,17 @@ def test_mask_stream_row_local(spark):
         .queryName("ms_" + uuid.uuid4().hex[:8]).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql(f"SELECT masked_text FROM {q.name}").first()[0] == "SSN [SSN:1]"
+
+
+def test_detect_stream(spark):
+    from pseudoflow.functions.rules import rules_for_language
+    from pseudoflow.streaming import detect_stream
+
+    base = f"{ensure_checkpoint_dir(spark)}/t-{uuid.uuid4().hex}"
+    schema = "doc_id int, text string"
+    spark.createDataFrame([(1, "SSN 123-45-6789 and 900-12-3456, mail a@b.com")], schema).write.parquet(f"{base}/in")
+    q = detect_stream(spark.readStream.schema(schema).parquet(f"{base}/in"), rules_for_language("en")) \
+        .writeStream.format("memory").queryName("ds_" + uuid.uuid4().hex[:8]).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.tag, r.value, r.valid) for r in spark.sql(f"SELECT * FROM {q.name}").collect()}
+    assert got == {("SSN", "123-45-6789", True), ("SSN", "900-12-3456", False), ("EMAIL", "a@b.com", True)}
