@@ -14,12 +14,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pseudoflow.llm.common import lower_ascii, maybe_broadcast, scratch, text_or_empty, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State stays on disk, commits write change logs, and small stores reserve no disk ahead.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256_hex(norm: Column) -> Column:
@@ -53,8 +57,9 @@ def stream_state(stream: DataFrame, checkpoint: str) -> DataFrame:
     spark = stream.sparkSession
     kept = F.max(F.struct("doc_id", "row_no", "locator")).alias("keep")
     state = stream.groupBy("digest").agg(kept, F.count(F.lit(1)).alias("group_size"))
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint)
@@ -62,7 +67,8 @@ def stream_state(stream: DataFrame, checkpoint: str) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if query.lastProgress is None:  # no rows ever arrived: there is no state yet
         return spark.createDataFrame(
             [], "digest string, keep_row long, keep_id long, locator struct<file string, n_bytes long>, group_size long"
