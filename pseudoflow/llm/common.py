@@ -50,3 +50,14 @@ def lower_ascii(text: Column) -> Column:
 
 def text_or_empty(df: DataFrame, text_col: str) -> Column:
     return F.coalesce(df[text_col], F.lit(""))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have."""
+    taken, out = {x.lower() for x in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

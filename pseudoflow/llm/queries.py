@@ -4,21 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pseudoflow.llm import chat, exact_dedup, quality_rules
+from pseudoflow.llm import chat, exact_dedup, packing, pii, quality_rules, simhash
 from pseudoflow.llm.common import read
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(read(spark, sf_dir, "conversations"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link(read(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat, op4_exact_dedup, op7_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_chat, op3_packing, op4_exact_dedup, op5_simhash, op7_quality_rules)}
 ORACLE = {"op2_chat": chat.SQL, "op4_exact_dedup": exact_dedup.SQL, "op7_quality_rules": quality_rules.SQL}
