@@ -13,7 +13,9 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import struct
 import zlib
 from typing import Iterator
@@ -31,7 +33,7 @@ CAPACITY = 4096
 END_ID = 1
 SALTS = 64
 #: Words kept with their ids in a worker, and the text that is tokenized at once.
-CACHE_WORDS, CHUNK_CHARS, LONG_WORD = 300_000, 1_000_000, 64
+CACHE_WORDS, CHUNK_CHARS, LONG_WORD = 600_000, 1_000_000, 64
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -39,11 +41,17 @@ PIECES = T.StructType([
 ])
 
 
+#: A word that ends in ASCII punctuation after a letter or digit: no token crosses that place.  An apostrophe
+#: may start a contraction, a bar stands in the special tokens, and U+0130 ends in a mark once in lower case:
+#: nothing is split off there.
+TAIL = re.compile(r"(.*[^\W_\u0130])([!-&(-/:-@\[-`{}~]+)", re.DOTALL)
+
+
 class WordTokenizer:
     """Ids of whole texts as little-endian 32-bit integers, from a cache of words.
 
     The vocabulary's pre-tokenizer drops white space and no token crosses it, so a text's ids are those
-    of its words in order."""
+    of its words in order.  The vocabulary has lower case only."""
 
     def __init__(self, path: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,22 +59,44 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-        self.cache: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        split: dict[bytes, tuple[str, ...]] = {}
+        for w in new:
+            if b"|" in w:
+                split[w] = (w.decode(),)
+            else:
+                t = w.lower().decode()
+                m = TAIL.fullmatch(t) if len(t) <= LONG_WORD else None
+                split[w] = m.groups() if m else (t,)
+        ask = list({p for parts in split.values() for p in parts} - self.parts.keys())
+        known: dict[str, bytes] = {}
+        for i in range(0, len(ask), 10_000):
+            some = ask[i : i + 10_000]
+            for p, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
+                (self.parts if len(p) <= LONG_WORD else known)[p] = np.array(e.ids, "<u4").tobytes()
+        get = lambda p: self.parts[p] if p in self.parts else known[p]
+        return {w: b"".join([get(p) for p in parts]) for w, parts in split.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [t.encode().split() for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = list(set().union(*words) - self.cache.keys())
-        local = {}
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            for w, e in zip(some, self.tok.encode_batch([x.decode() for x in some], add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4").tobytes()
-                (self.cache if len(w) <= LONG_WORD else local)[w] = ids
-        if local:
-            return [b"".join([local[w] if w in local else self.cache[w] for w in ws]) for ws in words]
-        return [b"".join(map(self.cache.__getitem__, ws)) for ws in words]
+        for cache in (self.words, self.parts):
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+        learnt = self._learn(list(set().union(*words) - self.words.keys()))
+        long = {w: ids for w, ids in learnt.items() if len(w) > LONG_WORD}
+        self.words.update((w, ids) for w, ids in learnt.items() if len(w) <= LONG_WORD)
+        if long:
+            return [b"".join([long[w] if w in long else self.words[w] for w in ws]) for ws in words]
+        return [b"".join(map(self.words.__getitem__, ws)) for ws in words]
+
+
+@functools.lru_cache(maxsize=1)
+def worker_tokenizer(path: str | None) -> WordTokenizer:
+    """One for all tasks of a worker process, so that later tasks find the words of earlier ones."""
+    return WordTokenizer(path)
 
 
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID,
@@ -89,7 +119,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
                 yield ids, texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer)
+        words = worker_tokenizer(tokenizer)
         for ids, texts in chunks(batches):
             out: list[list] = [[] for _ in PIECES]
             for k, packed in zip(ids, words.encode(texts)):
