@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pseudoflow.llm import chat, exact_dedup, packing, pii, quality_rules, simhash
+from pseudoflow.llm import chat, exact_dedup, packing, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity
 from pseudoflow.llm.common import read
 
 
@@ -28,9 +28,28 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link(read(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_chat, op3_packing, op4_exact_dedup, op5_simhash, op7_quality_rules)}
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(read(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_pii, op2_chat, op3_packing, op4_exact_dedup, op5_simhash, op6_suffix_dedup, op7_quality_rules,
+    op8_quality_classifier, op9_sentencepiece, op10_toxicity,
+)}
 ORACLE = {"op2_chat": chat.SQL, "op4_exact_dedup": exact_dedup.SQL, "op7_quality_rules": quality_rules.SQL}
