@@ -2,9 +2,9 @@
 
 Shards' sorted suffixes are merged by refining their interleave, block by block, instead of sorting all
 suffixes again.  So that one task never needs the whole corpus, strings are dealt by content first: each
-string of ``length`` bytes is owned by the smallest hash among its half-length substrings (leftmost if
-equal), so equal strings have equal owners.  The strings of one owner at one place form a context of about
-500 bytes.  Contexts that are equal throughout need no sorting; the distinct contexts of an owner that has
+string of ``length`` bytes is owned by the smallest hash among its substrings of a fifth of that length
+(leftmost if equal), so equal strings have equal owners.  The strings of one owner at one place form a
+context of about 560 bytes.  Contexts that are equal throughout need no sorting; the distinct contexts of an owner that has
 several go to one bucket, where the transforms of its shards are merged:
 
 * a shard sorts its suffixes by their first eight bytes; the shards' orders are interleaved by block;
@@ -54,14 +54,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def owners(data: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Arrays (owner hash, first string, last string), block by block, over all strings of ``length`` bytes."""
-    half = length // 2
-    width = length - half + 1  # substrings of half length in a string
+    short = max(1, length // 5)
+    width = length - short + 1  # short substrings in a string
     up, down = _powers(BLOCK + length)
     for at in range(0, len(data) - length + 1, BLOCK):
         part = np.frombuffer(data, np.uint8, min(len(data) - at, BLOCK + length - 1), at).astype(np.uint64) + np.uint64(1)
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(part * up[: len(part)], out=sums[1:])
-        h = (sums[half:] - sums[:-half]) * down[: len(part) - half + 1]
+        h = (sums[short:] - sums[:-short]) * down[: len(part) - short + 1]
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
         n = len(h) - width + 1
@@ -255,7 +255,8 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD) -
     contexts = bytes_of.mapInArrow(cut, "h long, c long, places int, n_contexts long, context binary").dropDuplicates(["h", "c"])
     verdict = written(_verdicts(written(contexts, "bytes"), length, crowd).where("size(ranges) > 0").unionByName(alone), "verdicts")
     moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("lo")).alias("a"), (r["b"] + F.col("lo")).alias("b")))
-    hits = found.distinct().join(maybe_broadcast(verdict), ["h", "c"]).select("key", moved.alias("ranges"))
+    # copies of a row emit the same ranges; one of each is kept
+    hits = found.join(maybe_broadcast(verdict), ["h", "c"]).select("key", moved.alias("ranges")).distinct()
     return hits.groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
