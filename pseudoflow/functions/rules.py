@@ -7,7 +7,7 @@ function, see ``validators.py``).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Callable, Optional
 
 from pyspark.sql import Column
@@ -30,6 +30,7 @@ class Rule:
     validator: Optional[str] = None  # name in validators.VALIDATORS
     flags: str = ""
     custom_validator: Optional[Callable[[Column], Column]] = field(default=None, compare=False)
+    hint: Optional[str] = None  # pattern found in every text that has a hit; None = unknown, all texts are searched
 
     @property
     def java(self) -> str:
@@ -89,6 +90,9 @@ RULES: tuple[Rule, ...] = (
     Rule("en.zip-code", "ZIP_CODE", r"\b\d{5}(?:-\d{4})?\b",
          ("en",), (P,), "US ZIP or ZIP+4"),
 )
+# What every hit of a built-in rule contains, a digit unless listed.
+HINTS = {"global.email": "@", "global.url": "://", "global.ipv6": ":"}
+RULES = tuple(replace(r, hint=HINTS.get(r.rule_id, "[0-9]")) for r in RULES)
 
 # Language packs (rule ids, in pack order).
 PACKS: dict[str, tuple[str, ...]] = {

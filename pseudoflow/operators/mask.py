@@ -73,15 +73,20 @@ def segment(df: DataFrame, text_col: str = "text", *, options: MaskOptions = Mas
 
 def mask_rows(df: DataFrame, text_col: str = "text", key_col: str = "doc_id", *,
               options: MaskOptions = MaskOptions(engines="regex"), session_col: Optional[str] = None,
-              keep_cols: Sequence[str] = (), persist: bool = False, **seg_kwargs) -> MaskResult:
+              keep_cols: Sequence[str] = (), persist: bool = False, run_id: str = "run", **seg_kwargs) -> MaskResult:
     """Row-local masking (T8): each row is its own session; no shuffle at all.
 
+    Rows are numbered from 1 each, so a row's session id comes from ``run_id``, its key and its text; a
+    ``session_id`` column of the input, which several rows may share, is not used.  Give each run its own
+    (secret) ``run_id``, or two runs may give one token two meanings.
+
     Masked text and the row's mapping come from one evaluation of the fold; with ``persist`` that
     row table is checkpointed so that both outputs can be read without recomputing it.
     """
     seg_df = segment(df, text_col, options=options, **seg_kwargs)
     if session_col is None:
-        seg_df = T.with_session_id(seg_df, key_col)
+        row_key = F.concat_ws(":", F.col(key_col).cast("string"), F.xxhash64(F.col(text_col)).cast("string"))
+        seg_df = T.with_session_id(seg_df.drop("session_id").withColumn("_row_key", row_key), "_row_key", run_id=run_id)
         session_col = "session_id"
     base = seg_df.select(F.col(key_col), F.col(session_col).alias("session_id"), *keep_cols,
                          S.masked_and_numbering(F.col("segs")).alias("mn"))
@@ -108,7 +113,7 @@ def mask_sessions(df: DataFrame, text_col: str = "text", key_col: str = "doc_id"
     seg_df = segment(df, text_col, options=options, **seg_kwargs)
     cand = candidate_expr(F.col(text_col), options, seg_kwargs.get("lang_col"), seg_kwargs.get("rules"),
                           bool(seg_kwargs.get("literals_col")), bool(seg_kwargs.get("entities_col")))
-    seg_df = seg_df.select(F.col(key_col), F.col(session_col).cast("string").alias("session_id"),
+    seg_df = seg_df.select(F.col(key_col), F.coalesce(F.col(session_col).cast("string"), F.sha2(F.concat_ws("\u0000", F.lit("no session"), F.col(key_col).cast("string")), 256)).alias("session_id"),
                            *([F.col(order_col)] if order_col else []), *keep_cols,
                            F.col(text_col).alias("_text"), "segs", cand.alias("_cand"))
     # rows that pass the exact pre-check carry the real work: fold once, keep the result

@@ -110,21 +110,10 @@ def rule_accept(rule: Rule, strict: bool) -> Optional[Callable[[Column], Column]
     return lambda hit: rule.validate(strip_whitespace(hit))
 
 
-# A cheap necessary condition per rule (a character every hit must contain).
-_HINTS = {"global.email": "@", "global.url": "://", "global.ipv6": ":"}
-
-
 def prefilter_pattern(rules: Iterable[Rule]) -> Optional[str]:
-    """Regex true for any text in which at least one of ``rules`` could match (exact pre-check)."""
-    hints = set()
-    for r in rules:
-        if r.rule_id in _HINTS:
-            hints.add(_HINTS[r.rule_id])
-        elif r.rule_id.startswith(("global.", "pl.", "en.")):
-            hints.add("[0-9]")
-        else:  # custom rule: no cheap hint known
-            return None
-    return "|".join(sorted(hints))
+    """Regex true for any text in which at least one of ``rules`` could match, or None without such a pattern."""
+    hints = {r.hint for r in rules}
+    return None if None in hints else "|".join(sorted(hints))
 
 
 def rule_passes(text: Column, rules: list[Rule], strict: bool = True, first_pass: int = 0) -> Column:

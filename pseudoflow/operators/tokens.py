@@ -28,7 +28,9 @@ MAPPING_COLS = ("session_id", "tag", "n", "token", "value")
 def hits_table(seg_df: DataFrame, key_col: str, session_col: str = "session_id",
                order_col: str | None = None, segs_col: str = "segs") -> DataFrame:
     """One row per accepted hit: key, session_id, call_seq, pass_no, idx, tag, value."""
-    call = F.col(order_col).cast("long") if order_col else F.lit(0).cast("long")
+    call = F.lit(0).cast("long")
+    if order_col:  # text holds a number; any other type orders as it is (timestamps by their fractions too)
+        call = F.col(order_col).cast("long") if seg_df.schema[order_col].dataType.simpleString() == "string" else F.col(order_col)
     return (
         seg_df.select(F.col(key_col).alias("_key"), F.col(session_col).alias("session_id"), call.alias("call_seq"),
                       F.posexplode(segs_col).alias("idx", "seg"))

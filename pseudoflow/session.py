@@ -60,7 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory.
 
     A cluster names its shared folder in ``spark.checkpoint.dir``; that setting is always
-    used when present.  Only when it is unset (local tests) a private folder is created.
+    used when present.  Where it is unset, a private folder is created on a local master (tests); a cluster
+    is refused.
     """
     try:
         sc = spark.sparkContext
@@ -73,6 +74,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="pseudoflow-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local)
     return local
