@@ -18,7 +18,7 @@ import os
 import re
 import struct
 import zlib
-from typing import Iterator
+from typing import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -62,35 +62,39 @@ class WordTokenizer:
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        split: dict[bytes, tuple[str, ...]] = {}
+    def _learn(self, new: Iterable[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that are not in the cache, from those of their parts."""
+        known, split, ask = self.parts, [], set()
         for w in new:
-            if b"|" in w:
-                split[w] = (w.decode(),)
-            else:
-                t = w.lower().decode()
-                m = TAIL.fullmatch(t) if len(t) <= LONG_WORD else None
-                split[w] = m.groups() if m else (t,)
-        ask = list({p for parts in split.values() for p in parts} - self.parts.keys())
-        known: dict[str, bytes] = {}
-        for i in range(0, len(ask), 10_000):
-            some = ask[i : i + 10_000]
+            head, tail = (w if b"|" in w else w.lower()).decode(), ""
+            if not head[-1].isalnum() and len(head) <= LONG_WORD and b"|" not in w and (m := TAIL.fullmatch(head)):
+                head, tail = m.groups()
+            split.append((w, head, tail))
+            if head not in known:
+                ask.add(head)
+            if tail not in known:
+                ask.add(tail)
+        asked = list(ask)
+        for i in range(0, len(asked), 10_000):
+            some = asked[i : i + 10_000]
             for p, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
-                (self.parts if len(p) <= LONG_WORD else known)[p] = np.array(e.ids, "<u4").tobytes()
-        get = lambda p: self.parts[p] if p in self.parts else known[p]
-        return {w: b"".join([get(p) for p in parts]) for w, parts in split.items()}
+                known[p] = struct.pack(f"<{len(e)}I", *e.ids)
+        out = {w: known[head] + known[tail] for w, head, tail in split}
+        for p in asked:
+            if len(p) > LONG_WORD:  # not kept
+                del known[p]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.encode().split() for t in texts]
         for cache in (self.words, self.parts):
             if len(cache) > CACHE_WORDS:
                 cache.clear()
-        learnt = self._learn(list(set().union(*words) - self.words.keys()))
-        long = {w: ids for w, ids in learnt.items() if len(w) > LONG_WORD}
+        self.parts[""] = b""
+        words = [t.encode().split() for t in texts]
+        found = [list(map(self.words.get, ws)) for ws in words]
+        learnt = self._learn({w for ws, ids in zip(words, found) for w, x in zip(ws, ids) if x is None})
         self.words.update((w, ids) for w, ids in learnt.items() if len(w) <= LONG_WORD)
-        if long:
-            return [b"".join([long[w] if w in long else self.words[w] for w in ws]) for ws in words]
-        return [b"".join(map(self.words.__getitem__, ws)) for ws in words]
+        return [b"".join([learnt[w] if x is None else x for w, x in zip(ws, ids)]) for ws, ids in zip(words, found)]
 
 
 @functools.lru_cache(maxsize=1)
