@@ -15,7 +15,7 @@ from __future__ import annotations
 from typing import Callable, Iterable, Iterator, Optional
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pseudoflow.operators.chunks import DEFAULT_MAX_LEN, chunks_expr
@@ -137,7 +137,7 @@ def dictionary_entities(df: DataFrame, gazetteer: DataFrame, text_col: str = "te
     The gazetteer is cut into shards of at most ``shard_bytes`` (size measured first); each shard
     is broadcast and matched with an Aho-Corasick automaton per task, so no document x entry
     pairs are ever formed and a large gazetteer costs more passes, not more memory.
-    Output: key, chunk_no (0), entity_no (first position order), type, value.
+    Output: key, chunk_no (0), entity_no (by first position, then the longer value, value and type), type, value.
     """
     import ahocorasick  # noqa: F401  (fail early on the driver when missing)
 
@@ -174,14 +174,13 @@ def dictionary_entities(df: DataFrame, gazetteer: DataFrame, text_col: str = "te
                         for t in ts:
                             if (t, v) not in first or start < first[(t, v)]:
                                 first[(t, v)] = start
-                    for j, ((t, v), _) in enumerate(sorted(first.items(), key=lambda kv: (kv[1], -len(kv[0][1])))):
-                        rows.append((key, 0, j, t, v))
-                yield pd.DataFrame(rows, columns=["k", "chunk_no", "entity_no", "type", "value"])
+                    rows.extend((key, p, t, v) for (t, v), p in first.items())
+                yield pd.DataFrame(rows, columns=["k", "pos", "type", "value"])
 
         part = df.select(F.col(key_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(
-            run, f"k {df.schema[key_col].dataType.simpleString()}, chunk_no int, entity_no int, type string, value string")
-        part = part.withColumn("shard", F.lit(shard))
+            run, f"k {df.schema[key_col].dataType.simpleString()}, pos int, type string, value string")
         out = part if out is None else out.unionByName(part)
-    out = out.withColumnRenamed("k", key_col)
-    # entity order across shards: by shard, then position
-    return out.withColumn("entity_no", (F.col("shard") * F.lit(1 << 20) + F.col("entity_no")).cast("int")).drop("shard")
+    # one order for any number of shards; only the hits move
+    order = Window.partitionBy("k").orderBy("pos", F.length("value").desc(), "value", "type")
+    return out.select(F.col("k").alias(key_col), F.lit(0).alias("chunk_no"), (F.row_number().over(order) - 1).alias("entity_no"),
+                      "type", "value")

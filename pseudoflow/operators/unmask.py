@@ -37,22 +37,30 @@ def unmask(df: DataFrame, mapping: DataFrame, text_col: str = "masked_text", key
     """Replace every known ``[TAG:N]`` of the row's session; unknown tokens stay.
 
     Only rows that contain token-shaped text are touched: their tokens are exploded, looked up
-    with an equi-join on (session, token) and folded back by row key.
+    with an equi-join on (session, token) and folded back by session and text, which alone decide the
+    result: ``key_col`` may repeat or be null (several answers to a document), and equal answers are
+    looked up once.  A null session keeps its tokens.  A mapping in which a token of a session has two
+    values is refused.
     """
     has = F.regexp(F.col(text_col), F.lit(TOKEN_PATTERN))
+    session = F.col(session_col).cast("string")
     t = df.withColumn("_has", F.coalesce(has, F.lit(False)))
-    with_tok = t.filter("_has")
+    with_tok = t.filter("_has").withColumn("_answer", F.sha2(F.to_json(F.struct(session.alias("s"), F.col(text_col).alias("t"))), 256))
     toks = with_tok.select(
-        F.col(key_col).alias("_k"), F.col(session_col).cast("string").alias("session_id"),
-        F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_PATTERN), F.lit(0))).alias("pos", "token"))
+        "_answer", session.alias("session_id"),
+        F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_PATTERN), F.lit(0))).alias("pos", "token")) \
+        .dropDuplicates(["_answer", "pos"])
+    twice = F.raise_error(F.concat(F.lit("the mapping has two values for "), F.any_value("token"), F.lit(" of one session")))
+    values = mapping.groupBy("session_id", "token").agg(
+        F.when(F.min("value").eqNullSafe(F.max("value")), F.min("value")).otherwise(twice).alias("value"))
     vals = (
-        toks.join(mapping.select("session_id", "token", "value"), ["session_id", "token"], "left")
-        .groupBy("_k")
+        toks.join(values, ["session_id", "token"], "left")
+        .groupBy(F.col("_answer").alias("_k"))
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("value", "token").alias("v")))),
                          lambda x: x["v"]).alias("_vals"))
     )
-    restored = with_tok.join(vals, with_tok[key_col] == vals["_k"], "left") \
-        .withColumn(out_col, _restore_expr(F.col(text_col), F.col("_vals"))).drop("_k", "_vals")
+    restored = with_tok.join(vals, F.col("_answer") == F.col("_k"), "left") \
+        .withColumn(out_col, _restore_expr(F.col(text_col), F.col("_vals"))).drop("_k", "_vals", "_answer")
     plain = t.filter(~F.col("_has")).withColumn(out_col, F.col(text_col))
     return restored.unionByName(plain).drop("_has")
 
@@ -63,7 +71,9 @@ def unmask_checked(df: DataFrame, mapping: DataFrame, text_col: str = "masked_te
     """Rows whose session is unknown get an error message and ``is_error = true``.
 
     Restore runs once over all rows (tokens of an unknown session simply stay); one left join with
-    the distinct known sessions then flags the rows (AQE splits a hot session on the big side).
+    the distinct known sessions then flags the rows (AQE splits a hot session on the big side).  A mapping
+    holds no sessions without hits: give ``known_sessions`` (every session that was masked) where there may be some.
+    The text of an unknown session stays in its own column; one named ``text`` moves to ``masked_text``.
     """
     sessions = (known_sessions if known_sessions is not None else mapping).select(
         F.col("session_id").cast("string").alias("_sid")).distinct().withColumn("_known", F.lit(True))
@@ -72,11 +82,14 @@ def unmask_checked(df: DataFrame, mapping: DataFrame, text_col: str = "masked_te
             .join(sessions, "_sid", "left_anti").limit(1).collect()
         if missing:
             raise KeyError(SESSION_NOT_FOUND.format(sid=missing[0][0]))
+    if text_col == "text":
+        if "masked_text" in df.columns:
+            raise ValueError("the input's text column would replace its masked_text")
+        df, text_col = df.withColumnRenamed("text", "masked_text"), "masked_text"
     restored = unmask(df, mapping, text_col, key_col, session_col, "_restored")
     flagged = restored.join(sessions, F.col(session_col).cast("string") == F.col("_sid"), "left")
     known = F.coalesce(F.col("_known"), F.lit(False))
-    message = F.format_string('Error: session "%s" not found. It may have expired or never existed.',
-                              F.col(session_col).cast("string"))
+    message = F.format_string(SESSION_NOT_FOUND.format(sid="%s"), F.col(session_col).cast("string"))
     return flagged.withColumn("text", F.when(known, F.col("_restored")).otherwise(message)) \
         .withColumn("is_error", ~known).drop("_sid", "_known", "_restored")
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
 
+#: Tasks that may write one bucket of a mapping.
+BUCKET_TASKS = 8
 
 # The row key of each shipped table (used to spread small inputs deterministically).
 TABLE_KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn"),
@@ -60,21 +62,24 @@ def write_outputs(masked: DataFrame, mapping: DataFrame, masked_path: str, mappi
                   session_buckets: int = 64, mode: str = "overwrite") -> None:
     """Masked rows and the (sensitive) mapping go to separate locations.
 
-    The mapping is partitioned by a hash bucket of the session id, so a restore of one session
-    reads one partition (partition pruning on ``session_bucket``).
+    The mapping is partitioned by the number of buckets and a hash bucket of the session id, so a restore of
+    one session reads one partition, whatever number it was written with.  A bucket is written by up to
+    ``BUCKET_TASKS`` tasks, so that a giant session is not one task's and files stay few.
     """
     masked.write.mode(mode).parquet(masked_path)
-    mapping.withColumn("session_bucket", F.pmod(F.xxhash64("session_id"), F.lit(session_buckets))) \
-        .write.mode(mode).partitionBy("session_bucket").parquet(mapping_path)
+    bucketed = mapping.withColumn("session_buckets", F.lit(session_buckets)) \
+        .withColumn("session_bucket", F.pmod(F.xxhash64("session_id"), F.lit(session_buckets)))
+    bucketed.repartition("session_bucket", F.pmod(F.xxhash64("token"), F.lit(BUCKET_TASKS))) \
+        .write.mode(mode).partitionBy("session_buckets", "session_bucket").parquet(mapping_path)
 
 
-def read_mapping(spark: SparkSession, mapping_path: str, session_id: Optional[str] = None,
-                 session_buckets: int = 64) -> DataFrame:
+def read_mapping(spark: SparkSession, mapping_path: str, session_id: Optional[str] = None) -> DataFrame:
+    """The mapping that ``write_outputs`` wrote; with ``session_id`` only that session's partitions are read."""
     df = spark.read.parquet(mapping_path)
     if session_id is not None:
-        bucket = F.pmod(F.xxhash64(F.lit(session_id)), F.lit(session_buckets))
+        bucket = F.pmod(F.xxhash64(F.lit(session_id)), F.col("session_buckets"))
         df = df.filter((F.col("session_bucket") == bucket) & (F.col("session_id") == session_id))
-    return df.drop("session_bucket")
+    return df.drop("session_buckets", "session_bucket")
 
 
 # The generated PII notes (both Spark SQL and DuckDB run this text; reads only `customer`).

@@ -1,5 +1,6 @@
 """Restore edge cases, response rows, chunking, replies, status, language."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from pseudoflow.operators import chunks as C
@@ -18,6 +19,38 @@ def test_unknown_tokens_and_sessions(spark):
     assert got[3][1] is True and 'session "zz" not found' in got[3][0]
 
 
+MAPPING = "session_id string, tag string, n long, token string, value string"
+
+
+def test_answers_that_share_a_key_are_not_mixed(spark):
+    """Several answers of a document, null keys and sessions, equal answers, an empty session."""
+    mapping = spark.createDataFrame([("s", "EMAIL", 1, "[EMAIL:1]", "a@s.com"), ("s", "EMAIL", 2, "[EMAIL:2]", "b@s.com"),
+                                     ("t", "EMAIL", 1, "[EMAIL:1]", "c@t.com")], MAPPING)
+    rows = [(1, "s", "[EMAIL:1]"), (1, "s", "[EMAIL:2] [EMAIL:1]"), (1, "t", "[EMAIL:1]"), (None, "t", "x [EMAIL:1]"), (1, None, "[EMAIL:1]"),
+            (1, "s", "[EMAIL:1]"), (2, "u", "nothing"), (3, "s", None)]
+    df = spark.createDataFrame(rows, "doc_id int, session_id string, masked_text string")
+    got = sorted(((r.doc_id, r.session_id, r.masked_text, r.restored_text) for r in U.unmask(df, mapping).collect()), key=str)
+    texts = ["a@s.com", "b@s.com a@s.com", "c@t.com", "x c@t.com", "[EMAIL:1]", "a@s.com", "nothing", None]
+    assert got == sorted([(*r, x) for r, x in zip(rows, texts)], key=str)
+    known = spark.createDataFrame([("s",), ("t",), ("u",)], "session_id string")
+    flags = {(r.session_id, r.is_error) for r in U.unmask_checked(df, mapping, known_sessions=known).collect()}
+    assert flags == {("s", False), ("t", False), ("u", False), (None, True)}
+
+
+def test_mapping_with_two_values_is_refused(spark):
+    mapping = spark.createDataFrame([("s", "EMAIL", 1, "[EMAIL:1]", "a@s.com"), ("s", "EMAIL", 1, "[EMAIL:1]", "b@s.com")], MAPPING)
+    df = spark.createDataFrame([(1, "s", "[EMAIL:1]")], "doc_id int, session_id string, masked_text string")
+    with pytest.raises(Exception, match="two values"):
+        U.unmask(df, mapping).collect()
+
+
+def test_text_of_an_unknown_session_is_kept(spark):
+    mapping = spark.createDataFrame([], MAPPING)
+    df = spark.createDataFrame([(1, "s", "[EMAIL:1]")], "doc_id int, session_id string, text string")
+    row = U.unmask_checked(df, mapping, "text").first()
+    assert row.is_error and row.masked_text == "[EMAIL:1]" and row.text.startswith("Error: session")
+
+
 def test_mask_response_warning(spark):
     df = spark.createDataFrame([("s", "x", "warming_up"), ("t", "y", "ready")], "session_id string, masked_text string, ner_status string")
     rows = {r.session_id: r for r in U.mask_response(df).collect()}
