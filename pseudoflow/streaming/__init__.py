@@ -9,13 +9,16 @@
   own ``batch_id=N`` partitions with overwrite, so a replayed batch after a failure rewrites
   the same rows (idempotent).
 * ST3 ``SessionUnmaskSink``: restore each micro-batch against the mapping table.
-* ST4 session expiry: ``ttl_batches`` drops sessions not seen for that many batches before a
-  batch is numbered (their numbering restarts, like a cleared session).  Off by default.
+* ST4 session expiry: a session without rows for more than ``ttl_batches`` batches starts a new
+  generation, whose numbers restart at 1 under a session id of its own (``GENERATION`` and a number are
+  added), so texts masked before the expiry never get the values of later ones.  Off by default.
+
+The mapping folder belongs to one stream: ``mapping_path.query`` names it, and another stream, such as one
+with a new checkpoint that would count its batches from 0 again, is refused before it writes anything.
 """
 
 from __future__ import annotations
 
-import os
 from typing import Optional, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,28 +45,36 @@ def detect_stream(stream: DataFrame, rules: Sequence[Rule], text_col: str = "tex
     return D.detect(stream, rules, text_col, key_col)
 
 
-def _has_data(spark: SparkSession, path: str) -> bool:
-    try:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-        return fs.exists(jpath) and len(fs.listStatus(jpath)) > 0
-    except Exception:  # noqa: BLE001
-        return os.path.isdir(path) and bool(os.listdir(path))
+#: Stands between a session id and the number of its generation, from the second one on.
+GENERATION = "\u001f"
 
 
-def read_mapping(spark: SparkSession, mapping_path: str, before_batch: Optional[int] = None,
-                 ttl_batches: Optional[int] = None) -> Optional[DataFrame]:
-    """Mapping rows written by earlier batches (optionally without expired sessions)."""
+def _has_data(spark: SparkSession, path: str) -> bool:
+    """Errors of the store are raised: an unreadable mapping must not look like an empty one."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(jpath) and len(fs.listStatus(jpath)) > 0
+
+
+def _claim(spark: SparkSession, mapping_path: str) -> None:
+    """Note which stream writes the mapping; its id outlives restarts from the same checkpoint."""
+    query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "no stream"
+    path = f"{mapping_path}.query"
+    noted = spark.read.text(path).first() if _has_data(spark, path) else None
+    if noted is None and _has_data(spark, mapping_path):
+        raise RuntimeError(f"{mapping_path} holds a mapping of an unknown stream")
+    if noted is not None and noted[0] != query:
+        raise RuntimeError(f"{mapping_path} belongs to stream {noted[0]}, not to {query}: resume from its checkpoint or take a new folder")
+    if noted is None:
+        spark.range(1).select(F.lit(query).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_mapping(spark: SparkSession, mapping_path: str, before_batch: Optional[int] = None) -> Optional[DataFrame]:
+    """Mapping rows written by earlier batches."""
     if not _has_data(spark, mapping_path):
         return None
     m = spark.read.option("basePath", mapping_path).parquet(mapping_path)
-    if before_batch is not None:
-        m = m.filter(F.col("batch_id") < before_batch)
-    if ttl_batches is not None and before_batch is not None:
-        live = m.groupBy("session_id").agg(F.max("batch_id").alias("last_batch")) \
-            .filter(F.col("last_batch") >= before_batch - ttl_batches).select("session_id")
-        m = m.join(live, "session_id", "left_semi")
-    return m
+    return m if before_batch is None else m.filter(F.col("batch_id") < before_batch)
 
 
 class SessionMaskSink:
@@ -83,9 +94,30 @@ class SessionMaskSink:
         self.options, self.strategy, self.ttl, self.keep_cols = options, strategy, ttl_batches, tuple(keep_cols)
         self.seg_kwargs = seg_kwargs
 
+    def _with_generations(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """ST4: note the batch's sessions as seen; those that had expired get the id of a new generation."""
+        spark, path = batch.sparkSession, f"{self.mapping_path}.sessions"
+        here = batch.select(F.col(self.session_col).cast("string").alias("_sid")).where("_sid IS NOT NULL").distinct()
+        if _has_data(spark, path):
+            seen = spark.read.option("basePath", path).parquet(path).filter(F.col("batch_id") < batch_id)
+            last = seen.groupBy("_sid").agg(F.max(F.struct("batch_id", "_generation")).alias("last"))
+            expired = (F.col("last.batch_id") < batch_id - self.ttl).cast("int")
+            here = here.join(last, "_sid", "left").select(
+                "_sid", F.coalesce(F.col("last._generation") + expired, F.lit(1)).alias("_generation"))
+        else:
+            here = here.withColumn("_generation", F.lit(1))
+        here.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        later = spark.read.schema(here.schema).parquet(f"{path}/batch_id={batch_id}").where("_generation > 1")
+        sid = F.col(self.session_col).cast("string")
+        named = F.when(F.col("_generation").isNull(), sid).otherwise(F.concat(sid, F.lit(GENERATION), F.col("_generation").cast("string")))
+        return batch.join(later, sid == F.col("_sid"), "left").withColumn(self.session_col, named).drop("_sid", "_generation")
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        existing = read_mapping(spark, self.mapping_path, before_batch=batch_id, ttl_batches=self.ttl)
+        _claim(spark, self.mapping_path)
+        if self.ttl is not None:
+            batch = self._with_generations(batch, batch_id)
+        existing = read_mapping(spark, self.mapping_path, before_batch=batch_id)
         existing_m = None
         if existing is not None:
             # only the sessions of this batch matter: the numbering joins never touch the rest

@@ -3,6 +3,7 @@
 import json
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from pseudoflow.operators import entities as N
@@ -10,7 +11,7 @@ from pseudoflow.operators import mask as M
 from pseudoflow.options import MaskOptions
 from pseudoflow.session import ensure_checkpoint_dir
 from pseudoflow.sources import read_documents
-from pseudoflow.streaming import SessionMaskSink, read_batches
+from pseudoflow.streaming import SessionMaskSink, SessionUnmaskSink, read_batches, run_available
 
 
 def test_read_documents_formats(spark):
@@ -37,6 +38,38 @@ def test_session_expiry_restarts_numbering(spark):
     assert got == {1: "[EMAIL:1]", 2: "[EMAIL:1]", 3: "[EMAIL:2]", 4: "[EMAIL:1]"}
 
 
+def test_restore_after_expiry_and_last_seen(spark):
+    """Old and new texts get their own values; a session that repeats its values stays alive; a replay changes nothing."""
+    base = f"{ensure_checkpoint_dir(spark)}/ttl-{uuid.uuid4().hex}"
+    schema = "doc_id int, sid string, seq int, text string"
+    sink = SessionMaskSink(f"{base}/map", f"{base}/out", session_col="sid", order_col="seq", ttl_batches=1)
+    rows = [(1, "a", 1, "x@y.com"), (2, "a", 2, "x@y.com"), (3, "a", 3, "x@y.com w@y.com"), (4, "b", 1, "q@y.com"), (5, "b", 2, "none"), (6, "a", 4, "z@y.com and w@y.com")]
+    for n, row in enumerate(rows):
+        sink(spark.createDataFrame([row], schema), n)
+    sink(spark.createDataFrame([rows[-1]], schema), len(rows) - 1)
+    out = read_batches(spark, f"{base}/out")
+    assert {r.doc_id: r.masked_text for r in out.collect()} == {
+        1: "[EMAIL:1]", 2: "[EMAIL:1]", 3: "[EMAIL:1] [EMAIL:2]", 4: "[EMAIL:1]", 5: "none", 6: "[EMAIL:1] and [EMAIL:2]"}
+    SessionUnmaskSink(f"{base}/map", f"{base}/back", masked_path=f"{base}/out")(out.drop("batch_id"), 0)
+    assert {r.doc_id: r.text for r in read_batches(spark, f"{base}/back").collect()} == {r[0]: r[3] for r in rows}
+
+
+def test_new_checkpoint_is_refused(spark):
+    base = f"{ensure_checkpoint_dir(spark)}/own-{uuid.uuid4().hex}"
+    schema = "doc_id int, sid string, text string"
+    sink = SessionMaskSink(f"{base}/map", f"{base}/out", session_col="sid")
+    read = lambda n: spark.readStream.schema(schema).parquet(f"{base}/in{n}")
+    spark.createDataFrame([(1, "s", "x@y.com")], schema).write.parquet(f"{base}/in1")
+    run_available(read(1), sink, f"{base}/ck")
+    spark.createDataFrame([(2, "s", "v@y.com")], schema).write.mode("append").parquet(f"{base}/in1")
+    run_available(read(1), sink, f"{base}/ck")  # the same checkpoint goes on
+    spark.createDataFrame([(3, "s", "z@y.com")], schema).write.parquet(f"{base}/in2")
+    with pytest.raises(Exception, match="belongs to stream"):
+        run_available(read(2), sink, f"{base}/ck2")
+    got = {(r.token, r.value) for r in read_batches(spark, f"{base}/map").collect()}
+    assert got == {("[EMAIL:1]", "x@y.com"), ("[EMAIL:2]", "v@y.com")}
+
+
 def test_extractor_failure_keeps_rule_output(spark):
     def broken(chunk, known):
         raise ConnectionError("refused")
