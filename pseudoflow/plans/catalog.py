@@ -478,6 +478,20 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- U3 / U7 / T3 / T6 / M6
 
+@register("unmask_answers", _SESSION_CTE + """
+SELECT n.doc_id, a.answer_no, CASE a.answer_no WHEN 0 THEN n.text WHEN 1 THEN 'Again: ' || n.text || ' [NONE:1]' ELSE m.masked_text END AS restored_text
+FROM masked m JOIN (""" + NOTES_SQL + """) n ON m.k = n.doc_id, (VALUES (0), (1), (2)) a(answer_no)""")
+def unmask_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three answers to a note share its key; the third is of a session without values."""
+    res = _notes_sessions(spark, sf_dir).checkpoint()
+    answer = lambda n, sid, text: F.struct(F.lit(n).alias("answer_no"), sid.alias("sid"), text.alias("answer"))
+    sid, text = F.col("session_id"), F.col("masked_text")
+    answers = res.masked.select("doc_id", F.inline(F.array(
+        answer(0, sid, text), answer(1, sid, F.concat(F.lit("Again: "), text, F.lit(" [NONE:1]"))),
+        answer(2, F.concat(F.lit("other "), sid), text))))
+    return U.unmask(answers, res.mapping, "answer", "doc_id", "sid").select("doc_id", "answer_no", "restored_text")
+
+
 @register("mask_response", _SESSION_CTE + """
 SELECT n.doc_id, n.session_id, m.masked_text, false AS auto_unmask, 'disabled' AS ner_status,
        CAST(NULL AS VARCHAR) AS ner_warning
