@@ -12,6 +12,7 @@ columns are ignored by ``find`` and passed through by ``redact``.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from typing import Iterator
@@ -125,10 +126,20 @@ def scored_spans(text: str, taken: list[tuple[int, int]], min_score: float = MIN
     for m in PHONE_LOCAL.finditer(text):
         propose("phone_local", *m.span(), False)
     kept: dict[str, list[tuple[int, int]]] = {k: [] for k in ADDED_KINDS}
-    taken = list(taken)
+    # disjoint: of the kept spans, those that overlap are joined (a span overlaps one if and only if it overlaps the join)
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(taken):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for _, kind, start, end in sorted(proposed):
-        if all(end <= a or b <= start for a, b in taken):
-            taken.append((start, end))
+        at = bisect.bisect_right(ends, start)  # the first kept span that ends after this one starts
+        if at == len(starts) or end <= starts[at]:
+            starts.insert(at, start)
+            ends.insert(at, end)
             kept[kind].append((start, end))
     return {k: sorted(v) for k, v in kept.items()}
 
