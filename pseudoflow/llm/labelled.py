@@ -19,7 +19,8 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text",
            label_id: str = "doc_id") -> tuple[DataFrame, dict[int, int]]:
     """(doc_id, y, text) of at most ``per_class`` ids of each class, chosen by hash, outside the held-out fold; and
-    how many ids each class has.  Ids with null or contradictory labels are left out."""
+    how many ids each class has.  Ids with null or contradictory labels are left out; an id that several rows have gives
+    its smallest text, so the sample stays within its bound."""
     mine = labels.select(labels[label_id].cast("long").alias("doc_id"), labels[label].cast("int").alias("y")).where("y in (0, 1)")
     mine = mine.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2")
     mine = written(mine.select("doc_id", "y"), f"labels-{label}")
@@ -27,8 +28,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_co
     some = [mine.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     chosen = written(some[0].unionByName(some[1]), f"sample-{label}").withColumnRenamed("doc_id", "label_id")
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
-    # at most 2 * per_class narrow rows
-    return texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["label_id"]).select("doc_id", "y", "text"), sizes
+    # at most 2 * per_class narrow rows; partial aggregation keeps one text of an id, however many rows have it
+    found = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["label_id"])
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")), sizes
 
 
 def platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[float, float]:

@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from pseudoflow.llm import chat, pii, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, toxicity
+from pseudoflow.llm import chat, labelled, pii, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, toxicity
 
 NAMES = ["docs", "odd", "clash"]
 
@@ -64,6 +64,30 @@ def test_pii_scores_and_masks():
 
 # ---- 2 and 7: against their SQL
 
+def test_pii_added_spans_never_overlap_kept_ones():
+    rng = np.random.default_rng(3)
+    parts = ["call 212-555-0187", "+1 212-555-0187", "ssn 123-45-6789", "4111 1111 1111 1111", "378282246310005", "card", "iban DE89 3704 0044 0532 0130 00", "1.2.3.4", " ", ","]
+    for _ in range(300):
+        text = rng.choice(["", " "]).join(rng.choice(parts, rng.integers(1, 12)))
+        base, added = pii.spans(text)
+        kept = [x for v in base.values() for x in v]
+        for a, b in sorted(x for v in added.values() for x in v):
+            assert all(b <= c or d <= a for c, d in kept)
+            kept.append((a, b))
+    many = "call 212-555-0187, " * 30_000
+    assert len(pii.spans(many)[1]["phone_local"]) == 30_000
+
+
+def test_labelled_sample_keeps_its_bound(spark):
+    ids = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(ids[0], f"text {k}") for k in range(50)] + [(i, "other") for i in ids[1:]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    rows, sizes = labelled.sample(docs, labels, "quality", 100)
+    got = rows.collect()
+    assert len(got) == len(ids) == sum(sizes.values())
+    assert {r.doc_id: r.text for r in got}[ids[0]] == "text 0"
+
+
 def against_sql(sql, **tables):
     con = duckdb.connect()
     for name, df in tables.items():
