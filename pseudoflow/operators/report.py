@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Optional, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def pii_report(spans: DataFrame, docs: DataFrame, group_cols: Sequence[str], key_col: str = "doc_id",
+def pii_report(spans: DataFrame, docs: Optional[DataFrame], group_cols: Sequence[str], key_col: str = "doc_id",
                rollup: bool = False) -> DataFrame:
     """D3: per group and tag — accepted hits, distinct accepted values, rejected candidates, documents.
 
-    ``spans`` comes from ``detect`` (key, tag, value, valid); ``docs`` supplies the group columns.
+    ``spans`` comes from ``detect`` (key, tag, value, valid); the group columns are carried by it
+    (``detect(..., carry=group_cols)``), or joined from ``docs`` if that is given.
     """
-    joined = spans.join(docs.select(key_col, *group_cols), key_col)
+    joined = spans if docs is None else spans.join(docs.select(key_col, *group_cols), key_col)
     keys = [*group_cols, "tag"]
     aggs = [
         F.count(F.when(F.col("valid"), 1)).alias("hits"),

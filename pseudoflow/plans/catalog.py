@@ -86,6 +86,13 @@ for _rid, (_name, _table) in DETECT_SOURCES.items():
     register(_name, O.detect_sql(_source_sql(_table), "doc_id", "text", rule_by_id(_rid)))(_make_detect(_rid, _table))
 
 
+@register("detect_page_urls", O.detect_sql("SELECT page_id AS doc_id, url AS text FROM pages", "doc_id", "text", rule_by_id("global.url")))
+def detect_page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R6 on the addresses of the pages, where every row has a hit."""
+    pages = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("text"))
+    return D.detect(pages, [rule_by_id("global.url")]).select("doc_id", "hit_no", "value", "valid")
+
+
 # ---------------------------------------------------------------- M1/M4/T8: row-local masking
 
 @register("mask_documents_en", O.mask_rows_sql(_source_sql("documents"), "doc_id", "text", {"en": PACKS["en"]}))
@@ -228,8 +235,8 @@ FROM spans s JOIN documents d ON s.doc_id = d.doc_id GROUP BY d.source, s.tag"""
 def pii_report_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pseudoflow.operators.report import pii_report
     docs = read_table(spark, sf_dir, "documents")
-    spans = D.detect(docs, _REPORT_RULES)
-    return pii_report(spans, docs, ["source"])
+    spans = D.detect(docs, _REPORT_RULES, carry=["source"])
+    return pii_report(spans, None, ["source"])
 
 
 def _rules_by_level_sql() -> str:
@@ -680,7 +687,7 @@ def pii_report_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3 with subtotals per source and a grand total (rollup)."""
     from pseudoflow.operators.report import pii_report
     docs = read_table(spark, sf_dir, "documents")
-    return pii_report(D.detect(docs, _REPORT_RULES), docs, ["source"], rollup=True)
+    return pii_report(D.detect(docs, _REPORT_RULES, carry=["source"]), None, ["source"], rollup=True)
 
 
 _LANG_ORACLE = ORACLE["detect_language"]
