@@ -39,7 +39,8 @@ class Codec:
         n = sp.get_piece_size()
         self.piece = [sp.id_to_piece(i) for i in range(n)]
         self.byte = {int(self.piece[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
-        self.of_byte = {i: b for b, i in self.byte.items()}
+        of_byte = {i: b for b, i in self.byte.items()}
+        self.raw = [bytes([of_byte[i]]) if i in of_byte else p.replace(SPACE, " ").encode() for i, p in enumerate(self.piece)]
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.id = {self.piece[i]: i for i in plain}
         self.score = {self.piece[i]: sp.get_score(i) for i in plain}
@@ -162,10 +163,7 @@ class Codec:
         return b"".join(out)
 
     def decode(self, packed: bytes) -> str:
-        out = []
-        for i in array("I", packed):
-            out.append(bytes([self.of_byte[i]]) if i in self.of_byte else self.piece[i].replace(SPACE, " ").encode())
-        return b"".join(out).decode("utf-8", "replace")[1:]
+        return b"".join(map(self.raw.__getitem__, array("I", packed))).decode("utf-8", "replace")[1:]
 
 
 @functools.lru_cache(maxsize=1)
