@@ -4,8 +4,9 @@ A word's subwords are itself and its character 3- to 5-grams with word ends, has
 misspelling shares most vectors with the word.  A text's score is that of its worst window of ``WINDOW``
 words (windows overlap by half), so a few words in a long text are not averaged away.  Labels hold for
 texts, not windows: after two epochs over all windows, only the worst window of a toxic text counts as
-toxic.  The model is fitted in one task to at most ``per_class`` labelled rows of each class and at most
-``MAX_WINDOWS`` windows of clean ones (documented bounds); every word of every row is scored.
+toxic.  The model is fitted in one task to at most ``per_class`` labelled rows of each class (documented
+bound), to every window of theirs: only word numbers are held, a batch's subwords are looked up when it is
+its turn.  Every word of every row is scored.
 
 As the average and the layer are linear, scoring needs one number for each subword, and a word's sum is
 kept in the worker.
@@ -19,6 +20,7 @@ import functools
 import pickle
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 from typing import Iterator
 
@@ -31,7 +33,7 @@ from pseudoflow.llm import labelled
 from pseudoflow.llm.common import text_or_empty, written
 
 BUCKETS, DIM, WINDOW = 1 << 16, 4, 6
-PER_CLASS, MAX_WINDOWS = 1500, 30_000
+PER_CLASS = 1500
 THRESHOLD = 0.5
 CACHE_WORDS, LONG_WORD = 400_000, 64
 WORDS = re.compile(r"[^\W_]+")
@@ -87,14 +89,63 @@ class Scorer:
         return float(((sums[last, 0] - sums[first, 0]) / (sums[last, 1] - sums[first, 1])).max()) + self.model.bias
 
 
-def _windows(text: str, vocabulary: dict[str, int], grams: list[np.ndarray]) -> list[np.ndarray]:
-    ids = []
-    for w in words_of(text):
-        if w not in vocabulary:
-            vocabulary[w] = len(grams)
-            grams.append(subwords(w))
-        ids.append(vocabulary[w])
-    return [np.concatenate([grams[i] for i in ids[s : s + WINDOW]]).astype(np.uint16) for s in starts(len(ids))] if ids else []
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[k], first[k] + 1, ..., n[k] numbers for each k, end to end."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1]) + np.repeat(first - ends + n, n)
+
+
+def _firsts(n: np.ndarray) -> np.ndarray:
+    return np.cumsum(n) - n
+
+
+class Windows:
+    """All windows of some texts, as places in one run of word numbers; those of text k are of[k] to of[k + 1]."""
+
+    def __init__(self, texts: list[str]):
+        vocabulary: dict[str, int] = {}
+        grams, words = array("H"), array("i")
+        gram_first, gram_n, first, n, of = array("q"), array("i"), [], [], [0]
+        for text in texts:
+            at = len(words)
+            for w in words_of(text):
+                k = vocabulary.setdefault(w, len(vocabulary))
+                if k == len(gram_n):
+                    ids = subwords(w)
+                    gram_first.append(len(grams))
+                    gram_n.append(len(ids))
+                    grams.frombytes(ids.astype(np.uint16).tobytes())
+                words.append(k)
+            if len(words) > at:
+                lo = np.array(starts(len(words) - at), np.int64) + at
+                first.append(lo)
+                n.append(np.minimum(WINDOW, len(words) - lo).astype(np.int8))
+            of.append(of[-1] + (len(first[-1]) if len(words) > at else 0))
+        self.words, self.grams = np.array(words, np.int32), np.array(grams, np.uint16)
+        self.gram_first, self.gram_n = np.array(gram_first, np.int64), np.array(gram_n, np.int64)
+        self.first, self.n = np.concatenate([np.zeros(0, np.int64), *first]), np.concatenate([np.zeros(0, np.int8), *n])
+        self.of = np.array(of)
+
+    def batch(self, some: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the windows ``some``: the distinct words' buckets, end to end, and how many each word has; each window
+        word's place among the distinct words; how many words and how many buckets each window has."""
+        n = self.n[some].astype(np.int64)
+        w = self.words[_ranges(self.first[some], n)]
+        distinct, place = np.unique(w, return_inverse=True)
+        of_word = self.gram_n[distinct]
+        ids = self.grams[_ranges(self.gram_first[distinct], of_word)].astype(np.int64)
+        return ids, of_word, place, n, np.add.reduceat(of_word[place], _firsts(n))
+
+    def worst(self, text: int, values: np.ndarray) -> int:
+        """The window of a text whose subwords have the largest mean of ``values``; of equal ones the first."""
+        some = np.arange(self.of[text], self.of[text + 1])
+        w = self.words[self.first[some[0]] : self.first[some[-1]] + self.n[some[-1]]]
+        n = self.gram_n[w]
+        sums = np.add.reduceat(values[self.grams[_ranges(self.gram_first[w], n)]], _firsts(n))
+        sums, n = np.r_[0, np.cumsum(sums)], np.r_[0, np.cumsum(n)]
+        lo = self.first[some] - self.first[some[0]]
+        hi = lo + self.n[some]
+        return int(some[np.argmax((sums[hi] - sums[lo]) / (n[hi] - n[lo]))])
 
 
 def fit(texts: list[str], y: np.ndarray, sizes: dict[int, int], epochs: int = 5, rate: float = 0.25, batch: int = 128, seed: int = 11) -> Model:
@@ -103,39 +154,30 @@ def fit(texts: list[str], y: np.ndarray, sizes: dict[int, int], epochs: int = 5,
         share = 0.5 if not sizes else sizes.get(1, 0) / sum(sizes.values())
         return Model(np.zeros(BUCKETS), 0.0, 1.0, float(np.log(max(share, 1e-3) / max(1 - share, 1e-3))))
     rng = np.random.default_rng(seed)
-    vocabulary: dict[str, int] = {}
-    grams: list[np.ndarray] = []
-    toxic, clean = [], []
-    for i in rng.permutation(len(texts)):
-        if y[i] == 1:
-            toxic.append(_windows(texts[i], vocabulary, grams))
-        elif len(clean) < MAX_WINDOWS:
-            clean += _windows(texts[i], vocabulary, grams)[: MAX_WINDOWS - len(clean)]
-        if len(grams) > CACHE_WORDS:
-            vocabulary.clear()
-            grams.clear()
-    toxic = [x for x in toxic if x]
+    dealt = rng.permutation(len(texts))
+    windows = Windows([texts[i] for i in dealt])
+    toxic = [k for k, i in enumerate(dealt) if y[i] == 1 and windows.of[k] < windows.of[k + 1]]
+    is_toxic = np.repeat(y[dealt] == 1, np.diff(windows.of))
+    clean = np.flatnonzero(~is_toxic)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     layer, offset = rng.normal(0, 0.3, (DIM, 2)), np.zeros(2)
     seen_v, seen_l, seen_o = np.full(BUCKETS, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
     for epoch in range(epochs):
         if epoch < 2:
-            positive = [x for xs in toxic for x in xs]
+            positive = np.flatnonzero(is_toxic)
         else:  # the worst window of each toxic text
             v = vectors @ (layer[:, 1] - layer[:, 0])
-            positive = [xs[int(np.argmax([v[x].mean() for x in xs]))] for xs in toxic]
-        items = positive + clean
+            positive = np.array([windows.worst(k, v) for k in toxic], np.int64)
+        items = np.r_[positive, clean]
         target = np.r_[np.ones(len(positive), int), np.zeros(len(clean), int)]
         weight = np.where(target == 1, 0.5 / max(1, len(positive)), 0.5 / max(1, len(clean))) * len(items)
         weight = np.minimum(weight, 10.0)
         order = rng.permutation(len(items))
         for at in range(0, len(order), batch):
             some = order[at : at + batch]
-            ids = np.concatenate([items[k] for k in some]).astype(np.int64)
-            n = np.array([len(items[k]) for k in some])
-            row = np.repeat(np.arange(len(some)), n)
-            first = np.r_[0, np.cumsum(n)[:-1]]
-            mean = np.add.reduceat(vectors[ids], first, axis=0) / n[:, None]
+            ids, of_word, place, words, n = windows.batch(items[some])
+            sums = np.add.reduceat(vectors[ids], _firsts(of_word), axis=0)
+            mean = np.add.reduceat(sums[place], _firsts(words), axis=0) / n[:, None]
             z = mean @ layer + offset
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -143,10 +185,12 @@ def fit(texts: list[str], y: np.ndarray, sizes: dict[int, int], epochs: int = 5,
             p *= weight[some, None]
             g_layer, g_offset = mean.T @ p / len(some), p.mean(axis=0)
             back = (p @ layer.T) / n[:, None]
-            g = np.column_stack([np.bincount(ids, back[row, d], BUCKETS) for d in range(DIM)])
-            touched = np.unique(ids)
-            seen_v[touched] += (g[touched] ** 2).mean(axis=1)
-            vectors[touched] -= rate * g[touched] / np.sqrt(seen_v[touched])[:, None] * 0.2
+            row = np.repeat(np.arange(len(some)), words)
+            per_word = [np.bincount(place, back[row, d], len(of_word)) for d in range(DIM)]
+            touched, at_touched = np.unique(ids, return_inverse=True)
+            g = np.column_stack([np.bincount(at_touched, np.repeat(x, of_word), len(touched)) for x in per_word])
+            seen_v[touched] += (g**2).mean(axis=1)
+            vectors[touched] -= rate * g / np.sqrt(seen_v[touched])[:, None] * 0.2
             seen_l += g_layer**2
             seen_o += g_offset**2
             layer -= 0.05 * g_layer / np.sqrt(seen_l)

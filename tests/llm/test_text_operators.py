@@ -227,6 +227,40 @@ def test_toxicity_knows_misspellings():
     assert p("river stone wall disgustingg town along") > p(clean[0]) and p("quiet horrrible town near runs wall") > p(clean[0])
 
 
+def long_clean_texts():
+    """Clean texts of a kind each, 40,000 windows in all; toxic ones are of the same kinds with one word more."""
+    rng = np.random.default_rng(7)
+    kinds = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(20)] for _ in range(40)]
+    clean = [" ".join(rng.choice(kind, 3000)) for kind in kinds]
+    toxic = [" ".join(np.r_[rng.choice(kind, 6), ["scumbag"], rng.choice(kind, 6)]) for kind in kinds for _ in range(3)]
+    return clean, toxic
+
+
+def test_toxicity_learns_from_all_clean_windows():
+    clean, toxic = long_clean_texts()
+    model = toxicity.fit(clean + toxic, np.array([0] * len(clean) + [1] * len(toxic)), {0: 4000, 1: 400})
+    margin = np.array([toxicity.Scorer(model).margin(t) for t in clean + toxic])
+    scores = labelled.score(margin, model.a, model.b)
+    assert max(scores[: len(clean)]) < 0.5 < min(scores[len(clean) :])
+
+
+def test_toxicity_windows_are_those_of_the_text():
+    texts = ["", "one", "a b c d e f", "a b c d e f g", "un deux un trois " * 50, "?!"]
+    windows = toxicity.Windows(texts)
+    values = np.random.default_rng(2).normal(size=toxicity.BUCKETS)
+    for k, text in enumerate(texts):
+        words, some = toxicity.words_of(text), np.arange(windows.of[k], windows.of[k + 1])
+        expected = [words[s : s + toxicity.WINDOW] for s in toxicity.starts(len(words))] if words else []
+        assert len(some) == len(expected)
+        for at, w in zip(some, expected):
+            ids, _, place, n, buckets = windows.batch(np.array([at]))
+            assert sorted(set(ids)) == sorted({b for x in w for b in toxicity.subwords(x)}) and len(place) == n[0] == len(w)
+            assert buckets[0] == sum(len(toxicity.subwords(x)) for x in w)
+        if expected:
+            means = [np.concatenate([values[toxicity.subwords(x)] for x in w]).mean() for w in expected]
+            assert means[windows.worst(k, values) - some[0]] == pytest.approx(max(means))
+
+
 # ---- 9
 
 def test_codec_is_the_library(docs):
