@@ -34,10 +34,20 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4})")
+IBAN_GROUP = re.compile(r" ?[A-Z0-9]{4}")
+IBAN_REST = re.compile(r" ?[A-Z0-9]{1,3}(?![A-Za-z0-9])")
+IBAN_END = re.compile(r"(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 PHONE_LOCAL = re.compile(r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])")
 
+#: Characters of an IBAN by country (SWIFT's register).
+IBAN_CHARS = {x[:2]: int(x[2:]) for x in """
+    AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18
+    FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20
+    LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24
+    SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30""".split()}
+
 #: prior, gain by a passed checksum, context words (looked for in the text before the span)
 SCORED = {
     "iban": (0.3, 0.4, ("iban", "account", "bank", "konto", "compte", "cuenta")),
@@ -65,6 +75,44 @@ def mod97(iban: str) -> bool:
     return rest == 1
 
 
+def iban_ends(text: str, at: int) -> list[int]:
+    """Where an IBAN whose first four characters end at ``at`` may end, longest first: after 2 to 7 groups of four
+    and up to three characters more, never inside a word."""
+    ends = []
+    for k in range(1, 8):
+        m = IBAN_GROUP.match(text, at)
+        if not m:
+            break
+        at = m.end()
+        if k > 1:
+            rest = IBAN_REST.match(text, at)
+            ends += [x for x, ok in ((at, IBAN_END.match(text, at)), (rest and rest.end(), rest)) if ok]
+    return ends[::-1]
+
+
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Confirmed IBANs, disjoint.  A following word or number may look like groups of the number, and a word before it like
+    its start: spans of their country's length come first, then others by their longest end (for countries that are not in
+    the register also by a shorter one) where they don't overlap those."""
+    exact: list[tuple[int, int]] = []
+    other: list[tuple[int, int]] = []
+    for m in IBAN_START.finditer(text):
+        start, ends, chars = m.start(), iban_ends(text, m.end()), IBAN_CHARS.get(m[0][:2])
+        own = [x for x in ends if len(text[start:x].replace(" ", "")) == chars and mod97(text[start:x])]
+        end = next((x for x in (ends[:1] if chars else ends) if mod97(text[start:x])), None)
+        if own and (not exact or start >= exact[-1][1]):
+            exact.append((start, own[0]))
+        elif not own and end is not None:
+            other.append((start, end))
+    kept, done = [], 0
+    for start, end in other:
+        at = bisect.bisect_right(exact, start, key=lambda x: x[1])  # the first exact one that ends after this one starts
+        if start >= done and (at == len(exact) or end <= exact[at][0]):
+            kept.append((start, end))
+            done = end
+    return sorted(exact + kept)
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost non-overlapping matches of the e-mail pattern, from one @ to the next."""
     done, at = 0, text.find("@")
@@ -112,9 +160,8 @@ def scored_spans(text: str, taken: list[tuple[int, int]], min_score: float = MIN
         if score >= min_score:
             proposed.append((-score, kind, start, end))
 
-    for m in IBAN.finditer(text):
-        if mod97(m[0]):
-            propose("iban", *m.span(), True)
+    for start, end in ibans(text):
+        propose("iban", start, end, True)
     for m in SSN.finditer(text):
         if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
             propose("ssn", *m.span(), False)

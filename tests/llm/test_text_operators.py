@@ -62,6 +62,30 @@ def test_pii_scores_and_masks():
     assert not pii.mod97("DE89370400440532013001") and pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+VALID_IBANS = [
+    "ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947",
+    "FR14 2004 1010 0505 0001 3M02 606", "GB29 NWBK 6016 1331 9268 19", "PL61109010140000071219812874", "CH93 0076 2011 6238 5295 7",
+]
+
+
+@pytest.mark.parametrize("iban", VALID_IBANS)
+@pytest.mark.parametrize("after", ["", " BIC", " EUR 500", " 2024", " ACCOUNT", " AND MORE", " A", ", BIC", " bic", " 1234 5678 9012 3456 7890", " DE89 3704 0044 0532 0130 00"])
+@pytest.mark.parametrize("before", ["", "IBAN ", "REF AB12 ", "no. XY99 1234 "])
+def test_pii_iban_ends_before_the_next_word(iban, after, before):
+    text = before + iban + after
+    found = [text[a:b] for a, b in pii.ibans(text)]
+    assert found == [iban] + [after.strip()] * (after[1:5] == "DE89")
+    if after in ("", " BIC", " EUR 500", ", BIC", " bic"):
+        assert iban not in pii.masked(text)
+
+
+def test_pii_ibans_are_linear_and_bounded():
+    assert list(pii.ibans("AB12 " * 100_000)) == []
+    assert list(pii.ibans("ES91 2100 0418 4502 0005 1333 BIC, ES91 2100 0418 4502 0005 133")) == []
+    text = "ZZ50 1234 5678 BIC"  # no such country: any end
+    assert pii.mod97("ZZ37 1234 5678") == (list(pii.ibans(text.replace("50", "37"))) == [(0, 14)])
+
+
 # ---- 2 and 7: against their SQL
 
 def test_pii_added_spans_never_overlap_kept_ones():
