@@ -155,6 +155,36 @@ def test_chat(spark, seed):
     assert chat.render(df.limit(0)).count() == 0
 
 
+def test_chat_cuts_hot_conversations(spark):
+    turns = [(t // 2, ["assistant", "user"][t % 2], f"same start {'x' * (t % 3)}") for t in range(2000)]
+    rows = [(None, *x) for x in turns] + [(None, *x) for x in turns[:100]]
+    for conv, n in enumerate([1, 2, 3, 699, 700, 1999, 2000, 2000]):
+        rows += [(conv, *x) for x in turns[:n]]
+    rows += [(20, *x) for x in turns[:1500]] + [(20, 5000, "user", "other end")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        sliced = chat.in_slices(df)
+        pieces = chat.pieces_of(sliced)
+        of_null = [r for r in pieces.collect() if r.conv_id is None]
+        assert len(of_null) > 1 and sum(r.n for r in of_null) == 2000 and sum(r.before > 0 for r in pieces.collect()) < 13
+        keys = {}
+        for r in chat.prefixes(sliced, pieces).collect():
+            keys.setdefault(r.conv_id, {})[r.pos] = (r.h1, r.h2, r.h3)
+        assert keys[None] == keys[6] == keys[7] and all(keys[6][p] == h for c in range(6) for p, h in keys[c].items())
+        assert len(set(keys[6].values())) == 2000 and [p for p, h in keys[20].items() if h != keys[6][p]] == [1501]
+        found = sorted(map(tuple, chat.render(df).collect()), key=key)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sql = chat.SQL.replace("JOIN k USING (conv_id)", "JOIN k ON r.conv_id IS NOT DISTINCT FROM k.conv_id")
+    sql = sql.replace("SELECT conv_id, CAST((r.pos", "SELECT r.conv_id, CAST((r.pos").replace("GROUP BY conv_id, (r", "GROUP BY r.conv_id, (r")
+    assert found == against_sql(sql, conversations=df)
+
+
 # ---- 6
 
 def brute_repeats(texts, length):
