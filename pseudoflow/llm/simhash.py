@@ -178,7 +178,13 @@ def cell_links(prints: DataFrame, bits: int = 2, dense: int = DENSE, cell_max: i
     found = written(dealt.mapInArrow(run, LINKS), "links")
     near = found.where("b is not null").distinct()
     wide = found.where("b is null").select(F.col("a").alias("fp")).distinct()
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64)])
+    if bits == 0:  # distinct fingerprints are never that near
+        return near
+    one_off = [F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64)]
+    if bits == 1:
+        off = wide.select(F.col("fp").alias("a"), F.explode(F.array(*one_off)).alias("b")).where("a > b")
+        return near.unionByName(off.join(wide, off["b"] == wide["fp"], "left_semi"))
+    flips = F.array(F.col("fp"), *one_off)
     by = wide.select("fp", F.explode(flips).alias("z")).groupBy("z").agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1")
     star = by.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a")).where("a <> b").select("a", "b").distinct()
     return near.unionByName(star)

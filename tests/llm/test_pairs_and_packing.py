@@ -172,3 +172,28 @@ def test_empty_tables(odd):
     none = odd.limit(0)
     for f in (exact_dedup.groups, exact_dedup.deduplicate, simhash.link, simhash.deduplicate, packing.pack):
         assert f(none).count() == 0
+
+
+@pytest.mark.parametrize("bits", [0, 1, 2])
+@pytest.mark.parametrize("cell_max", [2, 1000])
+def test_links_of_wide_cells_keep_the_distance(spark, bits, cell_max):
+    prints = [0, 3, 12, 15, 7, 1 << 40, (1 << 40) | (1 << 41), (1 << 63) | 48, 48, 5 << 20]
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"  # a cell turns wide where a batch ends inside it
+    before = spark.conf.get(size)
+    spark.conf.set(size, "1")
+    try:
+        found = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.cell_links(df, bits, cell_max=cell_max).collect()]
+    finally:
+        spark.conf.set(size, before)
+
+    def groups(links):
+        root = {x: x for x in prints}
+        for _ in prints:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    near = [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= bits]
+    assert groups(found) == groups(near)
