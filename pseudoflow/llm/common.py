@@ -61,3 +61,25 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+#: A sieve has at most this many words of 64 bits, whatever the number of keys.
+SIEVE_WORDS = 1 << 20
+
+
+def sieve(df: DataFrame, key: Column, keys: DataFrame, words: int = SIEVE_WORDS) -> DataFrame:
+    """The rows of ``df`` whose ``key`` (a long) may be in ``keys`` (one long column): all that are, few others.
+
+    A bit table of a fixed size, built by a distributed aggregate and broadcast, is looked up where ``df`` is
+    scanned, so a join that follows shuffles little more than its hits.  With more keys it lets more rows
+    through, at worst all; the join decides in any case.  Columns of ``df`` stay as they are.
+    """
+    (key_col,) = keys.columns
+    mixed = F.xxhash64(F.col(key_col))
+    bits = keys.where(F.col(key_col).isNotNull()).select(F.pmod(mixed, F.lit(words)).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(mixed, 58).cast("int")).alias("bit"))
+    table = bits.groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    slot, own, filled = fresh(df, "sieve_slot", "sieve_hash", "sieve_bits")
+    probe = df.withColumn(own, F.xxhash64(key)).withColumn(slot, F.pmod(F.col(own), F.lit(words)))
+    met = probe.join(F.broadcast(table.select(F.col("slot").alias(slot), F.col("bits").alias(filled))), slot)
+    hit = F.call_function("shiftrightunsigned", F.col(filled), F.shiftrightunsigned(F.col(own), 58).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return met.where(hit).select(*[met[f"`{c}`"] for c in df.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pseudoflow.llm import chat, exact_dedup, packing, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity
+from pseudoflow.llm import chat, collocations, exact_dedup, jaccard_join, packing, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash, spelling, suffix_dedup, toxicity
 from pseudoflow.llm.common import read
 
 
@@ -48,8 +48,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(read(spark, sf_dir, "documents"), every=31)
+
+
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pii, op2_chat, op3_packing, op4_exact_dedup, op5_simhash, op6_suffix_dedup, op7_quality_rules,
-    op8_quality_classifier, op9_sentencepiece, op10_toxicity,
+    op8_quality_classifier, op9_sentencepiece, op10_toxicity, op11_collocations, op12_spelling, op13_jaccard,
 )}
-ORACLE = {"op2_chat": chat.SQL, "op4_exact_dedup": exact_dedup.SQL, "op7_quality_rules": quality_rules.SQL}
+ORACLE = {"op2_chat": chat.SQL, "op4_exact_dedup": exact_dedup.SQL, "op7_quality_rules": quality_rules.SQL, "op11_collocations": collocations.SQL}
