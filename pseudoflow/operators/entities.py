@@ -3,11 +3,11 @@
 * N1 ``extract_entities``: the user's extractor runs per chunk, chunks of a document in order,
   entities found so far handed to the next call.  All chunks of a document live in one row,
   so this is a ``mapInPandas`` over document rows — documents in parallel, no shuffle.
+  ``extract_in_rows`` gives the merged list and the status in the row itself, for masking that goes on from there.
 * N2 ``parse_model_replies``: stored model replies -> entities, with variant functions.
 * N3 ``merge_entities`` / ``entity_lists``: dedupe on (type, value), first occurrence order.
 * N4 ``ner_status``: ready / warming_up / disabled per document.
-* N5 ``dictionary_entities``: a gazetteer as extractor (containment), Aho-Corasick per task over
-  broadcast gazetteer shards of bounded size.
+* N5 ``dictionary_entities``: a gazetteer table as extractor (containment), met by anchors, checked exactly.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from __future__ import annotations
 from typing import Callable, Iterable, Iterator, Optional
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pseudoflow.operators.chunks import DEFAULT_MAX_LEN, chunks_expr
 from pseudoflow.operators.segments import trim_js
@@ -32,29 +34,58 @@ def _is_timeout(err: BaseException) -> bool:
     return isinstance(err, TimeoutError) or type(err).__name__ == "AbortError"
 
 
+# What JavaScript's trim() removes.
+JS_SPACE = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def _valid_entity(e) -> bool:
     return (isinstance(e, dict) and e.get("type") in ENTITY_TYPES and isinstance(e.get("value"), str)
-            and e["value"].strip() != "")
+            and e["value"].strip(JS_SPACE) != "")
 
 
 def _run_document(key: str, chunks: list, extractor: Extractor) -> list[tuple]:
     rows: list[tuple] = []
-    known: list[dict] = []
+    known: dict[tuple[str, str], dict] = {}  # by type and trimmed value, in order of first occurrence
     for i, chunk in enumerate(chunks):
         try:
-            found = list(extractor(chunk, list(known)))
+            found = list(extractor(chunk, list(known.values())))
         except Exception as err:  # N6: a failing chunk is skipped, the others continue
-            rows.append((key, i, "chunk", None, None, None, False, _is_timeout(err), repr(err)[:500]))
+            rows.append((key, i, "chunk", None, None, None, False, _is_timeout(err), repr(err)))
             continue
         rows.append((key, i, "chunk", None, None, None, True, False, None))
         for j, e in enumerate(x for x in found if _valid_entity(x)):
             rows.append((key, i, "entity", j, e["type"], e["value"], None, None, None))
-            val = e["value"].strip()
-            if not any(k["value"] == val and k["type"] == e["type"] for k in known):
-                known.append(e)
+            known.setdefault((e["type"], e["value"].strip(JS_SPACE)), e)
     return rows
 
 
+def extract_in_rows(df: DataFrame, extractor: Extractor, text_col: str, max_len: int = DEFAULT_MAX_LEN) -> DataFrame:
+    """N1 + N3 + N4 in the row: ``df`` with ``_entities`` (array of type, value; merged, in order of first occurrence)
+    and ``ner_status``.  All other columns pass through as Arrow data; nothing is shuffled.  A null text has no chunks."""
+    src = df.withColumn("_chunks", chunks_expr(F.col(text_col), max_len))
+    at = src.columns.index("_chunks")
+    entity = T.StructType([T.StructField("type", T.StringType()), T.StructField("value", T.StringType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("_entities", T.ArrayType(entity)), T.StructField("ner_status", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("type", pa.string()), ("value", pa.string())]))
+        for batch in batches:
+            lists, states = [], []
+            for chunks in batch.column(at):
+                rows = _run_document("", chunks.as_py() or [], extractor)
+                found: dict[tuple[str, str], dict] = {}
+                for r in rows:
+                    if r[2] == "entity":
+                        found.setdefault((r[4], r[5].strip(JS_SPACE)), {"type": r[4], "value": r[5]})
+                calls = [r for r in rows if r[2] == "chunk"]
+                states.append("ready" if any(r[6] for r in calls) else "warming_up" if any(r[7] for r in calls) else "disabled")
+                lists.append(list(found.values()))
+            cols = [batch.column(i) for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lists, kind), pa.array(states, pa.string())], names=schema.names)
+
+    return src.mapInArrow(run, schema)
+
+
 def extract_entities(df: DataFrame, extractor: Extractor, text_col: str = "text", key_col: str = "doc_id",
                      max_len: int = DEFAULT_MAX_LEN, persist: bool = True) -> DataFrame:
     """Returns rows of kind 'chunk' (ok / timeout / error) and 'entity' (type, value).
@@ -130,57 +161,20 @@ def parse_model_replies(df: DataFrame, reply_col: str = "reply") -> DataFrame:
 
 # ---------------------------------------------------------------- N5: gazetteer as extractor
 
-def dictionary_entities(df: DataFrame, gazetteer: DataFrame, text_col: str = "text", key_col: str = "doc_id",
-                        shard_bytes: int = 64 << 20) -> DataFrame:
+def dictionary_entities(df: DataFrame, gazetteer: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
     """Every gazetteer entry (type, value) contained in the text (case-sensitive, anywhere).
 
-    The gazetteer is cut into shards of at most ``shard_bytes`` (size measured first); each shard
-    is broadcast and matched with an Aho-Corasick automaton per task, so no document x entry
-    pairs are ever formed and a large gazetteer costs more passes, not more memory.
-    Output: key, chunk_no (0), entity_no (by first position, then the longer value, value and type), type, value.
+    Texts and entries meet by their anchors (``literals.candidates``), then ``instr`` decides.  Output: key, chunk_no (0),
+    entity_no (by first position, then the longer value, value and type; in the row, so keys may repeat), type, value.
     """
-    import ahocorasick  # noqa: F401  (fail early on the driver when missing)
+    from pseudoflow.operators.literals import candidates
 
-    spark = df.sparkSession
-    g = gazetteer.select(F.col("type").cast("string"), trim_js(F.col("value").cast("string")).alias("value")) \
+    entries = gazetteer.select(F.col("type").cast("string").alias("type"), trim_js(F.col("value").cast("string")).alias("value")) \
         .filter(F.col("type").isin(*ENTITY_TYPES) & (F.length("value") > 0)).distinct()
-    stats = g.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("value") + 16), F.lit(0)).alias("b")).first()
-    n_shards = max(1, -(-int(stats["b"]) // shard_bytes))
-    g = g.withColumn("shard", F.pmod(F.xxhash64("type", "value"), F.lit(n_shards)))
-    out = None
-    for shard in range(n_shards):
-        entries = [(r["type"], r["value"]) for r in g.filter(F.col("shard") == shard).select("type", "value").collect()]
-        bc = spark.sparkContext.broadcast(entries)
-
-        def run(batches, bc=bc):
-            import ahocorasick as ac
-
-            auto = ac.Automaton()
-            by_value: dict[str, list[str]] = {}
-            for t, v in bc.value:
-                by_value.setdefault(v, []).append(t)
-            for v, ts in by_value.items():
-                auto.add_word(v, (v, ts))
-            if by_value:
-                auto.make_automaton()
-            for pdf in batches:
-                rows = []
-                for key, text in zip(pdf["k"], pdf["t"]):
-                    if text is None or not by_value:
-                        continue
-                    first: dict[tuple, int] = {}
-                    for end, (v, ts) in auto.iter(text):
-                        start = end - len(v) + 1
-                        for t in ts:
-                            if (t, v) not in first or start < first[(t, v)]:
-                                first[(t, v)] = start
-                    rows.extend((key, p, t, v) for (t, v), p in first.items())
-                yield pd.DataFrame(rows, columns=["k", "pos", "type", "value"])
-
-        part = df.select(F.col(key_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(
-            run, f"k {df.schema[key_col].dataType.simpleString()}, pos int, type string, value string")
-        out = part if out is None else out.unionByName(part)
-    # one order for any number of shards; only the hits move
-    order = Window.partitionBy("k").orderBy("pos", F.length("value").desc(), "value", "type")
-    return out.select(F.col("k").alias(key_col), F.lit(0).alias("chunk_no"), (F.row_number().over(order) - 1).alias("entity_no"),
-                      "type", "value")
+    src = df.select(F.col(key_col), F.col(text_col).cast("string").alias("_text"))
+    some, _ = candidates(src, entries, "_text", False, ["type", "value"], "_found")
+    at = F.transform("_found", lambda e: F.struct(F.instr(F.col("_text"), e["value"]).alias("pos"), (-F.length(e["value"])).alias("less"),
+                                                   e["value"].alias("value"), e["type"].alias("type")))
+    hits = F.array_sort(F.filter(F.array_distinct(at), lambda e: e["pos"] > 0))
+    return some.select(key_col, F.posexplode(hits).alias("entity_no", "e")) \
+        .select(key_col, F.lit(0).alias("chunk_no"), "entity_no", "e.type", "e.value")

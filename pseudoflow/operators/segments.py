@@ -25,16 +25,16 @@ from pseudoflow.functions.regex import LITERAL_META_CLASS, TOKEN_PATTERN
 from pseudoflow.functions.rules import Rule
 from pseudoflow.functions.validators import strip_whitespace
 
-SEG_DDL = "array<struct<tag:string,txt:string,pass_no:int>>"
+SEG_DDL = "array<struct<tag:string,txt:string,pass_no:bigint>>"
 KEY_SEP = "\u0000"
 
 
 def plain_seg(txt: Column) -> Column:
-    return F.struct(F.lit(None).cast("string").alias("tag"), txt.alias("txt"), F.lit(None).cast("int").alias("pass_no"))
+    return F.struct(F.lit(None).cast("string").alias("tag"), txt.alias("txt"), F.lit(None).cast("long").alias("pass_no"))
 
 
 def hit_seg(tag: Column, txt: Column, pass_no: Column) -> Column:
-    return F.struct(tag.cast("string").alias("tag"), txt.alias("txt"), pass_no.cast("int").alias("pass_no"))
+    return F.struct(tag.cast("string").alias("tag"), txt.alias("txt"), pass_no.cast("long").alias("pass_no"))
 
 
 def initial_segments(text: Column) -> Column:
@@ -229,12 +229,18 @@ def _plain_pieces(segs: Column) -> Column:
 
 
 def _merge_by_idx(plains: Column, tokens: Column) -> Column:
-    """Text from plain pieces and token pieces ``(idx, txt)``: one sort by position, no lookups."""
-    return F.array_join(F.transform(F.array_sort(F.concat(plains, tokens)), lambda x: x["txt"]), "")
+    """Pieces of text from plain pieces and token pieces ``(idx, txt)``: one sort by position, no lookups."""
+    return F.transform(F.array_sort(F.concat(plains, tokens)), lambda x: x["txt"])
 
 
 def masked_and_numbering(segs: Column) -> Column:
-    """``struct<masked_text, numbered>`` from one evaluation of ``segs`` (row-local tokens).
+    """``struct<masked_text, numbered>`` from one evaluation of ``segs`` (row-local tokens)."""
+    return let({"r": pieces_and_numbering(segs)}, lambda v: F.struct(
+        F.array_join(v["r"]["pieces"], "").alias("masked_text"), v["r"]["numbered"].alias("numbered")))
+
+
+def pieces_and_numbering(segs: Column) -> Column:
+    """``struct<pieces, numbered>``: the text of every segment, hits as row-local tokens, and the numbering.
 
     O(h log h) in the row's hits h, without map lookups (Spark map lookups scan linearly):
     hits sorted by value key -> the first hit of each key -> numbers by (tag, first replacement)
@@ -285,18 +291,17 @@ def masked_and_numbering(segs: Column) -> Column:
             F.get(firsts, r)["tag"].alias("tag"),
             F.substring(F.get(firsts, r)["key"], F.length(F.get(firsts, r)["tag"]) + 2, 1 << 30).alias("txt"),
             F.get(numbers, r).alias("n")))
-        return F.struct(_merge_by_idx(plains, tokens).alias("masked_text"), numbered.alias("numbered"))
+        return F.struct(_merge_by_idx(plains, tokens).alias("pieces"), numbered.alias("numbered"))
 
     def body(v: Column) -> Column:
         ents = hit_entries(v["segs"])
         keyed = F.transform(ents, lambda x, p: F.struct(value_key(x["tag"], x["txt"]).alias("key"), p.alias("p"),
                                                          x["idx"].alias("idx"), x["tag"].alias("tag")))
-        no_hits = F.struct(F.array_join(F.transform(v["segs"], lambda s: s["txt"]), "").alias("masked_text"),
-                           empty_num.alias("numbered"))
+        no_hits = F.struct(F.transform(v["segs"], lambda s: s["txt"]).alias("pieces"), empty_num.alias("numbered"))
         return F.when(F.size(ents) == 0, no_hits).otherwise(
             let({"S": F.array_sort(keyed), "plains": _plain_pieces(v["segs"])}, with_sorted))
 
-    null_row = F.struct(F.lit(None).cast("string").alias("masked_text"), empty_num.alias("numbered"))
+    null_row = F.struct(F.lit(None).cast("array<string>").alias("pieces"), empty_num.alias("numbered"))
     n_hits = lambda v: F.size(F.filter(v["segs"], lambda x: x["tag"].isNotNull()))
     # the null check reads the bound value: ``segs`` (the whole fold) is evaluated once.  Rows with
     # few hits (the usual case) take the direct path; rows with many take the O(h log h) path.
@@ -310,7 +315,7 @@ SMALL_ROW_HITS = 64
 
 
 def _small_row(segs: Column) -> Column:
-    """``struct<masked_text, numbered>`` for a row with few hits: distinct values in first-replacement
+    """``struct<pieces, numbered>`` for a row with few hits: distinct values in first-replacement
     order, n = rank among earlier values of the same tag, tokens looked up in a small map."""
 
     def number(v: Column) -> Column:
@@ -325,9 +330,8 @@ def _small_row(segs: Column) -> Column:
         tokmap = F.map_from_entries(F.transform(w["numbered"], lambda x: F.struct(
             value_key(x["tag"], x["txt"]).alias("key"), token_text(x["tag"], x["n"]).alias("value"))))
         return let({"segs": w["segs"], "numbered": w["numbered"], "tokmap": tokmap}, lambda u: F.struct(
-            F.array_join(F.transform(u["segs"], lambda s: F.when(s["tag"].isNull(), s["txt"])
-                                     .otherwise(F.element_at(u["tokmap"], value_key(s["tag"], s["txt"])))), "")
-            .alias("masked_text"),
+            F.transform(u["segs"], lambda s: F.when(s["tag"].isNull(), s["txt"])
+                        .otherwise(F.element_at(u["tokmap"], value_key(s["tag"], s["txt"])))).alias("pieces"),
             u["numbered"].alias("numbered")))
 
     return let({"segs": segs, "numbered": let({"keys": keys}, number)}, render)
@@ -343,10 +347,51 @@ def local_numbering(segs: Column) -> Column:
     return masked_and_numbering(segs)["numbered"]
 
 
-def render_with(segs: Column, tokens: Column) -> Column:
-    """Masked text where hit pieces are replaced by ``tokens`` = ``array<struct<idx, token>>``."""
-    toks = F.transform(tokens, lambda t: F.struct(t["idx"].alias("idx"), t["token"].alias("txt")))
-    return let({"segs": segs}, lambda v: _merge_by_idx(_plain_pieces(v["segs"]), toks))
+def grouped_hits(segs: Column) -> Column:
+    """Distinct values of a row: ``array<struct<tag, txt, pass_no, idx, places>>``; (pass_no, idx) is the first
+    replacement, ``places`` all positions.  One sort of the row's hits, so repeated values leave the row once."""
+
+    def groups(v: Column) -> Column:
+        srt, starts = v["S"], v["starts"]
+
+        def one(st: Column, r: Column) -> Column:
+            mine = F.slice(srt, st + 1, F.coalesce(F.get(starts, r + 1), F.size(srt)) - st)
+            return let({"m": mine}, lambda w: F.struct(
+                F.get(w["m"], 0)["tag"].alias("tag"), F.get(w["m"], 0)["txt"].alias("txt"),
+                F.get(w["m"], 0)["pass_no"].alias("pass_no"), F.get(w["m"], 0)["idx"].alias("idx"),
+                F.transform(w["m"], lambda x: x["idx"]).alias("places")))
+
+        return F.transform(starts, one)
+
+    def with_sorted(v: Column) -> Column:
+        starts = F.filter(F.transform(v["S"], lambda x, q: q), lambda q: (q == 0) | (
+            value_key(F.get(v["S"], q - 1)["tag"], F.get(v["S"], q - 1)["txt"]) != value_key(F.get(v["S"], q)["tag"], F.get(v["S"], q)["txt"])))
+        return let({"S": v["S"], "starts": starts}, groups)
+
+    keyed = F.transform(hit_entries(segs), lambda x: F.struct(x["tag"].alias("tag"), x["txt"].alias("txt"), x["pass_no"].alias("pass_no"), x["idx"].alias("idx")))
+    return let({"S": F.array_sort(keyed)}, with_sorted)
+
+
+def segments_with(segs: Column, tokens: Column) -> Column:
+    """Segments whose hits hold their token; ``tokens`` = ``array<struct<places, token>>``.  Done hits have
+    pass_no -1 and are never searched again."""
+    placed = F.flatten(F.transform(tokens, lambda t: F.transform(t["places"], lambda i: F.struct(i.alias("idx"), t["token"].alias("txt")))))
+
+    def body(v: Column) -> Column:
+        merged = _merge_by_idx(_plain_pieces(v["segs"]), placed)
+        return F.transform(F.arrays_zip(v["segs"], merged.alias("out")), lambda x: F.struct(
+            x["segs"]["tag"].alias("tag"), x["out"].alias("txt"), F.when(x["segs"]["tag"].isNotNull(), F.lit(-1).cast("long")).alias("pass_no")))
+
+    return let({"segs": segs}, body)
+
+
+def only_new_hits(segs: Column) -> Column:
+    """Segments in which done hits (their text is a token) count as plain text."""
+    return F.transform(segs, lambda s: F.when(s["pass_no"] == -1, plain_seg(s["txt"])).otherwise(s))
+
+
+def render(segs: Column) -> Column:
+    return F.array_join(F.transform(segs, lambda s: s["txt"]), "")
 
 
 def has_token_shape(text: Column) -> Column:

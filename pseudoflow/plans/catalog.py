@@ -342,15 +342,18 @@ def entity_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("dictionary_entities", f"""
-SELECT n.doc_id, g.type, g.value FROM ({NOTES_SQL}) n
-JOIN (SELECT 'PERSON' AS type, c_name AS value FROM customer UNION SELECT 'ORG', n_name FROM nation) g
+SELECT n.doc_id, row_number() OVER (PARTITION BY n.doc_id ORDER BY strpos(n.text, g.value), length(g.value) DESC, g.value, g.type) - 1 AS entity_no, g.type, g.value
+FROM ({NOTES_SQL}) n
+JOIN (SELECT 'PERSON' AS type, c_name AS value FROM customer UNION SELECT 'ORG', n_name FROM nation UNION SELECT 'ORG', substr(c_name, 10) FROM customer) g
   ON contains(n.text, g.value)""")
 def dictionary_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gazetteer of customer names and nation names matched by containment."""
+    """Gazetteer of customer names, their numbers (which lie inside the names) and nation names, by containment."""
     from pseudoflow.operators.entities import dictionary_entities as dict_ents
-    gaz = read_table(spark, sf_dir, "customer").select(F.lit("PERSON").alias("type"), F.col("c_name").alias("value")) \
+    names = read_table(spark, sf_dir, "customer").select("c_name")
+    gaz = names.select(F.lit("PERSON").alias("type"), F.col("c_name").alias("value")) \
+        .unionByName(names.select(F.lit("ORG").alias("type"), F.expr("substr(c_name, 10)").alias("value"))) \
         .unionByName(read_table(spark, sf_dir, "nation").select(F.lit("ORG").alias("type"), F.col("n_name").alias("value")))
-    return dict_ents(pii_notes(spark, sf_dir), gaz).select("doc_id", "type", "value")
+    return dict_ents(pii_notes(spark, sf_dir), gaz).select("doc_id", "entity_no", "type", "value")
 
 
 # ---------------------------------------------------------------- N2 / N3 / N4
@@ -559,7 +562,7 @@ def mask_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6: url and html of a page share one session; url is the first call."""
     pages = read_table(spark, sf_dir, "pages")
     res = M.mask_columns(pages, ["url", "html"], "page_id", options=MaskOptions(lang="en", engines="regex"))
-    return res.masked.select("session_id", "url", "html")
+    return res.masked.select(F.col("page_id").cast("string").alias("session_id"), "url", "html")
 
 
 # ---------------------------------------------------------------- ST2: sessions over a stream
@@ -650,7 +653,7 @@ def lookup_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("row_session_ids", f"""
-SELECT doc_id, sha256('run' || chr(0) || CAST(doc_id AS VARCHAR)) AS session_id FROM documents""")
+SELECT doc_id, sha256('run' || chr(0) || CAST(doc_id AS VARCHAR) || chr(0) || coalesce(sha256(text), '')) AS session_id FROM documents""")
 def row_session_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A deterministic session id per row when none is given (masked and mapping outputs agree)."""
     res = M.mask_rows(read_table(spark, sf_dir, "documents"), options=MaskOptions(lang="en", engines="regex"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Optional
 
 from pyspark.sql import SparkSession
@@ -15,17 +16,25 @@ from pseudoflow.sources import read_documents, read_mapping, write_outputs
 def mask_job(spark: SparkSession, input_path: str, masked_path: str, mapping_path: str, *,
              options: MaskOptions = MaskOptions(engines="regex"), fmt: str = "parquet", text_col: str = "text",
              key_col: str = "doc_id", session_col: Optional[str] = None, order_col: Optional[str] = None,
-             lang_col: Optional[str] = None, session_buckets: int = 64, **read_options) -> None:
-    """I1 -> M4 -> I2.  Without ``session_col`` every row is its own session (no shuffle);
-    with it, rows of a session share numbering in ``order_col`` order."""
+             lang_col: Optional[str] = None, literals_col: Optional[str] = None, extractor=None,
+             run_id: Optional[str] = None, session_buckets: int = 64, **read_options) -> str:
+    """I1 -> M4 (-> N1) -> I2.  Without ``session_col`` every row is its own session (no shuffle);
+    with it, rows of a session share numbering in ``order_col`` order.
+
+    ``literals_col`` holds a row's own literals.  With an ``extractor`` (engines llm or hybrid) the entities come from the
+    masked text.  ``run_id`` (random unless given) enters the ids of sessions that the input doesn't name; it is returned.
+    """
     docs = read_documents(spark, input_path, fmt, text_col, key_col, **read_options)
-    kw = {"lang_col": lang_col} if lang_col else {}
-    if session_col is None:
-        res = M.mask_rows(docs, text_col, key_col, options=options, persist=True, **kw)
+    run_id = run_id or uuid.uuid4().hex
+    kw = {"options": options, "run_id": run_id} | ({"lang_col": lang_col} if lang_col else {}) | ({"literals_col": literals_col} if literals_col else {})
+    if extractor is not None and options.engines != "regex":
+        res = M.mask_with_extractor(docs, extractor, text_col, key_col, session_col=session_col, order_col=order_col, **kw)
+    elif session_col is None:
+        res = M.mask_rows(docs, text_col, key_col, persist=True, **kw)
     else:
-        res = M.mask_sessions(docs, text_col, key_col, session_col=session_col, order_col=order_col,
-                              options=options, **kw)
+        res = M.mask_sessions(docs, text_col, key_col, session_col=session_col, order_col=order_col, **kw)
     write_outputs(res.masked, res.mapping, masked_path, mapping_path, session_buckets)
+    return run_id
 
 
 def restore_job(spark: SparkSession, masked_path: str, mapping_path: str, out_path: str, *,

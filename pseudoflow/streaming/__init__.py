@@ -126,10 +126,7 @@ class SessionMaskSink:
         res = M.mask_sessions(batch, self.text_col, self.key_col, session_col=self.session_col,
                               order_col=self.order_col, options=self.options, strategy=self.strategy,
                               existing_mapping=existing_m, keep_cols=self.keep_cols, **self.seg_kwargs)
-        new = res.mapping
-        if existing_m is not None:
-            new = new.join(existing_m.select("session_id", "tag", "value"), ["session_id", "tag", "value"], "left_anti")
-        new.write.mode("overwrite").parquet(f"{self.mapping_path}/batch_id={batch_id}")
+        res.added.write.mode("overwrite").parquet(f"{self.mapping_path}/batch_id={batch_id}")
         res.masked.write.mode("overwrite").parquet(f"{self.masked_path}/batch_id={batch_id}")
 
 
