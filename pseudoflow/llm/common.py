@@ -67,6 +67,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 SIEVE_WORDS = 1 << 20
 
 
+def _sieved(df: DataFrame, key: Column, keys: DataFrame, words: int, how: str) -> tuple[DataFrame, Column]:
+    (key_col,) = keys.columns
+    mixed = F.xxhash64(F.col(key_col))
+    bits = keys.where(F.col(key_col).isNotNull()).select(F.pmod(mixed, F.lit(words)).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(mixed, 58).cast("int")).alias("bit"))
+    table = bits.groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    slot, own, filled = fresh(df, "sieve_slot", "sieve_hash", "sieve_bits")
+    probe = df.withColumn(own, F.xxhash64(key)).withColumn(slot, F.pmod(F.col(own), F.lit(words)))
+    met = probe.join(F.broadcast(table.select(F.col("slot").alias(slot), F.col("bits").alias(filled))), slot, how)
+    bit = F.call_function("shiftrightunsigned", F.col(filled), F.shiftrightunsigned(F.col(own), 58).cast("int")).bitwiseAND(F.lit(1))
+    return met, F.coalesce(bit == 1, F.lit(False))
+
+
 def sieve(df: DataFrame, key: Column, keys: DataFrame, words: int = SIEVE_WORDS) -> DataFrame:
     """The rows of ``df`` whose ``key`` (a long) may be in ``keys`` (one long column): all that are, few others.
 
@@ -74,12 +86,14 @@ def sieve(df: DataFrame, key: Column, keys: DataFrame, words: int = SIEVE_WORDS)
     scanned, so a join that follows shuffles little more than its hits.  With more keys it lets more rows
     through, at worst all; the join decides in any case.  Columns of ``df`` stay as they are.
     """
-    (key_col,) = keys.columns
-    mixed = F.xxhash64(F.col(key_col))
-    bits = keys.where(F.col(key_col).isNotNull()).select(F.pmod(mixed, F.lit(words)).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(mixed, 58).cast("int")).alias("bit"))
-    table = bits.groupBy("slot").agg(F.bit_or("bit").alias("bits"))
-    slot, own, filled = fresh(df, "sieve_slot", "sieve_hash", "sieve_bits")
-    probe = df.withColumn(own, F.xxhash64(key)).withColumn(slot, F.pmod(F.col(own), F.lit(words)))
-    met = probe.join(F.broadcast(table.select(F.col("slot").alias(slot), F.col("bits").alias(filled))), slot)
-    hit = F.call_function("shiftrightunsigned", F.col(filled), F.shiftrightunsigned(F.col(own), 58).cast("int")).bitwiseAND(F.lit(1)) == 1
+    met, hit = _sieved(df, key, keys, words, "inner")
     return met.where(hit).select(*[met[f"`{c}`"] for c in df.columns])
+
+
+def without(df: DataFrame, key_col: str, keys: DataFrame, words: int = SIEVE_WORDS) -> DataFrame:
+    """The rows of ``df`` whose long ``key_col`` (never null) is not in ``keys``; only rows that the sieve holds are shuffled."""
+    met, hit = _sieved(df, df[f"`{key_col}`"], keys, words, "left")
+    cols = [met[f"`{c}`"] for c in df.columns]
+    (name,) = keys.columns
+    held = met.where(hit).select(*cols)
+    return met.where(~hit).select(*cols).unionByName(held.join(keys, held[f"`{key_col}`"] == keys[name], "left_anti"))

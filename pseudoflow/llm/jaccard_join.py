@@ -1,16 +1,21 @@
 """N-gram Jaccard join by adaptive multi-match prefixes.
 
 A document's set is its distinct word shingles.  Equal sets are one class.  Tokens (64-bit shingle hashes) have one
-global order: first a fixed share of the hash range (the pool), in it the tokens of many classes last, then the rest.
-If two classes reach the similarity, their l-prefixes (the prefix that leaves fewer tokens than the overlap
-needed, plus l - 1) share l tokens, for every l.  Each class takes the l with the least estimated cost, from
-the sizes of the lists its prefix would merge: longer prefixes merge more lists but ask for more shared tokens
-before a pair is verified.  In a pair the larger class's l holds.  Pairs are verified on the texts.
-
-Only components leave the operator, so groups of near copies are not expanded into all pairs.  First each list links
-its classes to one hub (verified like any pair), a few times with different hubs; then all pairs whose ends are
-still in different components are found and verified.  A list of one component takes no part, and in a list of
-several only pairs across components are made.
+global order, rare ones first: by the binary logarithm of the number of classes that hold them, then by hash.  If
+two classes reach the similarity, their l-prefixes (the prefix that leaves fewer tokens than the overlap needed, plus
+l - 1) share l tokens, for every l.  Each class takes the l with the least estimated cost, from the sizes of the lists
+its prefix would merge: longer prefixes merge more lists but ask for more shared tokens before a pair is verified.
+In a pair the larger class's l holds.  Pairs are verified on the texts.
+
+Counting every token would move the corpus, so there are two indexes, and each pair belongs to one.  Classes that share
+a min-hash band with another one are *close*; pairs of these are found by an index of all their tokens.  Pairs with
+another class are found by an index of all classes whose order starts with a fixed share of the hash range (the pool);
+only pooled tokens are counted there.  Bands only decide where a pair is looked for, never whether.
+
+Only components leave the operator, so groups of near copies are not expanded into all pairs.  First close classes
+are linked to one hub of each band, then of each list (verified like any pair, and only a head start); then all pairs
+whose ends are in different components are found by their prefixes and verified.  A list of one component takes no part, and
+in a list of several only pairs across components are made.
 
 Defined cases: null text counts as empty; a text without words has an empty set and links with nothing (its
 component is its own id); repeated rows and copies link to each other; a null id is never a component's id unless all
@@ -26,18 +31,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pseudoflow.llm.common import sieve, written
+from pseudoflow.llm.common import sieve, without, written
 from pseudoflow.llm.simhash import components
 
-#: Share of the hash range that is pooled: about twice the longest prefix at 90 %.
-POOL = 0.2
+#: Share of the hash range that is pooled: half as much again as the longest prefix at 90 %.
+POOL = 0.15
 #: Largest number of shared prefix tokens asked for.
 MOST = 4
-#: A token in more classes than this goes to the end of the pool; the filter of such tokens has 2 ** HOT_BITS bits.
-HOT, HOT_BITS = 16, 24
+#: The table of list sizes has 2 ** LEVEL_BITS entries of 4 bits (8 MB), whatever the corpus; tokens that share
+#: an entry take the larger size, which only moves them back in the order.
+LEVEL_BITS = 24
 #: Cost of verifying a pair, in list entries for each token of the set.
 VERIFY = 0.5
-HUB_ROUNDS = 3
+#: Bits of the parity map: a set's tokens are dealt to as many bins, a bit tells if a bin got an odd number.  Two maps differ in
+#: at most as many bits as the sets in tokens, so a pair whose maps differ in more than it may is none.
+PARITY = 256
+#: Min-hash bands and rows of a band, for the hubs.
+BANDS, BAND_ROWS = 6, 4
+#: Rounds in which the lists of close classes link to a hub, before all pairs across components are met.
+HUB_ROUNDS = 1
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -45,7 +57,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word)
         return out
@@ -75,77 +87,103 @@ def needed(n, percent: int):
     return -(-n * percent // 100)
 
 
+def _bands(tokens: np.ndarray) -> np.ndarray:
+    """A hash of each band of BAND_ROWS min-hashes of the tokens."""
+    rows = np.arange(BANDS * BAND_ROWS, dtype=np.uint64)
+    least = _mixed((tokens * np.uint64(MULTIPLIERS[1]))[:, None] + (rows * np.uint64(MULTIPLIERS[2]))[None, :]).min(axis=0)
+    h = np.arange(BANDS, dtype=np.uint64)
+    for k in range(BAND_ROWS):
+        h = _mixed(h * np.uint64(MULTIPLIERS[0]) + least[k::BAND_ROWS])
+    return h
+
+
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    odd = np.bincount((tokens >> np.uint64(32) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """row, doc_id, loc (hash of the text), n, digest (of the whole set), pool (its first tokens by hash)."""
+    """row, doc_id, loc (hash of the text), n, digest (of the whole set), pool (its first tokens by hash), parity, bands."""
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("loc"), text.alias("text"))
-    edge = int(POOL * 2**64)
+    edge = np.uint64(int(POOL * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         known = _Hashes()
         for batch in batches:
-            n, digest, pool = [], [], []
+            n, digest, pool, parity, bands = [], [], [], [], []
             for text in batch.column(2):
                 tokens = shingle_set(text.as_py(), shingle, known)
                 n.append(len(tokens))
                 digest.append(hashlib.sha256(tokens.tobytes()).digest()[:16])
                 first = len(tokens) - needed(len(tokens), percent) + MOST
-                pool.append(tokens[: max(int(np.searchsorted(tokens, np.uint64(edge))), first)].view(np.int64))
+                mine = tokens[: max(int(np.searchsorted(tokens, edge)), first)]
+                pool.append(mine.view(np.int64))
+                parity.append(_parity(tokens))
+                bands.append(_bands(mine).view(np.int64) if len(mine) else mine.view(np.int64))
+            kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(pool, pa.list_(pa.int64()))],
-                names=["doc_id", "loc", "n", "digest", "pool"])
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *(pa.array(x, kind) for x in (pool, parity, bands))],
+                names=["doc_id", "loc", "n", "digest", "pool", "parity", "bands"])
 
-    made = rows.mapInArrow(run, "doc_id long, loc long, n long, digest binary, pool array<long>")
+    made = rows.mapInArrow(run, "doc_id long, loc long, n long, digest binary, pool array<long>, parity array<long>, bands array<long>")
     return written(made.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
-def hot_tokens(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Filled words of the filter of tokens that stand in more than HOT classes; at most 2 ** (HOT_BITS - 6) rows."""
-    counted = classes.select(F.explode("pool").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT)
+def list_levels(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Filled words (16 entries of 4 bits) of the table of binary logarithms of the pooled tokens' list sizes;
+    at most 2 ** (LEVEL_BITS - 4) rows of 16 bytes reach the driver.  Tokens of one class have level 0 and no entry."""
     token = F.col("token")  # a hash: its low bits serve as they are
-    bit = F.shiftrightunsigned(token, HOT_BITS - 6).bitwiseAND(F.lit(63)).cast("int")
-    bits = counted.select(token.bitwiseAND(F.lit((1 << (HOT_BITS - 6)) - 1)).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit"))
-    found = bits.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
-    return found["slot"].to_numpy(), found["bits"].to_numpy().view(np.uint64)
+    counted = classes.select(F.explode("pool").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    slot = token.bitwiseAND(F.lit((1 << LEVEL_BITS) - 1))
+    levels = counted.groupBy(slot.alias("slot")).agg(F.max(F.least(F.lit(15), F.floor(F.log2("c")))).cast("int").alias("level"))
+    place = (F.col("slot").bitwiseAND(F.lit(15)) * 4).cast("int")
+    words = levels.select(F.shiftrightunsigned("slot", 4).alias("word"), F.call_function("shiftleft", F.col("level").cast("long"), place).alias("bits"))
+    found = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    return found["word"].to_numpy(), found["bits"].to_numpy().view(np.uint64)
 
 
-def prefixes(classes: DataFrame, percent: int, filled: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """token, cls, n, pos: the longest prefix of each class in the global order."""
-    edge = np.uint64(int(POOL * 2**64))
+def matches_for(n: int, sizes: np.ndarray, percent: int) -> int:
+    """The number l of shared prefix tokens with the least cost: entries of the lists that the l-prefix merges, plus
+    the candidates to verify; a candidate takes up l entries, so there are sizes / l at most."""
+    base = n - needed(n, percent) + 1
+    merged = [float(sizes[: base + k].sum()) for k in range(MOST)]
+    return 1 + int(np.argmin([m * (1 + VERIFY * n / (k + 1)) for k, m in enumerate(merged)]))
+
+
+def prefixes(classes: DataFrame, percent: int, filled: tuple[np.ndarray, np.ndarray], share: float) -> DataFrame:
+    """token, cls, n, pos, l, parity: the longest prefix of each class in the global order, without tokens of one class only.
+
+    ``share`` of the hash range was counted; other tokens come last."""
+    edge = np.uint64(min(int(share * 2**64), 2**64 - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = np.zeros(1 << (HOT_BITS - 6), np.uint64)
-        hot[filled[0]] = filled[1]
+        table = np.zeros(1 << (LEVEL_BITS - 4), np.uint64)
+        table[filled[0]] = filled[1]
         for batch in batches:
             cls, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             pool = batch.column(2)
             ends = pool.offsets.to_numpy()
             tokens = pool.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            slot, bit = tokens & np.uint64((1 << (HOT_BITS - 6)) - 1), tokens >> np.uint64(HOT_BITS - 6) & np.uint64(63)
-            late = (hot[slot.astype(np.int64)] >> bit & np.uint64(1)).astype(np.int64)
-            late = np.where(tokens >= edge, 2, late)
+            slot = tokens & np.uint64((1 << LEVEL_BITS) - 1)
+            level = (table[(slot >> np.uint64(4)).astype(np.int64)] >> ((slot & np.uint64(15)) << np.uint64(2)) & np.uint64(15)).astype(np.int64)
+            level = np.where(tokens >= edge, 16, level)  # not counted: last, as if in few lists
             out = []
             for k in range(len(cls)):
                 at = np.arange(ends[k], ends[k + 1])
-                at = at[np.lexsort((tokens[at], late[at]))][: n[k] - needed(int(n[k]), percent) + MOST]
-                out.append((at, np.full(len(at), k), np.arange(len(at))))
+                at = at[np.lexsort((tokens[at], level[at]))][: n[k] - needed(int(n[k]), percent) + MOST]
+                sizes = np.where(level[at] == 16, 2, 1 << level[at])
+                l = matches_for(int(n[k]), np.where(level[at] == 0, 0, sizes), percent)
+                pos = np.flatnonzero(level[at] > 0)
+                out.append((at[pos], np.full(len(pos), k), pos, np.full(len(pos), l)))
             if out:
-                at, own, pos = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[at].view(np.int64)), pa.array(cls[own]), pa.array(n[own]), pa.array(pos)], names=["token", "cls", "n", "pos"])
-
-    return classes.select("cls", "n", "pool").mapInArrow(run, "token long, cls long, n long, pos long")
-
+                at, own, pos, l = (np.concatenate(x) for x in zip(*out))
+                cols = [pa.array(x) for x in (tokens[at].view(np.int64), cls[own], n[own], pos, l)]
+                yield pa.RecordBatch.from_arrays([*cols, batch.column(3).take(pa.array(own))], names=["token", "cls", "n", "pos", "l", "parity"])
 
-def with_matches(listed: DataFrame, percent: int) -> DataFrame:
-    """``listed`` and the number l of shared prefix tokens that suits each class, by its lists' sizes."""
-    base = F.expr(f"n - (n * {percent} + 99) div 100 + 1")
-    merged = [F.sum(F.when(F.col("pos") < base + k, F.col("listed"))).alias(f"m{k + 1}") for k in range(MOST)]
-    # a class that shares l of the merged entries takes up l of them: so many candidates at most
-    costs = [F.struct((F.col(f"m{k + 1}") * (1 + VERIFY * F.col("n") / (k + 1))).alias("cost"), F.lit(k + 1).alias("l")) for k in range(MOST)]
-    chosen = listed.groupBy("cls", "n").agg(*merged).select("cls", F.array_min(F.array(*costs))["l"].alias("l"))
-    return listed.join(chosen, "cls")
+    return classes.select("cls", "n", "pool", "parity").mapInArrow(run, "token long, cls long, n long, pos long, l long, parity array<long>")
 
 
 def _overlap(nx: Column, ny: Column, percent: int) -> Column:
@@ -159,12 +197,9 @@ def _may_match(nx: Column, px: Column, ny: Column, py: Column, l: Column, percen
     return (F.lit(percent) * nx <= 100 * ny) & (F.lit(percent) * ny <= 100 * nx) & (px <= nx - most + l - 1) & (py <= ny - most + l - 1)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b of classes) whose texts are similar enough, compared shingle by shingle.
-
-    ``rows`` has a document of each class (cls, doc_id, loc, digest); its text is fetched from ``docs``."""
-    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = written(rows.join(ends, "cls").select("cls", F.col("doc_id").alias("want_id"), F.col("loc").alias("want_loc"), "digest"), "wanted")
+def fetch_texts(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """cls, text of one document of each class in ``rows`` (cls, doc_id, loc, digest): a sieve keeps other texts from moving."""
+    wanted = written(rows.select("cls", F.col("doc_id").alias("want_id"), F.col("loc").alias("want_loc"), "digest"), "wanted")
     text = F.coalesce(docs[text_col], F.lit(""))
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("loc"), text.alias("text"))
     source = sieve(source, F.col("loc"), wanted.select("want_loc"))
@@ -178,8 +213,25 @@ def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, te
             own = [hashlib.sha256(shingle_set(t.as_py(), shingle, cache).tobytes()).digest()[:16] == d.as_py() for t, d in zip(batch.column(1), batch.column(2))]
             yield batch.select([0, 1]).filter(pa.array(own, pa.bool_()))
 
-    texts = met.select("cls", "text", "digest").mapInArrow(known, "cls long, text string").dropDuplicates(["cls"])
-    texts = written(texts, "texts")
+    return written(met.select("cls", "text", "digest").mapInArrow(known, "cls long, text string").dropDuplicates(["cls"]), "texts")
+
+
+def all_tokens(texts: DataFrame, shingle: int) -> DataFrame:
+    """cls, n, pool, parity: the whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Hashes()
+        for batch in batches:
+            found = [shingle_set(t.as_py(), shingle, cache).view(np.int64) for t in batch.column(1)]
+            kind = pa.list_(pa.int64())
+            parity = pa.array([_parity(x.view(np.uint64)) for x in found], kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(found, kind), parity], names=["cls", "n", "pool", "parity"])
+
+    return written(texts.select("cls", "text").mapInArrow(run, "cls long, n long, pool array<long>, parity array<long>"), "tokens")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b of classes) whose texts are similar enough, compared shingle by shingle."""
     both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -203,46 +255,55 @@ def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, te
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _labelled(listed: DataFrame, links: DataFrame) -> DataFrame:
-    """``listed`` with comp, restricted to the lists that still hold several components."""
-    roots = components(links)
-    out = listed.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
-    spread = out.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    return written(out.join(spread, "token"), "open-lists")
-
-
-def _across(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sides of a join that meets all entries of a list but those in its largest component among themselves."""
-    sizes = listed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m")).select("token", F.col("m.comp").alias("main"))
-    marked = written(listed.join(main, "token").withColumn("outside", F.col("comp") != F.col("main")).drop("main"), "marked-lists")
-    return marked.where("outside"), marked
-
-
-def near_classes(listed: DataFrame, verify, percent: int, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
-    """Links (a, b) of classes with the components of all links; ``listed`` has token, cls, n, pos, l."""
-    spark = listed.sparkSession
-    links, open_lists = spark.createDataFrame([], "a long, b long"), listed.withColumn("comp", F.col("cls"))
-    for k in range(hub_rounds):
-        at = F.xxhash64(F.col("cls"), F.lit(k))
-        hubs = open_lists.groupBy("token").agg(F.min(F.struct(at, "cls", "n", "pos", "comp")).alias("hub"))
-        met = open_lists.join(hubs, "token").where(F.col("comp") != F.col("hub.comp"))
-        met = met.where(_may_match(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), F.lit(1), percent))
-        # the two hubs that a class meets most often are tried; what they miss is found below
-        tried = met.groupBy("cls", F.col("hub.cls").alias("hub")).agg(F.count(F.lit(1)).alias("c")).groupBy("cls")
-        tried = tried.agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("c", "hub")))), 1, 2).alias("hubs"))
-        pairs = written(tried.select(F.col("cls").alias("a"), F.explode("hubs.hub").alias("b")), "hub-pairs")
-        links = written(links.unionByName(verify(pairs)), "links")
-        open_lists = _labelled(listed, links)
-    outside, every = _across(open_lists)
-    x = outside.select("token", *[F.col(c).alias(f"x_{c}") for c in ("cls", "n", "pos", "l", "comp", "outside")])
-    y = every.select("token", *[F.col(c).alias(f"y_{c}") for c in ("cls", "n", "pos", "l", "comp", "outside")])
+def _across(listed: DataFrame, roots: DataFrame) -> DataFrame:
+    """``listed`` with comp and outside, without lists of one component; pairs of two that are not outside are of the
+    list's largest component and need not meet."""
+    named = written(listed.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root"), "named-lists")
+    sizes = named.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+    several = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp")).alias("m")).where("comps > 1")
+    main = several.select("token", F.col("m.comp").alias("main"))
+    return written(named.join(main, "token").withColumn("outside", F.col("comp") != F.col("main")).drop("main"), "open-lists")
+
+
+def hub_pairs(heads: DataFrame) -> DataFrame:
+    """(a, b): classes and the hub (the least class) of each band they share with others, hubs with themselves too."""
+    rows = heads.select("cls", F.explode("bands").alias("band"))
+    hubs = rows.groupBy("band").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "hub")
+    return rows.join(hubs, "band").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
+
+
+def _possible(met: DataFrame, l: Column, percent: int) -> DataFrame:
+    """``met`` has x_ and y_ sides of one list: those whose places, sizes and parity maps allow the similarity, with l."""
+    most = _overlap(F.col("x_n"), F.col("y_n"), percent)
+    met = met.withColumn("l", F.least(l, most)).where(_may_match(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos"), F.col("l"), percent))
+    differ = sum((F.bit_count(F.col("x_parity")[k].bitwiseXOR(F.col("y_parity")[k])) for k in range(PARITY // 64)), F.lit(0))
+    return met.where(differ <= F.col("x_n") + F.col("y_n") - 2 * most)
+
+
+SIDE = ("cls", "n", "pos", "l", "comp", "outside", "parity")
+
+
+def list_hubs(marked: DataFrame, percent: int, seed: int) -> DataFrame:
+    """(a, b): classes and one hub of each of their lists, if it is of another component and may be similar.
+
+    The hub has the fewest rare tokens before the list's, so it is near the middle of a crowd; lists have hubs of their own."""
+    x = marked.select("token", *[F.col(c).alias(f"x_{c}") for c in SIDE])
+    rank = F.struct("pos", F.xxhash64(F.lit(seed), "token", "cls"))
+    y = marked.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), *SIDE)).alias("hub")).select("token", *[F.col(f"hub.{c}").alias(f"y_{c}") for c in SIDE])
+    met = _possible(x.join(y, "token").where("x_comp <> y_comp"), F.lit(MOST), percent)
+    return met.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
+
+
+def cross_pairs(marked: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes of different components whose prefixes share enough tokens."""
+    x = marked.where("outside").select("token", *[F.col(c).alias(f"x_{c}") for c in SIDE])
+    y = marked.select("token", *[F.col(c).alias(f"y_{c}") for c in SIDE])
     met = x.join(y, "token").where("x_comp <> y_comp AND (NOT y_outside OR x_cls < y_cls)")
     l = F.when(F.struct("x_n", "x_cls") > F.struct("y_n", "y_cls"), F.col("x_l")).otherwise(F.col("y_l"))
-    l = F.least(l, _overlap(F.col("x_n"), F.col("y_n"), percent))
-    met = met.withColumn("l", l).where(_may_match(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos"), F.col("l"), percent))
-    pairs = met.groupBy("x_cls", "y_cls", "l").agg(F.count(F.lit(1)).alias("c")).where("c >= l").select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b"))
-    return written(links.unionByName(verify(written(pairs, "pairs"))), "links")
+    met = _possible(met, l, percent)
+    # a pair's sides depend on the list, its ends don't
+    ends = F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")
+    return met.groupBy(*ends, "l").agg(F.count(F.lit(1)).alias("c")).where("c >= l").select("a", "b")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90) -> DataFrame:
@@ -251,18 +312,34 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
         raise ValueError("percent is over 50 and at most 100")
     rows = sets(docs, id_col, text_col, shingle, percent)
     full = rows.where("n > 0")
-    classes = full.groupBy("digest").agg(F.min("row").alias("cls"), F.min("doc_id").alias("least_id"))
-    classes = written(classes, "classes")
-    heads = full.join(classes, full["row"] == classes["cls"]).select("cls", "n", full["digest"], "pool", "doc_id", "loc")
-    heads = written(heads, "class-heads")
-    lists = written(prefixes(heads, percent, hot_tokens(heads)), "prefixes")
-    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("listed")).where("listed > 1")
-    listed = written(with_matches(written(lists.join(sizes, "token"), "lists"), percent).select("token", "cls", "n", "pos", "l"), "prefix-lists")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return verified(pairs, heads.select("cls", "doc_id", "loc", "digest"), docs, id_col, text_col, shingle, percent)
-
-    members = components(near_classes(listed, verify, percent)).withColumnRenamed("node", "cls")
+    classes = written(full.groupBy("digest").agg(F.min("row").alias("cls"), F.min("doc_id").alias("least_id")), "classes")
+    copies = full.select("row", "digest").join(classes.select("digest", "cls"), "digest").where("row <> cls").select(F.col("row").alias("copy"))
+    heads = without(full, "row", written(copies, "copies")).withColumnRenamed("row", "cls")
+
+    rows_of = heads.select("cls", "doc_id", "loc", "digest")
+    hubs = written(hub_pairs(heads), "hub-pairs")
+    close = written(hubs.select(F.col("a").alias("cls")).distinct(), "close")
+    texts = fetch_texts(rows_of.join(close, "cls"), docs, id_col, text_col, shingle)
+    links = written(verified(hubs.where("a <> b"), texts, shingle, percent), "links")
+
+    # pairs of close classes: all their tokens
+    tokens = all_tokens(texts, shingle)
+    listed = written(prefixes(tokens, percent, list_levels(tokens), 1.0), "close-lists")
+    marked = _across(listed, components(links))
+    for seed in range(HUB_ROUNDS):  # what is linked now makes no pairs later
+        tried = written(list_hubs(marked, percent, seed), "list-hub-pairs")
+        links = written(links.unionByName(verified(tried, texts, shingle, percent)), "links")
+        marked = _across(listed, components(links))
+    pairs = written(cross_pairs(marked, percent), "pairs")
+    links = links.unionByName(verified(pairs, texts, shingle, percent))
+    # pairs with another class: the pool; close classes count as one component, since their pairs are done
+    listed = prefixes(heads, percent, list_levels(heads), POOL)
+    pairs = written(cross_pairs(_across(listed, close.select(F.col("cls").alias("node"), F.lit(-1).cast("long").alias("root"))), percent), "pairs")
+    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    ends = written(ends.join(close, "cls", "left_anti"), "ends")
+    more = fetch_texts(rows_of.join(ends, "cls"), docs, id_col, text_col, shingle)
+    links = links.unionByName(verified(pairs, texts.unionByName(more), shingle, percent))
+    members = components(links).withColumnRenamed("node", "cls")
     named = classes.join(members, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     found = named.join(ids, "root").select("digest", "component_id")
