@@ -17,7 +17,7 @@ NER_WARNING_WARMING_UP = (
 SESSION_NOT_FOUND = 'Error: session "{sid}" not found. It may have expired or never existed.'
 
 
-def _restore_expr(text, vals):
+def restore_expr(text, vals):
     """Single pass: gap_0 v_0 gap_1 v_1 ... gap_n, where ``vals[i]`` (sorted by position) replaces
     the i-th token — an index read, not a map lookup."""
 
@@ -60,7 +60,7 @@ def unmask(df: DataFrame, mapping: DataFrame, text_col: str = "masked_text", key
                          lambda x: x["v"]).alias("_vals"))
     )
     restored = with_tok.join(vals, F.col("_answer") == F.col("_k"), "left") \
-        .withColumn(out_col, _restore_expr(F.col(text_col), F.col("_vals"))).drop("_k", "_vals", "_answer")
+        .withColumn(out_col, restore_expr(F.col(text_col), F.col("_vals"))).drop("_k", "_vals", "_answer")
     plain = t.filter(~F.col("_has")).withColumn(out_col, F.col(text_col))
     return restored.unionByName(plain).drop("_has")
 

@@ -479,11 +479,9 @@ SELECT d.doc_id,
   CASE WHEN d.n_chars < 20 THEN NULL ELSE t.score END AS confidence
 FROM docs d LEFT JOIN top t ON d.doc_id = t.doc_id""")
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pseudoflow.operators.language import detect_language as detect_lang, label_codes, train_language_profiles
+    from pseudoflow.operators.language import detect_language as detect_lang, train_language_profiles
     docs = read_table(spark, sf_dir, "documents")
-    # profiles (languages x 300 rows) are built inside the same plan and broadcast; the codes come
-    # from the labels, so no separate profile job is needed
-    return detect_lang(docs.select("doc_id", "text"), train_language_profiles(docs), codes=label_codes(docs))
+    return detect_lang(docs.select("doc_id", "text"), train_language_profiles(docs))
 
 
 # ---------------------------------------------------------------- U3 / U7 / T3 / T6 / M6
@@ -572,11 +570,9 @@ def stream_literals_conversations(spark: SparkSession, sf_dir: str) -> DataFrame
     """ST2: the literal masking of conversations, fed as a file stream in three turn slices.
 
     Spark writes the slices (hash-partitioned by conversation, so a conversation's rows of one
-    slice share a file) into the checkpoint folder; the stream reads the files oldest first and
-    the session sink continues each conversation's numbering across batches.  The result must
+    slice share a file) into the checkpoint folder; the stream runs after each slice and the session sink continues each conversation's numbering across batches.  The result must
     equal the batch query.
     """
-    import time
     import uuid
 
     from pseudoflow.session import ensure_checkpoint_dir
@@ -597,12 +593,11 @@ def stream_literals_conversations(spark: SparkSession, sf_dir: str) -> DataFrame
         if hi is not None:
             cond = cond & (F.col("turn") < hi)
         conv.filter(cond).repartition(parts, "sid").write.mode("append").parquet(f"{base}/in")
-        time.sleep(1.1)  # later slices get strictly later file times
-    # batches take files oldest first, so every batch respects the slice (turn) order
-    stream = spark.readStream.schema(conv.schema).option("maxFilesPerTrigger", parts).parquet(f"{base}/in")
-    sink = SessionMaskSink(f"{base}/mapping", f"{base}/masked", "text", "msg_id", session_col="sid", order_col="turn",
-                           options=MaskOptions(engines="llm", custom_literals=CONV_LITERALS))
-    run_available(stream, sink, f"{base}/ckpt")
+        # each slice is one run from the same checkpoint, so batches respect the slice (turn) order
+        stream = spark.readStream.schema(conv.schema).parquet(f"{base}/in")
+        sink = SessionMaskSink(f"{base}/mapping", f"{base}/masked", "text", "msg_id", session_col="sid", order_col="turn",
+                               options=MaskOptions(engines="llm", custom_literals=CONV_LITERALS), compact_every=2)
+        run_available(stream, sink, f"{base}/ckpt")
     return read_batches(spark, f"{base}/masked").select("msg_id", "masked_text")
 
 
@@ -750,6 +745,6 @@ def stream_restore_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         options=MaskOptions(lang="en", engines="regex")), f"{base}/ck1")
     masked_schema = read_batches(spark, f"{base}/masked").drop("batch_id").schema
     masked = spark.readStream.schema(masked_schema).parquet(f"{base}/masked/batch_id=*")
-    run_available(masked, SessionUnmaskSink(f"{base}/mapping", f"{base}/restored", masked_path=f"{base}/masked"),
+    run_available(masked, SessionUnmaskSink(f"{base}/mapping", f"{base}/restored"),
                   f"{base}/ck2")
     return read_batches(spark, f"{base}/restored").select("doc_id", "text", "is_error")

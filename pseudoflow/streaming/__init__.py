@@ -2,13 +2,14 @@
 
 * ST1 ``mask_stream`` / ``detect_stream``: stateless column expressions on a streaming DataFrame
   (row-local sessions need no state at all).
-* ST2 ``SessionMaskSink``: a ``foreachBatch`` sink.  The session state is the mapping table
-  itself, kept in a shared folder and extended batch by batch with the batch job's numbering
+* ST2 ``SessionMaskSink``: a ``foreachBatch`` sink.  The session state is the mapping store
+  (``sources.store``), extended batch by batch with the batch job's numbering
   (``mask_sessions(existing_mapping=...)``), so numbers continue across micro-batches and a
-  giant session is numbered by many tasks, never held whole by one.  Every batch writes its
-  own ``batch_id=N`` partitions with overwrite, so a replayed batch after a failure rewrites
-  the same rows (idempotent).
-* ST3 ``SessionUnmaskSink``: restore each micro-batch against the mapping table.
+  giant session is numbered by many tasks, never held whole by one.  A batch reads only the buckets of its
+  sessions, and every batch writes its own folders with overwrite and commits them last, so a batch replayed
+  after a failure rewrites the same rows (idempotent).
+* ST3 ``SessionUnmaskSink``: restore each micro-batch against the mapping store.  ``restore_stream`` does so in the
+  row, in append mode, without ``foreachBatch``.
 * ST4 session expiry: a session without rows for more than ``ttl_batches`` batches starts a new
   generation, whose numbers restart at 1 under a session id of its own (``GENERATION`` and a number are
   added), so texts masked before the expiry never get the values of later ones.  Off by default.
@@ -24,13 +25,14 @@ from typing import Optional, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pseudoflow.functions.regex import TOKEN_PATTERN
 from pseudoflow.functions.rules import Rule
 from pseudoflow.operators import detect as D
 from pseudoflow.operators import mask as M
 from pseudoflow.operators import segments as S
 from pseudoflow.operators import unmask as U
-from pseudoflow.operators.tokens import MAPPING_COLS
 from pseudoflow.options import MaskOptions
+from pseudoflow.sources.store import MappingStore, State, has_data, session_registry
 
 
 def mask_stream(stream: DataFrame, text_col: str = "text", key_col: str = "doc_id",
@@ -47,21 +49,16 @@ def detect_stream(stream: DataFrame, rules: Sequence[Rule], text_col: str = "tex
 
 #: Stands between a session id and the number of its generation, from the second one on.
 GENERATION = "\u001f"
-
-
-def _has_data(spark: SparkSession, path: str) -> bool:
-    """Errors of the store are raised: an unreadable mapping must not look like an empty one."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(jpath) and len(fs.listStatus(jpath)) > 0
+#: Values of one session that ``restore_stream`` joins to each of its rows.
+MOST_VALUES = 100_000
 
 
 def _claim(spark: SparkSession, mapping_path: str) -> None:
     """Note which stream writes the mapping; its id outlives restarts from the same checkpoint."""
     query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "no stream"
     path = f"{mapping_path}.query"
-    noted = spark.read.text(path).first() if _has_data(spark, path) else None
-    if noted is None and _has_data(spark, mapping_path):
+    noted = spark.read.text(path).first() if has_data(spark, path) else None
+    if noted is None and has_data(spark, mapping_path):
         raise RuntimeError(f"{mapping_path} holds a mapping of an unknown stream")
     if noted is not None and noted[0] != query:
         raise RuntimeError(f"{mapping_path} belongs to stream {noted[0]}, not to {query}: resume from its checkpoint or take a new folder")
@@ -69,89 +66,116 @@ def _claim(spark: SparkSession, mapping_path: str) -> None:
         spark.range(1).select(F.lit(query).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def read_mapping(spark: SparkSession, mapping_path: str, before_batch: Optional[int] = None) -> Optional[DataFrame]:
-    """Mapping rows written by earlier batches."""
-    if not _has_data(spark, mapping_path):
-        return None
-    m = spark.read.option("basePath", mapping_path).parquet(mapping_path)
-    return m if before_batch is None else m.filter(F.col("batch_id") < before_batch)
-
-
 class SessionMaskSink:
     """ST2: ``stream.writeStream.foreachBatch(SessionMaskSink(...))``.
 
-    Writes masked rows to ``masked_path/batch_id=N`` and the new mapping entries to
-    ``mapping_path/batch_id=N``.  Within a batch, rows of a session are numbered in
-    ``order_col`` order; across batches, in arrival order.
+    Writes masked rows to ``masked_path/batch_id=N`` and the new mapping entries and seen sessions to the store at
+    ``mapping_path``, then commits the batch.  Within a batch, rows of a session are numbered in
+    ``order_col`` order; across batches, in arrival order.  Every ``compact_every`` batches the store is compacted.
     """
 
     def __init__(self, mapping_path: str, masked_path: str, text_col: str = "text", key_col: str = "doc_id",
                  session_col: str = "session_id", order_col: Optional[str] = None,
                  options: MaskOptions = MaskOptions(engines="regex"), strategy: str = "range",
-                 ttl_batches: Optional[int] = None, keep_cols: Sequence[str] = (), **seg_kwargs):
+                 ttl_batches: Optional[int] = None, keep_cols: Sequence[str] = (), buckets: int = 64,
+                 compact_every: int = 50, **seg_kwargs):
         self.mapping_path, self.masked_path = mapping_path, masked_path
         self.text_col, self.key_col, self.session_col, self.order_col = text_col, key_col, session_col, order_col
         self.options, self.strategy, self.ttl, self.keep_cols = options, strategy, ttl_batches, tuple(keep_cols)
-        self.seg_kwargs = seg_kwargs
-
-    def _with_generations(self, batch: DataFrame, batch_id: int) -> DataFrame:
-        """ST4: note the batch's sessions as seen; those that had expired get the id of a new generation."""
-        spark, path = batch.sparkSession, f"{self.mapping_path}.sessions"
-        here = batch.select(F.col(self.session_col).cast("string").alias("_sid")).where("_sid IS NOT NULL").distinct()
-        if _has_data(spark, path):
-            seen = spark.read.option("basePath", path).parquet(path).filter(F.col("batch_id") < batch_id)
-            last = seen.groupBy("_sid").agg(F.max(F.struct("batch_id", "_generation")).alias("last"))
-            expired = (F.col("last.batch_id") < batch_id - self.ttl).cast("int")
-            here = here.join(last, "_sid", "left").select(
-                "_sid", F.coalesce(F.col("last._generation") + expired, F.lit(1)).alias("_generation"))
-        else:
-            here = here.withColumn("_generation", F.lit(1))
-        here.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        later = spark.read.schema(here.schema).parquet(f"{path}/batch_id={batch_id}").where("_generation > 1")
+        self.buckets, self.compact_every, self.seg_kwargs = buckets, compact_every, seg_kwargs
+
+    def _with_generations(self, batch: DataFrame, seen: DataFrame, store: MappingStore, batch_id: int) -> tuple[DataFrame, DataFrame]:
+        """ST4: the batch's sessions with their generation; those that had expired get the id of a new one."""
+        spark = batch.sparkSession
+        last = store.sessions(store.buckets_of(seen), before=batch_id).select("session_id", F.col("generation").alias("_known"), "last_seen")
+        expired = (F.col("last_seen") < batch_id - self.ttl).cast("int")
+        here = seen.join(last, "session_id", "left").select(
+            "session_id", F.coalesce(F.col("_known") + expired, F.lit(1)).alias("generation"), "n_rows", F.lit(batch_id).cast("long").alias("last_seen"))
+        path = f"{self.mapping_path}.seen/batch_id={batch_id}"
+        here.write.mode("overwrite").parquet(path)
+        here = spark.read.schema(here.schema).parquet(path)
+        later = here.where("generation > 1").select(F.col("session_id").alias("_sid"), F.col("generation").alias("_generation"))
         sid = F.col(self.session_col).cast("string")
         named = F.when(F.col("_generation").isNull(), sid).otherwise(F.concat(sid, F.lit(GENERATION), F.col("_generation").cast("string")))
-        return batch.join(later, sid == F.col("_sid"), "left").withColumn(self.session_col, named).drop("_sid", "_generation")
+        return batch.join(later, sid == F.col("_sid"), "left").withColumn(self.session_col, named).drop("_sid", "_generation"), here
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         _claim(spark, self.mapping_path)
+        store = MappingStore(spark, self.mapping_path, self.buckets)
+        sid = F.col(self.session_col).cast("string")
+        seen = batch.where(sid.isNotNull()).groupBy(sid.alias("session_id")).agg(F.count(F.lit(1)).alias("n_rows"))
+        registry = None
         if self.ttl is not None:
-            batch = self._with_generations(batch, batch_id)
-        existing = read_mapping(spark, self.mapping_path, before_batch=batch_id)
-        existing_m = None
-        if existing is not None:
-            # only the sessions of this batch matter: the numbering joins never touch the rest
-            here = batch.select(F.col(self.session_col).cast("string").alias("session_id")).distinct()
-            existing_m = existing.select(*MAPPING_COLS).join(here, "session_id", "left_semi")
+            batch, registry = self._with_generations(batch, seen, store, batch_id)
+        here = batch.where(sid.isNotNull()).select(sid.alias("session_id")).distinct()
+        existing = None
+        if store.state(before=batch_id) != State(None, []):
+            # only the sessions of this batch matter: other buckets are not read, and the numbering joins never touch the rest
+            existing = store.mapping(store.buckets_of(here), before=batch_id).join(here, "session_id", "left_semi")
         res = M.mask_sessions(batch, self.text_col, self.key_col, session_col=self.session_col,
                               order_col=self.order_col, options=self.options, strategy=self.strategy,
-                              existing_mapping=existing_m, keep_cols=self.keep_cols, **self.seg_kwargs)
-        res.added.write.mode("overwrite").parquet(f"{self.mapping_path}/batch_id={batch_id}")
-        res.masked.write.mode("overwrite").parquet(f"{self.masked_path}/batch_id={batch_id}")
+                              existing_mapping=existing, keep_cols=self.keep_cols, run_id=f"batch {batch_id}", **self.seg_kwargs)
+        folder = f"{self.masked_path}/batch_id={batch_id}"
+        res.masked.write.mode("overwrite").parquet(folder)
+        # sessions as the masked rows have them: rows without a session got one of their own, expired ones a new id
+        masked = spark.read.schema(res.masked.schema).parquet(folder)
+        known = session_registry(masked, batch_id)
+        if registry is not None:  # the plain id keeps the number of its generation
+            known = known.join(registry.select("session_id"), "session_id", "left_anti").unionByName(registry)
+        store.write(batch_id, res.added, known)
+        store.commit(batch_id)
+        if batch_id and batch_id % self.compact_every == 0:
+            store.compact(before=batch_id)
 
 
 class SessionUnmaskSink:
-    """ST3: restore every micro-batch against the mapping table; writes ``out_path/batch_id=N``."""
+    """ST3: restore every micro-batch against the mapping store; writes ``out_path/batch_id=N``."""
 
     def __init__(self, mapping_path: str, out_path: str, text_col: str = "masked_text", key_col: str = "doc_id",
-                 session_col: str = "session_id", masked_path: Optional[str] = None):
-        self.mapping_path, self.out_path, self.masked_path = mapping_path, out_path, masked_path
+                 session_col: str = "session_id"):
+        self.mapping_path, self.out_path = mapping_path, out_path
         self.text_col, self.key_col, self.session_col = text_col, key_col, session_col
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        mapping = read_mapping(spark, self.mapping_path)
-        if mapping is None:
-            mapping = spark.createDataFrame([], "session_id string, tag string, n long, token string, value string")
-        known = None
-        if self.masked_path is not None and _has_data(spark, self.masked_path):
-            # sessions that were masked are known even when they produced no mapping rows
-            known = read_batches(spark, self.masked_path).select("session_id")
-        out = U.unmask_checked(batch, mapping.select(*MAPPING_COLS), self.text_col, self.key_col, self.session_col,
-                               known_sessions=known)
+        store = MappingStore(spark, self.mapping_path)
+        buckets = store.buckets_of(batch.select(F.col(self.session_col).cast("string").alias("session_id")).where("session_id IS NOT NULL"))
+        # sessions that were masked are known even when they have no mapping rows: the registry has them
+        out = U.unmask_checked(batch, store.mapping(buckets), self.text_col, self.key_col, self.session_col, known_sessions=store.sessions(buckets))
         out.write.mode("overwrite").parquet(f"{self.out_path}/batch_id={batch_id}")
 
 
+def session_values(mapping: DataFrame, most: int = MOST_VALUES) -> DataFrame:
+    """session_id, values (array of token, value): a session's mapping as one row; a session of more than ``most`` is refused."""
+    too_many = F.raise_error(F.concat(F.lit("more values than a row should hold in session "), F.col("session_id")))
+    values = mapping.groupBy("session_id").agg(F.count(F.lit(1)).alias("c"), F.collect_list(F.struct("token", "value")).alias("values"))
+    return values.select("session_id", F.when(F.col("c") <= most, F.col("values")).otherwise(too_many).alias("values"))
+
+
+def restore_stream(stream: DataFrame, mapping: DataFrame, sessions: DataFrame, text_col: str = "masked_text",
+                   session_col: str = "session_id") -> DataFrame:
+    """ST3 without ``foreachBatch``: append mode, stateless; ``text`` and ``is_error`` as in ``unmask_checked``.
+
+    The token map of a session is joined to its rows (stream-static) and applied in the row, so it suits sessions of bounded
+    size (``session_values``); the sink has no such bound.  A query sees the committed mapping of its start; run it
+    again from the same checkpoint to take in later batches.
+    """
+    known = sessions.select(F.col("session_id").cast("string").alias("_sid")).distinct() \
+        .join(session_values(mapping).withColumnRenamed("session_id", "_sid"), "_sid", "left")
+    joined = stream.join(known.withColumn("_known", F.lit(True)), F.col(session_col).cast("string") == F.col("_sid"), "left")
+    tokens = F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_PATTERN), F.lit(0))
+    # only the entries whose token stands in the text make the look-up table
+    found = F.filter(F.coalesce(F.col("values"), F.array().cast("array<struct<token:string,value:string>>")), lambda e: F.array_contains(F.col("_tokens"), e["token"]))
+    work = joined.withColumn("_tokens", F.when(F.col("_known"), tokens)).withColumn("_map", F.map_from_entries(F.array_distinct(found)))
+    vals = F.transform("_tokens", lambda t: F.coalesce(F.element_at(F.col("_map"), t), t))
+    message = F.format_string(U.SESSION_NOT_FOUND.format(sid="%s"), F.col(session_col).cast("string"))
+    restored = F.when(F.size("_tokens") > 0, U.restore_expr(F.col(text_col), vals)).otherwise(F.col(text_col))
+    out = work.withColumn("_restored", F.when(F.coalesce("_known", F.lit(False)), restored).otherwise(message))
+    out = out.withColumn("is_error", ~F.coalesce("_known", F.lit(False))).drop("_sid", "_known", "values", "_tokens", "_map")
+    return out.drop("text").withColumnRenamed("_restored", "text")
+
+
 def run_available(stream: DataFrame, sink, checkpoint: str) -> None:
     """Drive a stream to the end of the data that is available now (batch-like runs and tests)."""
     q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint) \

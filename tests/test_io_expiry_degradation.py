@@ -50,7 +50,7 @@ def test_restore_after_expiry_and_last_seen(spark):
     out = read_batches(spark, f"{base}/out")
     assert {r.doc_id: r.masked_text for r in out.collect()} == {
         1: "[EMAIL:1]", 2: "[EMAIL:1]", 3: "[EMAIL:1] [EMAIL:2]", 4: "[EMAIL:1]", 5: "none", 6: "[EMAIL:1] and [EMAIL:2]"}
-    SessionUnmaskSink(f"{base}/map", f"{base}/back", masked_path=f"{base}/out")(out.drop("batch_id"), 0)
+    SessionUnmaskSink(f"{base}/map", f"{base}/back")(out.drop("batch_id"), 0)
     assert {r.doc_id: r.text for r in read_batches(spark, f"{base}/back").collect()} == {r[0]: r[3] for r in rows}
 
 
