@@ -4,10 +4,10 @@ A gram dictionary says how far a gram reads: two characters, or three or four wh
 more than ``list_max`` words (frequent grams are pruned away in favour of longer ones, rare ones keep their short
 lists).  A word is decomposed into the variable gram at each start.  One edit can only affect the grams that
 read the edited place; the most distinct grams that one edit can take from a word is its bound.  So two near
-words share an unaffected gram among the bound + 1 rarest of either word, at the same distance from the start
-(left of the edit) or from the end (right of it): only those lists are merged, by a join on gram, side and
-distance, and every candidate is verified by its edit distance.  Grams are kept at every start, covered or
-not: dropping covered ones would carry an edit's effect to grams that don't hold it.
+words share an unaffected gram among the bound + 1 rarest of either word, left or right of the edit, and only those
+lists are merged.  What lies beyond an unaffected gram is unaffected too, so a list is split by the whole run of
+characters from the word's end to the gram.  Every candidate is verified by its edit distance.  Grams are kept at every
+start, covered or not: dropping covered ones would carry an edit's effect to grams that don't hold it.
 
 Defined cases: null text has no words; a null id counts as empty in the edit rule; repeated rows count as often as
 they stand; ties between near words go to the smallest in code-point order; an empty table gives an empty
@@ -21,6 +21,7 @@ import zlib
 from collections import Counter
 from typing import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,11 @@ from pseudoflow.llm.common import written
 
 LETTERS = "A-Za-zÀ-ÿ"
 SHORTEST, LONGEST = 2, 4
-#: Words that a task counts before it passes them on.
+#: Words or grams that a task counts before it passes them on.
 HELD = 400_000
+#: The table of list sizes has 2 ** LEVEL_BITS entries of 4 bits (8 MB), whatever the number of words; grams that
+#: share an entry take the larger size, which only moves them back in the order.
+LEVEL_BITS = 24
 
 
 def planted(run: str, prefix: int, every: int) -> str:
@@ -67,19 +71,46 @@ def count_words(docs: DataFrame, id_col: str, text_col: str, min_length: int, ev
     return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_grams(words: DataFrame, list_max: int) -> set[str]:
-    """Grams shorter than LONGEST that stand in more than ``list_max`` words.  The alphabet of 90 letters bounds
-    them (90 ** 2 + 90 ** 3), however large the corpus."""
+def _counted(total: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
+
+
+def gram_counts(words: DataFrame) -> DataFrame:
+    """gram, n: the number of words that hold each gram of SHORTEST to LONGEST characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
         for batch in batches:
             for word in batch.column(0).to_pylist():
-                total.update({word[p : p + q] for q in range(SHORTEST, LONGEST) for p in range(len(word) - q + 1)})
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
+                total.update({word[p : p + q] for q in range(SHORTEST, LONGEST + 1) for p in range(len(word) - q + 1)})
+                if len(total) > HELD:
+                    yield _counted(total)
+                    total.clear()
+        yield _counted(total)
 
-    found = words.select("word").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > list_max)
-    return set(found.select("gram").toArrow()["gram"].to_pylist())
+    return words.select("word").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def frequent_grams(counts: DataFrame, list_max: int) -> set[str]:
+    """Grams shorter than LONGEST that stand in more than ``list_max`` words.  The alphabet of 90 letters bounds
+    them (90 ** 2 + 90 ** 3), however large the corpus."""
+    found = counts.where((F.length("gram") < LONGEST) & (F.col("n") > list_max)).select("gram").toArrow()
+    return set(found["gram"].to_pylist())
+
+
+def _slot(gram: str) -> int:
+    return zlib.crc32(gram.encode()) & ((1 << LEVEL_BITS) - 1)
+
+
+def list_levels(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Filled words (16 entries of 4 bits) of the table of binary logarithms of the list sizes; at most
+    2 ** (LEVEL_BITS - 4) rows of 16 bytes reach the driver."""
+    slot = F.crc32(F.encode("gram", "UTF-8")).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1))
+    levels = counts.groupBy(slot.alias("slot")).agg(F.max(F.least(F.lit(15), F.floor(F.log2("n")))).cast("int").alias("level"))
+    place = (F.col("slot").bitwiseAND(F.lit(15)) * 4).cast("int")
+    words = levels.where("level > 0").select(F.shiftrightunsigned("slot", 4).alias("word"), F.call_function("shiftleft", F.col("level").cast("long"), place).alias("bits"))
+    found = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    return found["word"].to_numpy(), found["bits"].to_numpy().view(np.uint64)
 
 
 def decompose(word: str, frequent: set[str]) -> tuple[dict[str, list[int]], int]:
@@ -100,32 +131,46 @@ def decompose(word: str, frequent: set[str]) -> tuple[dict[str, list[int]], int]
     return starts, bound
 
 
-def gram_lists(words: DataFrame, frequent: set[str]) -> DataFrame:
-    """word, length, bound, gram, side (0 from the start, 1 from the end), off: the index, one row per place."""
+def merged_lists(words: DataFrame, frequent: set[str], filled: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """run, word: the places of the bound + 1 rarest grams of each word, by the run that holds the gram and all beyond it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << (LEVEL_BITS - 4), np.uint64)
+        table[filled[0]] = filled[1]
+        levels: dict[str, int] = {}
+
+        def rarity(gram: str) -> tuple[int, str]:
+            if gram not in levels:
+                if len(levels) > HELD:
+                    levels.clear()
+                slot = _slot(gram)
+                levels[gram] = int(table[slot >> 4]) >> (slot & 15) * 4 & 15
+            return levels[gram], gram
+
         for batch in batches:
-            out: list[tuple] = []
+            runs, own = [], []
             for word in batch.column(0).to_pylist():
                 starts, bound = decompose(word, frequent)
-                out += [(word, len(word), bound, g, side, p if side == 0 else len(word) - p) for g, at in starts.items() for p in at for side in (0, 1)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["word", "length", "bound", "gram", "side", "off"])
+                found = set()
+                for gram in sorted(starts, key=rarity)[: bound + 1]:
+                    for p in starts[gram]:
+                        found |= {"<" + word[: p + len(gram)], ">" + word[p:]}
+                runs += found
+                own += [word] * len(found)
+                if len(runs) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(runs, pa.string()), pa.array(own, pa.string())], names=["run", "word"])
+                    runs, own = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(runs, pa.string()), pa.array(own, pa.string())], names=["run", "word"])
 
-    return words.select("word").mapInArrow(run, "word string, length long, bound long, gram string, side long, off long")
+    return words.select("word").mapInArrow(run, "run string, word string")
 
 
 def near_pairs(words: DataFrame, list_max: int = 64) -> DataFrame:
     """a, b (a < b): all pairs of the distinct ``word`` that are one edit apart."""
-    index = written(gram_lists(words, frequent_grams(words, list_max)), "gram-index")
-    own = index.where("side = 0").select("word", "gram", "bound").distinct()
-    sizes = own.groupBy("gram").agg(F.count(F.lit(1)).alias("listed"))
-    ranked = own.join(sizes, "gram").groupBy("word", "bound").agg(F.sort_array(F.collect_list(F.struct("listed", "gram"))).alias("lists"))
-    probes = ranked.select("word", F.explode(F.slice("lists", 1, F.col("bound") + 1)).alias("one")).select("word", F.col("one.gram").alias("gram"))
-    places = written(index.join(probes, ["word", "gram"]).select("gram", "side", "off", "word", "length"), "gram-places")
-    a = places.select("gram", "side", "off", F.col("word").alias("a"), F.col("length").alias("length_a"))
-    b = places.select("gram", "side", "off", F.col("word").alias("b"), F.col("length").alias("length_b"))
-    met = a.join(b, ["gram", "side", "off"]).where("a < b AND abs(length_a - length_b) <= 1")
+    counts = written(gram_counts(words), "grams")
+    lists = written(merged_lists(words, frequent_grams(counts, list_max), list_levels(counts)), "gram-lists")
+    met = lists.withColumnRenamed("word", "a").join(lists.withColumnRenamed("word", "b"), "run")
+    met = met.where("a < b AND abs(length(a) - length(b)) <= 1")
     return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "b").distinct()
 
 
