@@ -141,11 +141,14 @@ def anchors(values: DataFrame, texts: DataFrame, fold: bool) -> DataFrame:
     return rated.groupBy("id").agg(best).where("best.df > 0").select("id", "best.gram", "best.length")
 
 
-def candidates(df: DataFrame, values: DataFrame, text_col: str, fold: bool, fields: list[str], out_col: str) -> tuple[DataFrame, DataFrame]:
+def candidates(df: DataFrame, values: DataFrame, text_col: str, fold: bool, fields: list[str], out_col: str,
+               by: Optional[str] = None) -> tuple[DataFrame, DataFrame]:
     """(rows of ``df`` with an array ``out_col`` of the values that may occur, rows without any).
 
-    ``values`` has value (not empty) and ``fields``; the array holds structs of ``fields``.  Rows with anchors are checkpointed.
+    ``values`` has value (not empty) and ``fields``; the array holds structs of ``fields``.  With ``by`` (a column of both) a
+    row meets the values of its own group only.  Rows with anchors are checkpointed.
     """
+    group = [by] if by else []
     values = materialize(values.withColumn("id", F.monotonically_increasing_id()))
     own = materialize(anchors(values, df.select(F.col(text_col).cast("string")), fold))
     known = _filter_of(own, fold)
@@ -159,7 +162,8 @@ def candidates(df: DataFrame, values: DataFrame, text_col: str, fold: bool, fiel
 
     noted = df.mapInArrow(run, schema)
     rows = materialize(noted.where(F.size("_grams") > 0).withColumn("_row", F.monotonically_increasing_id()))
-    listed = rows.select("_row", F.explode("_grams").alias("gram")).join(own.select("id", "gram"), "gram").select("_row", "id")
+    owned = own.select("id", "gram").join(values.select("id", *group), "id") if by else own.select("id", "gram")
+    listed = rows.select("_row", *group, F.explode("_grams").alias("gram")).join(owned, ["gram", *group]).select("_row", "id")
     listed = listed.join(values.select("id", F.struct(*fields).alias("v")), "id").groupBy("_row").agg(F.collect_list("v").alias(out_col))
     some = rows.drop("_grams").join(listed, "_row", "left").drop("_row")
     return some, noted.where(F.size("_grams") == 0).drop("_grams")

@@ -372,6 +372,21 @@ def grouped_hits(segs: Column) -> Column:
     return let({"S": F.array_sort(keyed)}, with_sorted)
 
 
+def places_of(values: Column) -> Column:
+    """Distinct strings of an array with their positions: ``array<struct<value, places>>``, by one sort."""
+
+    def groups(v: Column) -> Column:
+        srt, starts = v["S"], v["starts"]
+        return F.transform(starts, lambda st, r: let({"m": F.slice(srt, st + 1, F.coalesce(F.get(starts, r + 1), F.size(srt)) - st)}, lambda w: F.struct(
+            F.get(w["m"], 0)["v"].alias("value"), F.transform(w["m"], lambda x: x["i"]).alias("places"))))
+
+    def with_sorted(v: Column) -> Column:
+        starts = F.filter(F.transform(v["S"], lambda x, q: q), lambda q: (q == 0) | (F.get(v["S"], q - 1)["v"] != F.get(v["S"], q)["v"]))
+        return let({"S": v["S"], "starts": starts}, groups)
+
+    return let({"S": F.array_sort(F.transform(values, lambda x, i: F.struct(x.alias("v"), i.alias("i"))))}, with_sorted)
+
+
 def segments_with(segs: Column, tokens: Column) -> Column:
     """Segments whose hits hold their token; ``tokens`` = ``array<struct<places, token>>``.  Done hits have
     pass_no -1 and are never searched again."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pseudoflow.functions.hof import let
 from pseudoflow.functions.regex import TOKEN_PATTERN
+from pseudoflow.operators.segments import places_of
 
 # Messages of the service responses.
 NER_WARNING_WARMING_UP = (
@@ -46,19 +47,16 @@ def unmask(df: DataFrame, mapping: DataFrame, text_col: str = "masked_text", key
     session = F.col(session_col).cast("string")
     t = df.withColumn("_has", F.coalesce(has, F.lit(False)))
     with_tok = t.filter("_has").withColumn("_answer", F.sha2(F.to_json(F.struct(session.alias("s"), F.col(text_col).alias("t"))), 256))
-    toks = with_tok.select(
-        "_answer", session.alias("session_id"),
-        F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_PATTERN), F.lit(0))).alias("pos", "token")) \
-        .dropDuplicates(["_answer", "pos"])
+    tokens = F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_PATTERN), F.lit(0))
+    # a token of an answer leaves the row once, with its places; equal answers fall together in the aggregate
+    toks = with_tok.select("_answer", session.alias("session_id"), F.inline(places_of(tokens))).withColumnRenamed("value", "token")
     twice = F.raise_error(F.concat(F.lit("the mapping has two values for "), F.any_value("token"), F.lit(" of one session")))
     values = mapping.groupBy("session_id", "token").agg(
         F.when(F.min("value").eqNullSafe(F.max("value")), F.min("value")).otherwise(twice).alias("value"))
-    vals = (
-        toks.join(values, ["session_id", "token"], "left")
-        .groupBy(F.col("_answer").alias("_k"))
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("value", "token").alias("v")))),
-                         lambda x: x["v"]).alias("_vals"))
-    )
+    found = F.collect_set(F.struct("places", F.coalesce("value", "token").alias("v")))
+    placed = F.flatten(F.transform(found, lambda x: F.transform(x["places"], lambda i: F.struct(i.alias("pos"), x["v"].alias("v")))))
+    vals = toks.join(values, ["session_id", "token"], "left").groupBy(F.col("_answer").alias("_k")) \
+        .agg(F.transform(F.array_sort(placed), lambda x: x["v"]).alias("_vals"))
     restored = with_tok.join(vals, F.col("_answer") == F.col("_k"), "left") \
         .withColumn(out_col, restore_expr(F.col(text_col), F.col("_vals"))).drop("_k", "_vals", "_answer")
     plain = t.filter(~F.col("_has")).withColumn(out_col, F.col(text_col))
@@ -118,6 +116,21 @@ def leak_check(masked: DataFrame, hits: DataFrame, key_col: str = "doc_id",
         .select(key_col, F.col("value").alias("leaked_value"))
 
 
+def leak_check_sessions(masked: DataFrame, mapping: DataFrame, key_col: str = "doc_id", text_col: str = "masked_text") -> DataFrame:
+    """U5 across a session: values of the session's mapping that stand in any of its masked texts.
+
+    Values and texts meet by session and anchor gram (``literals.candidates``), then ``instr`` decides; session x
+    values pairs are never made.  Result: key, session_id, leaked_value.
+    """
+    from pseudoflow.operators.literals import candidates
+
+    rows = masked.select(F.col(key_col), F.col("session_id").cast("string").alias("session_id"), F.col(text_col).alias("_text"))
+    values = mapping.select(F.col("session_id").cast("string").alias("session_id"), "value").where("length(value) > 0").distinct()
+    some, _ = candidates(rows, values, "_text", False, ["value"], "_found", by="session_id")
+    leaked = F.filter(F.array_distinct("_found"), lambda v: F.instr(F.col("_text"), v["value"]) > 0)
+    return some.select(key_col, "session_id", F.explode(leaked).alias("v")).select(key_col, "session_id", F.col("v.value").alias("leaked_value"))
+
+
 def token_shaped_inputs(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Inputs that already contain token-shaped text (a restore would rewrite them)."""
     return df.withColumn("token_like_count", F.size(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_PATTERN), F.lit(0)))) \

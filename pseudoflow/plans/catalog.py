@@ -18,13 +18,14 @@ from pseudoflow.operators import mask as M
 from pseudoflow.operators import unmask as U
 from pseudoflow.options import MaskOptions
 from pseudoflow.plans import oracle as O
-from pseudoflow.sources import PII_NOTES_SQL, pii_notes, read_table
+from pseudoflow.sources import PII_NOTES_SQL, PLACE_NOTES_SQL, pii_notes, place_notes, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 NOTES_SQL = PII_NOTES_SQL.format(customer="customer")
+PLACES_SQL = PLACE_NOTES_SQL.format(customer="customer")
 PACKS = {"en": rules_for_language("en"), "pl": rules_for_language("pl")}
 
 
@@ -46,15 +47,15 @@ DETECT_SOURCES = {
     "en.phone": ("detect_us_phone", "documents"),
     "global.ipv4": ("detect_ipv4", "documents"),
     "global.phone": ("detect_global_phone", "documents"),
-    "global.ipv6": ("detect_ipv6", "pages"),
-    "global.url": ("detect_url", "pages"),
+    "global.ipv6": ("detect_ipv6", "places"),
+    "global.url": ("detect_url", "places"),
     "en.ssn": ("detect_ssn", "notes"),
     "pl.pesel": ("detect_pesel", "notes"),
     "pl.iban": ("detect_pl_iban", "notes"),
     "pl.phone": ("detect_pl_phone", "notes"),
     "pl.nip": ("detect_nip", "notes"),
-    "pl.postal-code": ("detect_postal_code", "notes"),
-    "en.zip-code": ("detect_zip_code", "notes"),
+    "pl.postal-code": ("detect_postal_code", "places"),
+    "en.zip-code": ("detect_zip_code", "places"),
     "global.iban": ("detect_global_iban", "notes"),
 }
 
@@ -62,6 +63,8 @@ DETECT_SOURCES = {
 def _source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     if table == "notes":
         return pii_notes(spark, sf_dir)
+    if table == "places":
+        return place_notes(spark, sf_dir)
     if table == "pages":
         return read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
     return read_table(spark, sf_dir, table).select("doc_id", "text")
@@ -70,6 +73,8 @@ def _source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def _source_sql(table: str) -> str:
     if table == "notes":
         return NOTES_SQL
+    if table == "places":
+        return PLACES_SQL
     if table == "pages":
         return "SELECT page_id AS doc_id, html AS text FROM pages"
     return f"SELECT doc_id, text FROM {table}"
@@ -239,6 +244,28 @@ def pii_report_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(spans, None, ["source"])
 
 
+@register("pii_report_daily", f"""
+WITH spans AS ({" UNION ALL ".join(
+    f"SELECT doc_id, '{r.tag}' AS tag, value, valid FROM ({O.detect_sql(_source_sql('documents'), 'doc_id', 'text', r)}) y{k}"
+    for k, r in enumerate(_REPORT_RULES))})
+SELECT d.source, s.tag, count(*) FILTER (WHERE s.valid) AS hits, count(*) FILTER (WHERE NOT s.valid) AS rejected,
+       true AS values_close, true AS documents_close
+FROM spans s JOIN documents d ON s.doc_id = d.doc_id GROUP BY d.source, s.tag""")
+def pii_report_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3 from seven daily sketch tables that are merged; the estimates are held against the exact report (5 %)."""
+    from pseudoflow.operators.report import merge_sketches, pii_report, pii_sketch
+    from pseudoflow.session import materialize
+    docs = read_table(spark, sf_dir, "documents").withColumn("day", F.col("doc_id") % 7)
+    spans = D.detect(docs, _REPORT_RULES, carry=["source", "day"])
+    daily = materialize(pii_sketch(spans, None, ["day", "source"]))
+    merged = merge_sketches(daily, ["source"])
+    exact = pii_report(spans, None, ["source"]).select("source", "tag", F.col("distinct_values").alias("v"), F.col("documents").alias("d"))
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.col(b) * 0.05 + 0.5
+    both = merged.join(exact, merged["source"].eqNullSafe(exact["source"]) & (merged["tag"] == exact["tag"]))
+    return both.select(merged["source"], merged["tag"], "hits", "rejected", close("distinct_values", "v").alias("values_close"),
+                       close("documents", "d").alias("documents_close"))
+
+
 def _rules_by_level_sql() -> str:
     from pseudoflow.functions.rules import RULES
     vals = ", ".join(f"('{lv}', '{r.rule_id}', '{r.tag}')" for r in RULES for lv in r.levels)
@@ -405,20 +432,28 @@ def merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge(person.unionByName(org))
 
 
-@register("ner_status", f"""
-WITH s AS (
-  SELECT doc_id, unnest(CASE WHEN len(x) = 0 THEN [text] ELSE x END) AS sentence
-  FROM (SELECT doc_id, text, regexp_extract_all(text, {O.q(_SENT_RE2)}) AS x FROM documents) a)
-SELECT doc_id, CASE WHEN bool_or(length(sentence) <= 200) THEN 'ready'
-                    WHEN bool_or(length(sentence) > 400) THEN 'warming_up' ELSE 'disabled' END AS ner_status
-FROM s GROUP BY doc_id""")
+def moody_extractor(chunk: str, known: list) -> list:
+    """Stand-in extractor whose calls succeed, time out or are refused, by the chunk's first character."""
+    if chunk[:1] and chunk[0] in "ABCDEFGHIJKL":
+        raise TimeoutError("slow")
+    if chunk[:1] and chunk[0] in "MNOPQRSTUVWXYZ":
+        raise ConnectionError("refused")
+    return []
+
+
+def _status_sql(chunks: str) -> str:
+    return f"""
+SELECT doc_id, CASE WHEN bool_or(NOT regexp_matches(chunk, '^[A-Z]')) THEN 'ready'
+                    WHEN bool_or(regexp_matches(chunk, '^[A-L]')) THEN 'warming_up' ELSE 'disabled' END AS ner_status
+FROM ({chunks}) sc GROUP BY doc_id"""
+
+
+@register("ner_status", _status_sql(_chunks_sql()))
 def ner_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """N4 over per-sentence call outcomes: short sentences succeed, very long ones time out."""
-    from pseudoflow.operators.entities import ner_status as status
-    sents = C.split_sentences(read_table(spark, sf_dir, "documents"))
-    results = sents.select("doc_id", F.col("sentence_no").alias("chunk_no"),
-                           (F.length("sentence") <= 200).alias("ok"), (F.length("sentence") > 400).alias("timeout"))
-    return status(results)
+    """N4 + N6 over N1's results: calls fail by chunk, the others go on."""
+    from pseudoflow.operators.entities import extract_entities, ner_status as status
+    res = extract_entities(read_table(spark, sf_dir, "documents"), moody_extractor)
+    return status(res).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 # ---------------------------------------------------------------- L1-L3
@@ -510,21 +545,28 @@ def mask_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.mask_response(res.masked, auto_unmask=False, key_cols=("doc_id",)).drop("response_json")
 
 
+_PLAIN = "CASE WHEN c.c_nationkey % 4 = 3 THEN 'Nothing to hide in note ' || n.doc_id ELSE n.text END"
+
+
 @register("unknown_session", f"""
 SELECT n.doc_id,
   CASE WHEN nat.n_regionkey = 0 THEN 'Error: session "' || n.session_id || '" not found. It may have expired or never existed.'
-       ELSE n.text END AS text,
+       ELSE {_PLAIN} END AS text,
   nat.n_regionkey = 0 AS is_error
 FROM ({NOTES_SQL}) n JOIN customer c ON n.doc_id = c.c_custkey JOIN nation nat ON c.c_nationkey = nat.n_nationkey""")
 def unknown_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T6 + U3: sessions of region-0 nations are cleared; restoring their rows reports the missing session."""
+    """T6 + U3: a quarter of the sessions have no hits, so only the registry knows them; sessions of region-0 nations are
+    cleared from mapping and registry, and restoring their rows reports the missing session."""
     from pseudoflow.operators.tokens import clear_sessions
-    res = _notes_sessions(spark, sf_dir).checkpoint()
+    from pseudoflow.sources.store import session_registry
+    plain = F.concat(F.lit("Nothing to hide in note "), F.col("doc_id").cast("string"))
+    notes = pii_notes(spark, sf_dir).withColumn("text", F.when(F.expr("cast(substr(session_id, 2) as int) % 4 = 3"), plain).otherwise(F.col("text")))
+    res = M.mask_sessions(notes, order_col="call_seq", lang_col="lang").checkpoint()
     nation = read_table(spark, sf_dir, "nation")
     cleared = nation.filter(F.col("n_regionkey") == 0).select(
         F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("session_id"))
-    mapping = clear_sessions(res.mapping, cleared)
-    return U.unmask_checked(res.masked, mapping, "masked_text", "doc_id").select("doc_id", "text", "is_error")
+    mapping, registry = clear_sessions(res.mapping, cleared), clear_sessions(session_registry(res.masked), cleared)
+    return U.unmask_checked(res.masked, mapping, "masked_text", "doc_id", known_sessions=registry).select("doc_id", "text", "is_error")
 
 
 _EXT_SRC = f"SELECT n.*, c.c_mktsegment FROM ({NOTES_SQL}) n JOIN customer c ON n.doc_id = c.c_custkey"

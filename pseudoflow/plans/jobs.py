@@ -6,11 +6,12 @@ import uuid
 from typing import Optional
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from pseudoflow.operators import mask as M
 from pseudoflow.operators import unmask as U
 from pseudoflow.options import MaskOptions
-from pseudoflow.sources import read_documents, read_mapping, write_outputs
+from pseudoflow.sources import committed_run, read_documents, read_mapping, write_run
 
 
 def mask_job(spark: SparkSession, input_path: str, masked_path: str, mapping_path: str, *,
@@ -33,7 +34,7 @@ def mask_job(spark: SparkSession, input_path: str, masked_path: str, mapping_pat
         res = M.mask_rows(docs, text_col, key_col, persist=True, **kw)
     else:
         res = M.mask_sessions(docs, text_col, key_col, session_col=session_col, order_col=order_col, **kw)
-    write_outputs(res.masked, res.mapping, masked_path, mapping_path, session_buckets)
+    write_run(res.masked, res.mapping, masked_path, mapping_path, run_id, session_buckets)
     return run_id
 
 
@@ -43,12 +44,12 @@ def restore_job(spark: SparkSession, masked_path: str, mapping_path: str, out_pa
     """Restore a table of (key, session_id, text) — by default the masked table itself, or any
     other table such as a model's answers (``texts_path``) — against a stored mapping.
 
-    A session is known when the mask job produced rows for it (even without hits); texts of other
+    A session is known when the last committed run has it in its registry (even without hits); texts of other
     sessions become error rows.
     """
-    masked = spark.read.parquet(masked_path)
-    texts = spark.read.parquet(texts_path) if texts_path else masked
-    mapping = read_mapping(spark, mapping_path)
-    known = masked.select(session_col).distinct().withColumnRenamed(session_col, "session_id")
-    U.unmask_checked(texts, mapping, text_col, key_col, session_col, known_sessions=known) \
+    run = committed_run(spark, mapping_path)
+    texts = spark.read.parquet(texts_path or (run["masked"] if run else masked_path))
+    # sessions without hits are known too: the registry has them, or else the masked table
+    known = spark.read.parquet(run["sessions"]) if run else spark.read.parquet(masked_path).select(F.col(session_col).alias("session_id"))
+    U.unmask_checked(texts, read_mapping(spark, mapping_path), text_col, key_col, session_col, known_sessions=known) \
         .write.mode("overwrite").parquet(out_path)

@@ -7,6 +7,8 @@ from typing import Optional
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pseudoflow.sources.store import has_data, session_registry
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -73,9 +75,54 @@ def write_outputs(masked: DataFrame, mapping: DataFrame, masked_path: str, mappi
         .write.mode(mode).partitionBy("session_buckets", "session_bucket").parquet(mapping_path)
 
 
+MANIFEST = "seq long, run_id string, masked string, mapping string, sessions string"
+
+
+def write_run(masked: DataFrame, mapping: DataFrame, masked_path: str, mapping_path: str, run_id: str,
+              session_buckets: int = 64) -> None:
+    """I2 for a whole run: masked rows, mapping and session registry in folders of the run, then the manifest row that
+    names them.  Readers go by the last manifest row, so a run that stops before it leaves the former state readable."""
+    spark = masked.sparkSession
+    own = {"masked": f"{masked_path}/run_id={run_id}", "mapping": f"{mapping_path}/run_id={run_id}", "sessions": f"{mapping_path}.sessions/run_id={run_id}"}
+    write_outputs(masked, mapping, own["masked"], own["mapping"], session_buckets)
+    session_registry(spark.read.schema(masked.schema).parquet(own["masked"])).write.mode("overwrite").parquet(own["sessions"])
+    _commit_run(spark, mapping_path, run_id, own)
+
+
+def _commit_run(spark: SparkSession, mapping_path: str, run_id: str, folders: dict[str, str]) -> None:
+    last = committed_run(spark, mapping_path)
+    row = spark.range(1).select(F.lit(last["seq"] + 1 if last else 0).cast("long").alias("seq"), F.lit(run_id).alias("run_id"),
+                                *[F.lit(folders[k]).alias(k) for k in ("masked", "mapping", "sessions")])
+    row.coalesce(1).write.mode("overwrite").parquet(f"{mapping_path}.manifest/{run_id}")
+
+
+def committed_run(spark: SparkSession, mapping_path: str) -> Optional[dict]:
+    """The manifest row of the last committed run, None without any."""
+    path = f"{mapping_path}.manifest"
+    if not has_data(spark, path):
+        return None
+    rows = spark.read.schema(MANIFEST).option("recursiveFileLookup", "true").parquet(path).orderBy(F.desc("seq")).limit(1).collect()
+    return rows[0].asDict() if rows else None
+
+
+def clear_run(spark: SparkSession, mapping_path: str, sessions: DataFrame, run_id: str) -> None:
+    """T6 on a stored run: the sessions leave mapping and registry; committed as a run of its own, the masked rows stay."""
+    last = committed_run(spark, mapping_path)
+    if last is None:
+        raise ValueError(f"{mapping_path} has no committed run")
+    gone = sessions.select(F.col("session_id").cast("string").alias("session_id")).distinct()
+    own = {"masked": last["masked"], "mapping": f"{mapping_path}/run_id={run_id}", "sessions": f"{mapping_path}.sessions/run_id={run_id}"}
+    spark.read.parquet(last["mapping"]).join(gone, "session_id", "left_anti") \
+        .write.mode("overwrite").partitionBy("session_buckets", "session_bucket").parquet(own["mapping"])
+    spark.read.parquet(last["sessions"]).join(gone, "session_id", "left_anti").write.mode("overwrite").parquet(own["sessions"])
+    _commit_run(spark, mapping_path, run_id, own)
+
+
 def read_mapping(spark: SparkSession, mapping_path: str, session_id: Optional[str] = None) -> DataFrame:
-    """The mapping that ``write_outputs`` wrote; with ``session_id`` only that session's partitions are read."""
-    df = spark.read.parquet(mapping_path)
+    """The mapping that ``write_outputs`` or the last committed ``write_run`` wrote; with ``session_id`` only that session's
+    partitions are read (T5)."""
+    run = committed_run(spark, mapping_path)
+    df = spark.read.parquet(run["mapping"] if run else mapping_path)
     if session_id is not None:
         bucket = F.pmod(F.xxhash64(F.lit(session_id)), F.col("session_buckets"))
         df = df.filter((F.col("session_bucket") == bucket) & (F.col("session_id") == session_id))
@@ -108,3 +155,19 @@ FROM {customer}
 def pii_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated notes with SSN / card / PESEL / NIP / IBAN / phone / e-mail values (FIXTURES §3)."""
     return spark.sql(PII_NOTES_SQL, customer=read_table(spark, sf_dir, "customer"))
+
+
+# Notes with the values of the paranoid rules (both dialects; reads only `customer`): addresses, codes, hosts.
+PLACE_NOTES_SQL = """
+SELECT c_custkey AS doc_id,
+       concat('Ship to ', lpad(cast(c_custkey % 90000 + 10000 AS string), 5, '0'), CASE WHEN c_custkey % 3 = 0 THEN concat('-', lpad(cast(c_custkey % 10000 AS string), 4, '0')) ELSE '' END,
+              ', kod ', lpad(cast(c_custkey % 100 AS string), 2, '0'), '-', lpad(cast(c_custkey % 1000 AS string), 3, '0'),
+              ', host 2001:db8:0:', cast(c_custkey % 10 AS string), ':0:0:0:', cast(c_custkey % 9000 AS string),
+              CASE WHEN c_custkey % 2 = 0 THEN concat(', see https://shop', cast(c_custkey % 50 AS string), '.example.com/o?id=', cast(c_custkey AS string), ' now') ELSE ' at 12:34' END) AS text
+FROM {customer}
+"""
+
+
+def place_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated notes with zip and postal codes, IPv6 and web addresses."""
+    return spark.sql(PLACE_NOTES_SQL, customer=read_table(spark, sf_dir, "customer"))
