@@ -3,10 +3,11 @@
 Counting goes by top-order marginalisation.  Inside a task the words of a language lie in one column and its
 leads; a row is the longest window that starts at a word, padded where its piece ends.  Only windows are
 counted; Spark's ROLLUP then sums them over ever shorter prefixes, so the count of a phrase is that of the
-windows that start with it, and no shorter n-gram is ever exploded.  It runs twice: windows of two words give
-the words' and pairs' counts; windows of ``order`` words end at a pair that is rarer than ``min_count``, since no
-phrase across it can be frequent.  Those pairs are known by a bit filter of a fixed size, whose false hits
-only lengthen windows.
+windows that start with it, and no shorter n-gram is ever exploded.  It runs three times: windows of two words give
+the counts of words and pairs, windows of three those of triples, windows of ``order`` words all longer ones.  The
+second and third time a window ends where a pair (a triple) is rarer than ``min_count``, since no phrase across it
+can be frequent.  Frequent ones are known by a bit filter of a fixed size, whose false hits only lengthen
+windows.  A task counts equal windows before it passes them on.
 
 Defined cases: null text counts as empty and gives nothing; a null language is ``und``, an empty one is a
 language of its own; repeated rows count as often as they stand; ids are not used; an empty table gives an
@@ -26,9 +27,9 @@ from pseudoflow.llm.common import written
 
 PIECE_MARKS = b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes.maketrans(bytes(range(65, 91)) + PIECE_MARKS + b"\t", bytes(range(97, 123)) + b"\n" * len(PIECE_MARKS) + b" ")
-#: Words that a task holds before it counts them; characters of a text that are split at once.
-HELD, SLICE = 1 << 22, 1 << 20
-#: The pair filter has 2 ** SLOT_BITS words of 64 bits (16 MB), whatever the corpus.
+#: Words that a task holds before it counts them; counted windows that it holds; characters of a text that are split at once.
+HELD, HELD_WINDOWS, SLICE = 1 << 19, 1 << 18, 1 << 20
+#: The filter of frequent grams has 2 ** SLOT_BITS words of 64 bits (16 MB), whatever the corpus.
 SLOT_BITS = 21
 MARK, FIRST = 1, 2  # ids: 0 nothing, 1 end of a piece, words from 2
 
@@ -49,13 +50,15 @@ def _parts(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def _pair_slots(lang: bytes, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place in the filter (word, bit) of each pair of word hashes."""
+def _slots(lang: bytes, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Place in the filter (word, bit) of each gram of word hashes."""
     import xxhash
 
-    x = first * np.uint64(0x9E3779B97F4A7C15) + (second ^ np.uint64(xxhash.xxh64_intdigest(lang)))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x = np.full(len(words[0]), xxhash.xxh64_intdigest(lang), np.uint64)
+    for h in words:
+        x = (x ^ h) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(31)
     return (x >> np.uint64(64 - SLOT_BITS)).astype(np.int64), x & np.uint64(63)
 
 
@@ -75,33 +78,63 @@ class _Column:
 
     def add(self, text: bytes) -> None:
         for part in _parts(text):
-            got = np.fromiter(map(self.words.__getitem__, part), np.int64, len(part))
+            got = np.fromiter(map(self.words.__getitem__, part), np.int32, len(part))
             self.ids.append(got[got > 0])
             self.size += len(got)
-        self.ids.append(np.array([MARK]))
-
-    def windows(self, lang: bytes, order: int, pairs: np.ndarray | None) -> pa.RecordBatch:
-        """Distinct padded windows and their counts; with ``pairs`` only those of two words or more."""
-        x, words = np.concatenate(self.ids), list(self.words)
-        joined = np.zeros(len(x), bool)  # a word and the next one are in one window
-        joined[:-1] = (x[:-1] >= FIRST) & (x[1:] >= FIRST)
-        if pairs is not None:
+        self.ids.append(np.array([MARK], np.int32))
+
+    def windows(self, lang: bytes, order: int, known: int, filled: np.ndarray | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Words, distinct padded windows (rows of places in the words) and their counts; only windows of more than
+        ``known`` words, all of whose grams of ``known`` words are in the filter (0: every window)."""
+        x, words = np.concatenate(self.ids).astype(np.int64), list(self.words)
+        size = max(known, 1)
+        whole = np.zeros(len(x), bool)  # a gram of ``size`` words starts here, and is frequent
+        n = max(len(x) - size + 1, 0)
+        whole[:n] = np.all([x[k : k + n] >= FIRST for k in range(size)], axis=0)
+        if filled is not None:
             h = _hashes(words)[x]
-            slot, bit = _pair_slots(lang, h[:-1], h[1:])
-            joined[:-1] &= (pairs[slot] >> bit & np.uint64(1)).astype(bool)
-        at = np.flatnonzero(x >= FIRST if pairs is None else joined)
-        lead, open_ = [x[at]], np.ones(len(at), bool)
-        key = lead[0]
-        for k in range(1, order):
-            open_ &= joined[np.minimum(at + k - 1, len(x) - 1)]
-            lead.append(np.where(open_, x[np.minimum(at + k, len(x) - 1)], 0))
-            if k > 1:
-                key = np.unique(key, return_inverse=True)[1]
-            key = key * len(words) + lead[k]
-        _, first, n = np.unique(key, return_index=True, return_counts=True)
-        known = pa.array(words, pa.binary())
-        cols = [known.take(pa.array(c[first])) for c in lead]
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.binary()), *cols, pa.array(n)], names=["lang", *_names(order), "n"])
+            slot, bit = _slots(lang, [h[k : k + n] for k in range(size)])
+            whole[:n] &= (filled[slot] >> bit & np.uint64(1)).astype(bool)
+        at = np.flatnonzero(whole & np.r_[whole[1:], False] if filled is not None else whole)
+        last, open_, lead = len(x) - 1, np.ones(len(at), bool), []
+        for k in range(order):
+            if k >= size:
+                open_ &= whole[np.minimum(at + k - size + 1, last)]
+            lead.append(np.where(open_, x[np.minimum(at + k, last)], 0))
+        rows, n = _distinct(np.column_stack(lead), np.ones(len(at), np.int64), len(words))
+        return words, rows, n
+
+
+def _distinct(rows: np.ndarray, n: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of numbers below ``top`` and the sums of their counts."""
+    if not len(rows):
+        return rows, n
+    key = rows[:, 0]
+    for k in range(1, rows.shape[1]):
+        if k > 1:
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * top + rows[:, k]
+    _, first, own = np.unique(key, return_index=True, return_inverse=True)
+    return rows[first], np.bincount(own, weights=n).astype(np.int64)
+
+
+class _Counted:
+    """Counted windows of one language, merged until they are passed on."""
+
+    def __init__(self, order: int) -> None:
+        self.order, self.words = order, _Vocabulary({b"": 0})
+        self.rows, self.n = np.zeros((0, order), np.int64), np.zeros(0, np.int64)
+
+    def add(self, words: list[bytes], rows: np.ndarray, n: np.ndarray) -> None:
+        used = np.unique(rows)
+        place = np.zeros(len(words), np.int64)
+        place[used] = [self.words[words[i]] for i in used]
+        self.rows, self.n = _distinct(np.concatenate([self.rows, place[rows]]), np.concatenate([self.n, n]), len(self.words))
+
+    def batch(self, lang: bytes) -> pa.RecordBatch:
+        known = pa.array(list(self.words), pa.binary())
+        cols = [known.take(pa.array(self.rows[:, k])) for k in range(self.order)]
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(self.n), pa.binary()), *cols, pa.array(self.n)], names=["lang", *_names(self.order), "n"])
 
 
 def _names(order: int) -> list[str]:
@@ -114,12 +147,27 @@ def _dense(filled: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return out
 
 
-def windows(texts: DataFrame, order: int, filled: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """lang, w1 .. w<order> (padded with empty), n: counted windows of each task; needs binary ``lang`` and ``text``."""
+def windows(texts: DataFrame, order: int, known: int = 0, filled: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """lang, w1 .. w<order> (padded with empty), n: counted windows of each task; needs binary ``lang`` and ``text``.
+
+    ``filled`` is the filter of the frequent grams of ``known`` words; shorter windows than ``known`` + 1 are left out then."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = None if filled is None else _dense(filled)
+        dense = None if filled is None else _dense(filled)
         held: dict[bytes, _Column] = {}
+        counted: dict[bytes, _Counted] = {}
+
+        def count() -> Iterator[pa.RecordBatch]:
+            for key, column in held.items():
+                counted.setdefault(key, _Counted(order)).add(*column.windows(key, order, known, dense))
+            held.clear()
+            if sum(len(c.n) for c in counted.values()) > HELD_WINDOWS:
+                yield from rest()
+
+        def rest() -> Iterator[pa.RecordBatch]:
+            yield from (c.batch(key) for key, c in counted.items())
+            counted.clear()
+
         size = 0
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
@@ -128,12 +176,10 @@ def windows(texts: DataFrame, order: int, filled: tuple[np.ndarray, np.ndarray]
                 mine.add(text.as_py())
                 size += mine.size - before
                 if size > HELD:
-                    for key, column in held.items():
-                        yield column.windows(key, order, pairs)
-                    held, size = {}, 0
-        for key, column in held.items():
-            if column.ids:
-                yield column.windows(key, order, pairs)
+                    yield from count()
+                    size = 0
+        yield from count()
+        yield from rest()
 
     kinds = ", ".join(f"{x} binary" for x in ["lang", *_names(order)])
     return texts.select("lang", "text").mapInArrow(run, f"{kinds}, n long")
@@ -151,22 +197,22 @@ def rolled_up(counted: DataFrame, order: int, least: int) -> DataFrame:
     return out.where(~F.array_contains("words", F.lit("")))  # a padded prefix is counted as the shorter phrase
 
 
-def pair_filter(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Filled words of the pair filter: at most 2 ** SLOT_BITS rows of 16 bytes reach the driver."""
+def gram_filter(grams: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Filled words of the filter of these grams of ``size`` words: at most 2 ** SLOT_BITS rows of 16 bytes reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, first, second = (c.to_pylist() for c in batch.columns)
-            h1, h2, slots, bits = _hashes(first), _hashes(second), [], []
+            lang, *words = (c.to_pylist() for c in batch.columns)
+            hashed, slots, bits = [_hashes(w) for w in words], [], []
             for key in set(lang):
                 at = np.array([x == key for x in lang])
-                slot, bit = _pair_slots(key, h1[at], h2[at])
+                slot, bit = _slots(key, [h[at] for h in hashed])
                 slots.append(slot)
                 bits.append((np.uint64(1) << bit).view(np.int64))
             if slots:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(slots)), pa.array(np.concatenate(bits))], names=["slot", "bits"])
 
-    rows = pairs.select(*[c.cast("binary") for c in (F.col("lang"), F.col("words")[0], F.col("words")[1])])
+    rows = grams.where(F.size("words") == size).select(F.col("lang").cast("binary"), *[F.col("words")[k].cast("binary").alias(f"w{k}") for k in range(size)])
     found = rows.mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     return found["slot"].to_numpy(), found["bits"].to_numpy().view(np.uint64)
 
@@ -182,10 +228,11 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order:
     texts = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).cast("binary").alias("lang"),
                         F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"))
     low = written(rolled_up(windows(texts, 2), 2, min_count), "words-and-pairs")
-    filled = pair_filter(low.where("size(words) = 2"))
-    high = rolled_up(windows(texts, order, filled), order, min_count)
-    known = low.where("size(words) = 1").unionByName(high.where("size(words) > 1"))
-    known = written(known.select("lang", "words", F.array_join("words", " ").alias("phrase"), "f"), "phrases")
+    known, size = low.where("size(words) > 0"), 2
+    for longer in sorted({min(3, order), order} - {2}):
+        more = rolled_up(windows(texts, longer, size, gram_filter(known, size)), longer, min_count).where(F.size("words") > size)
+        known, size = written(known.unionByName(more), "phrases"), longer
+    known = known.select("lang", "words", F.array_join("words", " ").alias("phrase"), "f")
     found = known.where("size(words) > 1")
 
     def part(start, length):
