@@ -90,10 +90,15 @@ def sieve(df: DataFrame, key: Column, keys: DataFrame, words: int = SIEVE_WORDS)
     return met.where(hit).select(*[met[f"`{c}`"] for c in df.columns])
 
 
+def parted(df: DataFrame, key: Column, keys: DataFrame, words: int = SIEVE_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(rows whose long ``key`` may be in ``keys``, rows that surely aren't), as ``sieve`` finds them; neither is shuffled."""
+    met, hit = _sieved(df, key, keys, words, "left")
+    cols = [met[f"`{c}`"] for c in df.columns]
+    return met.where(hit).select(*cols), met.where(~hit).select(*cols)
+
+
 def without(df: DataFrame, key_col: str, keys: DataFrame, words: int = SIEVE_WORDS) -> DataFrame:
     """The rows of ``df`` whose long ``key_col`` (never null) is not in ``keys``; only rows that the sieve holds are shuffled."""
-    met, hit = _sieved(df, df[f"`{key_col}`"], keys, words, "left")
-    cols = [met[f"`{c}`"] for c in df.columns]
+    held, rest = parted(df, df[f"`{key_col}`"], keys, words)
     (name,) = keys.columns
-    held = met.where(hit).select(*cols)
-    return met.where(~hit).select(*cols).unionByName(held.join(keys, held[f"`{key_col}`"] == keys[name], "left_anti"))
+    return rest.unionByName(held.join(keys, held[f"`{key_col}`"] == keys[name], "left_anti"))

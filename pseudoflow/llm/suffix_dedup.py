@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pseudoflow.llm.common import BROADCAST_ROWS, maybe_broadcast, text_or_empty, written
+from pseudoflow.llm.common import parted, sieve, text_or_empty, written
 
 LENGTH = 400
 BLOCK = 1 << 19  # strings of a text that are looked at together
@@ -203,17 +203,6 @@ def _verdicts(contexts: DataFrame, length: int, crowd: int) -> DataFrame:
     return sorted_out.unionByName(marked.mapInArrow(joined, f"h long, c long, ranges {RANGES}"))
 
 
-def _split(rows: DataFrame, table: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
-    """Rows whose key stands in the written table, and the others, so that only the former's texts are shuffled.
-
-    Keys are broadcast only up to ``BROADCAST_ROWS``; beyond, all rows come back and the join decides."""
-    keys = table.select(F.col(name).alias("_wanted"))
-    if keys.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return rows, None
-    on = F.col("key") == F.col("_wanted")
-    return rows.join(F.broadcast(keys), on, "left_semi"), rows.join(F.broadcast(keys), on, "left_anti")
-
-
 def repeated_ranges(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """(key, ranges): what to remove from the texts with this key; needs key (hash of the text) and text."""
 
@@ -262,13 +251,14 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD) -
             )
 
     # copies of a row give the same contexts; one of each is kept
-    some, _ = _split(rows, want, "want")
+    some = sieve(rows, rows["key"], want.select("want"))
     bytes_of = some.join(want, some["key"] == want["want"]).select("text", "ws")
     contexts = bytes_of.mapInArrow(cut, "h long, c long, places int, n_contexts long, context binary").dropDuplicates(["h", "c"])
     verdict = written(_verdicts(written(contexts, "bytes"), length, crowd).where("size(ranges) > 0").unionByName(alone), "verdicts")
     moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("lo")).alias("a"), (r["b"] + F.col("lo")).alias("b")))
     # copies of a row emit the same ranges; one of each is kept
-    hits = found.join(maybe_broadcast(verdict), ["h", "c"]).select("key", moved.alias("ranges")).distinct()
+    place_of = F.xxhash64("h", "c")
+    hits = sieve(found, place_of, verdict.select(place_of.alias("place"))).join(verdict, ["h", "c"]).select("key", moved.alias("ranges")).distinct()
     return hits.groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
@@ -310,8 +300,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    hit, clean = _split(rows, ranges, "of")
+    # only texts that hold repeats are shuffled, at any size
+    hit, clean = parted(rows, rows["key"], ranges.select("of"))
     joined = hit.join(ranges, hit["key"] == ranges["of"], "left").select("doc_id", "text", "ranges")
-    if clean is not None:
-        joined = joined.unionByName(clean.select("doc_id", "text", F.lit(None).cast(RANGES).alias("ranges")))
+    joined = joined.unionByName(clean.select("doc_id", "text", F.lit(None).cast(RANGES).alias("ranges")))
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
