@@ -27,7 +27,27 @@ from pyspark.sql import DataFrame
 from pseudoflow.llm.common import text_or_empty
 
 SPACE = "▁"
-CACHE_UNITS, CACHE_PAIRS, LONG_UNIT = 400_000, 400_000, 64
+CACHE, LONG_UNIT = 300_000, 64
+
+
+class Cache(dict):
+    """The younger generation is the dict itself; when it is full it becomes the older one, from which what is asked for again comes back."""
+
+    def __init__(self) -> None:
+        self.old: dict = {}
+
+    def again(self, key):
+        """What ``get`` didn't find, if the older generation has it."""
+        got = self.old.get(key)
+        if got is not None:
+            self.keep(key, got)
+        return got
+
+    def keep(self, key, value) -> None:
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
 
 
 class Codec:
@@ -48,8 +68,14 @@ class Codec:
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("a piece holds a space after another character")
         self.runs = max((len(p) for p in self.id if not p.strip(SPACE)), default=1)  # longest run of spaces
-        self.units: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        # characters side by side in a piece, and the lengths of the pieces that end in two characters (longest first)
+        self.bonds = {p[k : k + 2] for p in self.id for k in range(len(p) - 1) if p[k] in self.id and p[k + 1] in self.id}
+        ends: dict[str, set[int]] = {}
+        for p in self.id:
+            if len(p) > 1:
+                ends.setdefault(p[-2:], set()).add(len(p))
+        self.lengths = {e: (*sorted(n, reverse=True), 1) for e, n in ends.items()}
+        self.units, self.parts, self.pairs = Cache(), Cache(), Cache()
         self.whole: dict[int, bool] = {}
 
     def merged(self, s: str) -> list[str]:
@@ -66,12 +92,14 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def pair_stays(self, a: int, b: int) -> bool:
-        got = self.pairs.get((a, b))
+        key = a << 32 | b
+        got = self.pairs.get(key)
+        if got is None:
+            got = self.pairs.again(key)
         if got is None:
-            if len(self.pairs) > CACHE_PAIRS:
-                self.pairs.clear()
             p, q = self.piece[a], self.piece[b]
-            got = self.pairs[a, b] = self.merged(p + q) == [p, q]
+            got = self.merged(p + q) == [p, q]
+            self.pairs.keep(key, got)
         return got
 
     def stays(self, a: int) -> bool:
@@ -82,11 +110,11 @@ class Codec:
     def search(self, s: str) -> Iterator[int]:
         """Ids of a string whose characters all have pieces; holds a window of boundaries."""
         base, last = 0, [-1]  # last[k]: the piece that ends at boundary base + k
-        get = self.id.get
+        get, lengths, one = self.id.get, self.lengths.get, (1,)
         for i in range(1, len(s) + 1):
-            for n in range(min(self.longest, i), 0, -1):
-                piece = get(s[i - n : i])
-                if piece is None or i - n < base:
+            for n in lengths(s[i - 2 : i], one) if i > 1 else one:
+                piece = get(s[i - n : i]) if i - n >= base else None
+                if piece is None:
                     continue
                 before = last[i - n - base]
                 if self.pair_stays(before, piece) if before >= 0 else self.stays(piece):
@@ -114,20 +142,33 @@ class Codec:
             at -= len(self.piece[last[at]])
         return out[::-1]
 
-    def unit(self, s: str) -> bytes:
-        """A space and what follows up to the next one."""
-        got = self.units.get(s)
+    def part(self, s: str) -> bytes:
+        """Characters that are side by side in pieces, each with the next."""
+        got = self.parts.get(s)
+        if got is None:
+            got = self.parts.again(s)
         if got is None:
-            out, start = array("I"), 0
-            for k, c in enumerate(s):
-                if c not in self.id:  # nothing merges with it
-                    out.extend(self.search(s[start:k]) if k > start else ())
-                    out.extend(self.byte[b] for b in c.encode())
-                    start = k + 1
-            out.extend(self.search(s[start:]) if start < len(s) else ())
-            got = out.tobytes()
+            if len(s) == 1 and s not in self.id:  # nothing merges with it
+                got = array("I", [self.byte[b] for b in s.encode()]).tobytes()
+            else:
+                got = array("I", self.search(s)).tobytes()
             if len(s) <= LONG_UNIT:
-                self.units[s] = got
+                self.parts.keep(s, got)
+        return got
+
+    def unit(self, word: str) -> bytes:
+        """A space and what follows up to the next one."""
+        got = self.units.again(word)
+        if got is None:
+            s, start, out, bonds = SPACE + word, 0, [], self.bonds
+            for k in range(1, len(s)):
+                if s[k - 1 : k + 1] not in bonds:
+                    out.append(self.part(s[start:k]))
+                    start = k
+            out.append(self.part(s[start:]))
+            got = b"".join(out)
+            if len(word) <= LONG_UNIT:
+                self.units.keep(word, got)
         return got
 
     def spaces(self, n: int) -> bytes:
@@ -140,18 +181,16 @@ class Codec:
         """Ids as native unsigned 32-bit integers."""
         if not text:
             return b""
-        if len(self.units) > CACHE_UNITS:
-            self.units.clear()
         words = text.replace(SPACE, " ").split(" ")
-        unit = self.unit
+        found = list(map(self.units.get, words))
         if "" not in words:
-            return b"".join([unit(SPACE + w) for w in words])
+            return b"".join([self.unit(w) if ids is None else ids for w, ids in zip(words, found)])
         out, run, alone = [], 0, array("I", [self.id[SPACE]]).tobytes()
-        for w in words:
+        for w, ids in zip(words, found):
             if not w:
                 run += 1
                 continue
-            ids = unit(SPACE + w)
+            ids = self.unit(w) if ids is None else ids
             if run and ids[:4] == alone:
                 run, ids = run + 1, ids[4:]
             if run:
