@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pseudoflow.llm.common import lower_ascii, maybe_broadcast, scratch, text_or_empty, written
+from pseudoflow.llm.common import fresh, lower_ascii, parted, scratch, sieve, text_or_empty, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: State stays on disk, commits write change logs, and small stores reserve no disk ahead.
@@ -96,10 +96,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     state = written(stream_state(stream, scratch(spark, "dedup-state")), "dedup-groups")
     hits = state.where("group_size > 1").select("digest")
 
-    # hits: compare the full bytes of every row whose digest was seen more than once
-    hit_ids = written(prints.join(maybe_broadcast(hits), "digest", "left_semi").select("doc_id").distinct(), "dedup-hits")
+    # hits: compare the full bytes of every row whose digest was seen more than once; a sieve on the ids lets some
+    # others pass, whose digest is of one text in any case
+    hit_ids = written(prints.join(hits, "digest", "left_semi").select(F.xxhash64("doc_id").alias("hit")).distinct(), "dedup-hits")
     found = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
-    found = found.join(maybe_broadcast(hit_ids), found["doc_id"].eqNullSafe(hit_ids["doc_id"]), "left_semi")
+    found = sieve(found, F.xxhash64(found["doc_id"]), hit_ids)
     found = found.select("doc_id", lower_ascii(F.col("text")).alias("norm")).withColumn("digest", digest(F.col("norm")))
     texts = found.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"))  # partial: a text once a task
     collided = written(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "dedup-collided")
@@ -108,7 +109,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     plain = prints.join(state, "digest").withColumn("kept", F.col("row_no") == F.col("keep_row")).withColumn("keep_locator", state["locator"])
     if not collided.isEmpty():
         plain = plain.join(collided, "digest", "left_anti")
-        rows = written(found.join(maybe_broadcast(collided), "digest", "left_semi").withColumn("row_no", F.monotonically_increasing_id()), "dedup-split")
+        rows = written(found.join(collided, "digest", "left_semi").withColumn("row_no", F.monotonically_increasing_id()), "dedup-split")
         by_text = rows.groupBy("norm").agg(F.max(F.struct("doc_id", "row_no")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
         nowhere = F.struct(F.lit("").alias("file"), F.octet_length("norm").cast("long").alias("n_bytes"))
         split = rows.join(by_text, "norm").select(
@@ -129,15 +130,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # rows with a text of their own need no decision; the others are few, and only these are joined
     lost = copies.groupBy("doc_id", "sha").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1")
     lost = written(lost, "dedup-lost")
-    key = [f"_dedup_{x}" for x in ("id", "sha", "kept", "n")]
-    lost = lost.toDF(key[0], key[1], key[2], key[3])
+    sha, *key = fresh(docs, "sha", "lost_id", "lost_sha", "lost_kept", "lost_n")
+    mine = docs.withColumn(sha, sha256_hex(lower_ascii(text_or_empty(docs, text_col))))
+    own = F.xxhash64(mine[f"`{id_col}`"].cast("long"), mine[sha])
+    held, rest = parted(mine, own, lost.select(F.xxhash64("doc_id", "sha").alias("lost")))
+    lost = lost.toDF(*key)
+    on = held[f"`{id_col}`"].cast("long").eqNullSafe(lost[key[0]]) & (held[sha] == lost[key[1]])
+    joined = held.join(lost, on, "left")
     names = docs.columns
-    mine = docs.withColumn("_dedup_sha256", sha256_hex(lower_ascii(text_or_empty(docs, text_col))))
-    on = mine[id_col].cast("long").eqNullSafe(lost[key[0]]) & (mine["_dedup_sha256"] == lost[key[1]])
-    joined = mine.join(maybe_broadcast(lost), on, "left")
     single = joined.where(F.col(key[0]).isNull() & F.col(key[1]).isNull()).select(*[joined[f"`{x}`"] for x in names])
     again = joined.where(F.col(key[2])).dropDuplicates([key[0], key[1]]).select(*[joined[f"`{x}`"] for x in names])
-    return single.unionByName(again)
+    return rest.select(*[rest[f"`{x}`"] for x in names]).unionByName(single).unionByName(again)
 
 
 SQL = r"""
