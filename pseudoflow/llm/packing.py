@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import struct
 import zlib
 from typing import Iterable, Iterator
@@ -27,13 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pseudoflow.llm.common import text_or_empty, written
+from pseudoflow.llm.common import frugal, text_or_empty, written
 
 CAPACITY = 4096
 END_ID = 1
 SALTS = 64
 #: Words kept with their ids in a worker, and the text that is tokenized at once.
-CACHE_WORDS, CHUNK_CHARS, LONG_WORD = 600_000, 1_000_000, 64
+CACHE_WORDS, CHUNK_CHARS, LONG_WORD = 400_000, 1_000_000, 64
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -41,10 +40,14 @@ PIECES = T.StructType([
 ])
 
 
-#: A word that ends in ASCII punctuation after a letter or digit: no token crosses that place.  An apostrophe
+#: ASCII punctuation at the end of a word, after a letter or digit: no token crosses that place.  An apostrophe
 #: may start a contraction, a bar stands in the special tokens, and U+0130 ends in a mark once in lower case:
 #: nothing is split off there.
-TAIL = re.compile(r"(.*[^\W_\u0130])([!-&(-/:-@\[-`{}~]+)", re.DOTALL)
+TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'|")
+
+
+#: Characters that may stand between words that are tokenized together, if the vocabulary has them as words.
+MARKS = "^~#%$"
 
 
 class WordTokenizer:
@@ -59,42 +62,83 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        # words and their parts; a full cache becomes the older one, from which what is met again comes back
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        # a character that is a word and a token by itself: it stands between words that are tokenized together
+        ids = {c: self._ids(c) for c in MARKS}
+        self.mark = next((c for c, x in ids.items() if len(x) == 1 and self._ids(f"a {c} b") == self._ids("a") + x + self._ids("b")
+                          and self.tok.id_to_token(x[0]) in (c, f"{c}</w>")), None)
+        self.mark_id = ids[self.mark][0] if self.mark else None
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    def _tokenize(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of parts of words, many of them in one string; those that hold the mark go alone."""
+        out: dict[bytes, bytes] = {}
+        alone = parts if self.mark is None else [p for p in parts if self.mark.encode() in p]
+        many = [] if self.mark is None else [p for p in parts if self.mark.encode() not in p]
+        groups = [many[i : i + 1000] for i in range(0, len(many), 1000)]
+        between = f" {self.mark} ".encode()
+        for some, e in zip(groups, self.tok.encode_batch_fast([between.join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(ids == self.mark_id)
+            packed, cuts = ids.tobytes(), (4 * at).tolist()
+            out.update(zip(some, [packed[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(packed)])]))
+        for p, e in zip(alone, self.tok.encode_batch_fast([p.decode() for p in alone], add_special_tokens=False)):
+            out[p] = struct.pack(f"<{len(e)}I", *e.ids)
+        return out
 
     def _learn(self, new: Iterable[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that are not in the cache, from those of their parts."""
-        known, split, ask = self.parts, [], set()
+        """Ids of words that are not in the younger cache: a word is one itself or has known parts, or its parts are tokenized."""
+        known, old, tail_of = self.known, self.old, TAIL
+        out: dict[bytes, bytes] = {}
+        split, ask = [], set()
         for w in new:
-            head, tail = (w if b"|" in w else w.lower()).decode(), ""
-            if not head[-1].isalnum() and len(head) <= LONG_WORD and b"|" not in w and (m := TAIL.fullmatch(head)):
-                head, tail = m.groups()
+            if w in old:
+                out[w] = old[w]
+                continue
+            low = w if b"|" in w else w.lower()
+            head = low if b"|" in w else low.rstrip(tail_of)
+            n = len(head)
+            if n == len(low) or not n or n > LONG_WORD:
+                head, tail = low, b""
+            else:
+                last = head[-1:] if head[-1] < 128 else head.decode()[-1]
+                head, tail = (head, low[n:]) if last.isalnum() and last != "\u0130" else (low, b"")
+            if not tail and head == w:
+                ask.add(w)
+                continue
+            first = known.get(head) or old.get(head)
+            second = (known.get(tail) or old.get(tail)) if tail else b""
+            if first is not None and second is not None:
+                out[w] = first + second
+                continue
             split.append((w, head, tail))
-            if head not in known:
+            if first is None:
                 ask.add(head)
-            if tail not in known:
+            if second is None:
                 ask.add(tail)
-        asked = list(ask)
-        for i in range(0, len(asked), 10_000):
-            some = asked[i : i + 10_000]
-            for p, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
-                known[p] = struct.pack(f"<{len(e)}I", *e.ids)
-        out = {w: known[head] + known[tail] for w, head, tail in split}
-        for p in asked:
-            if len(p) > LONG_WORD:  # not kept
-                del known[p]
+        got = self._tokenize(list(ask))
+        got[b""] = b""
+        for w, head, tail in split:
+            out[w] = b"".join([got[p] if p in got else known.get(p) or old[p] for p in (head, tail)])
+        out.update(got)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        for cache in (self.words, self.parts):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-        self.parts[""] = b""
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.old = {}, self.known
         words = [t.encode().split() for t in texts]
-        found = [list(map(self.words.get, ws)) for ws in words]
-        learnt = self._learn({w for ws, ids in zip(words, found) for w, x in zip(ws, ids) if x is None})
-        self.words.update((w, ids) for w, ids in learnt.items() if len(w) <= LONG_WORD)
-        return [b"".join([learnt[w] if x is None else x for w, x in zip(ws, ids)]) for ws, ids in zip(words, found)]
+        found = [list(map(self.known.get, ws)) for ws in words]
+        new: set[bytes] = set()
+        for ws, ids in zip(words, found):
+            if None in ids:
+                new.update([w for w, x in zip(ws, ids) if x is None])
+        learnt = self._learn(new)
+        self.known.update([x for x in learnt.items() if len(x[0]) <= LONG_WORD])
+        return [b"".join([learnt[w] if x is None else x for w, x in zip(ws, ids)]) if None in ids else b"".join(ids) for ws, ids in zip(words, found)]
 
 
 @functools.lru_cache(maxsize=1)
@@ -138,7 +182,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
                 names=PIECES.names,
             )
 
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(frugal(run), PIECES)
 
 
 def best_configuration(sizes: np.ndarray, gains: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

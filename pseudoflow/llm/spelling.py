@@ -132,9 +132,15 @@ def decompose(word: str, frequent: set[str]) -> tuple[dict[str, list[int]], int]
 
 
 def merged_lists(words: DataFrame, frequent: set[str], filled: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """run, word: the places of the bound + 1 rarest grams of each word, by the run that holds the gram and all beyond it."""
+    """run (its hash), word: the places of the bound + 1 rarest grams of each word, by the run that holds the gram and all beyond it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        def lists(runs: list[str], own: list[str]) -> pa.RecordBatch:
+            hashes = np.fromiter((xxh64_intdigest(r.encode()) for r in runs), np.uint64, len(runs))
+            return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(own, pa.string())], names=["run", "word"])
+
         table = np.zeros(1 << (LEVEL_BITS - 4), np.uint64)
         table[filled[0]] = filled[1]
         levels: dict[str, int] = {}
@@ -158,11 +164,11 @@ def merged_lists(words: DataFrame, frequent: set[str], filled: tuple[np.ndarray,
                 runs += found
                 own += [word] * len(found)
                 if len(runs) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(runs, pa.string()), pa.array(own, pa.string())], names=["run", "word"])
+                    yield lists(runs, own)
                     runs, own = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(runs, pa.string()), pa.array(own, pa.string())], names=["run", "word"])
+            yield lists(runs, own)
 
-    return words.select("word").mapInArrow(run, "run string, word string")
+    return words.select("word").mapInArrow(run, "run long, word string")
 
 
 def near_pairs(words: DataFrame, list_max: int = 64) -> DataFrame:
