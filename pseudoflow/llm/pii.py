@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pseudoflow.llm.common import text_or_empty
+from pseudoflow.llm.common import frugal, text_or_empty
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "ssn", "card_short", "phone_local")
@@ -231,7 +231,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 names=RESULT.names,
             )
 
-    return rows.mapInArrow(run, RESULT)
+    return rows.mapInArrow(frugal(run), RESULT)
 
 
 def masked(text: str) -> str:
@@ -259,4 +259,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

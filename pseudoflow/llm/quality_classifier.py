@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pseudoflow.llm import labelled
-from pseudoflow.llm.common import fresh, text_or_empty, written
+from pseudoflow.llm.common import fresh, frugal, text_or_empty, written
 
 BITS = 18
 SIZE = 1 << BITS
@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
             x = [of(t.as_py()).astype("<i4").tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], names=["doc_id", "y", "x"])
 
-    found = written(rows.mapInArrow(features, "doc_id long, y int, x binary"), "features")
+    found = written(rows.mapInArrow(frugal(features), "doc_id long, y int, x binary"), "features")
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, y, x = [], [], []
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     # one task: at most 2 * per_class rows of at most 2**18 indices
-    return pickle.loads(found.repartition(1).mapInArrow(fitted, "model binary").first()["model"])
+    return pickle.loads(found.repartition(1).mapInArrow(frugal(fitted), "model binary").first()["model"])
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
@@ -175,7 +175,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str, name: str) -> Data
                 [*batch.columns, pa.array(labelled.score(margin, m.a, m.b), pa.float64())], names=[*batch.schema.names, name]
             )
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, id_col: str = "doc_id",

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pseudoflow.llm.common import fresh, maybe_broadcast, text_or_empty, written
+from pseudoflow.llm.common import fresh, frugal, parted, text_or_empty, written
 
 SEED = 42
 HALVES = 0x5555555555555555
@@ -66,7 +66,7 @@ def with_fingerprints(docs: DataFrame, text_col: str, name: str, shingle: int =
             prints = [_signed(fingerprint(x.as_py() or "", shingle)) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.int64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def _embedded(fp: Column) -> Column:
@@ -175,7 +175,7 @@ def cell_links(prints: DataFrame, bits: int = 2, dense: int = DENSE, cell_max: i
             if len(last):
                 yield emit([last])
 
-    found = written(dealt.mapInArrow(run, LINKS), "links")
+    found = written(dealt.mapInArrow(frugal(run), LINKS), "links")
     near = found.where("b is not null").distinct()
     wide = found.where("b is null").select(F.col("a").alias("fp")).distinct()
     if bits == 0:  # distinct fingerprints are never that near
@@ -223,23 +223,25 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
     prints = written(with_fingerprints(rows, "text", "fp", shingle).select("doc_id", "fp"), "prints")
-    classes = maybe_broadcast(_classes(prints, bits))
+    classes = _classes(prints, bits)
     out = prints.join(classes, prints["fp"] == classes["class_fp"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component: that with the smallest id."""
-    fp, n_same = fresh(docs, "fp", "n_same")
+    fp, *key = fresh(docs, "fp", "odd_id", "odd_fp", "odd_root", "odd_kept")
     mine = written(with_fingerprints(docs, text_col, fp, shingle), "printed")
-    prints = mine.select(mine[id_col].cast("long").alias("doc_id"), mine[fp].alias("fp"))
+    prints = mine.select(mine[f"`{id_col}`"].cast("long").alias("doc_id"), mine[fp].alias("fp"))
     classes = _classes(prints, bits)
-    narrow = maybe_broadcast(classes)
-    least = prints.join(narrow, prints["fp"] == narrow["class_fp"]).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # nearly always one row; if rows share the id, any one of them stays
-    least = written(least.groupBy("root").agg(F.count(F.lit(1)).alias(n_same)), "least")
-    keys = classes.join(least, "root").toDF(*[f"_c_{x}" for x in ("root", "fp", "id", "n")])
-    keys = maybe_broadcast(written(keys, "kept"))
-    rows = mine.join(keys, (mine[fp] == keys["_c_fp"]) & mine[id_col].cast("long").eqNullSafe(keys["_c_id"]))
-    plain = [rows[f"`{x}`"] for x in docs.columns]
-    return rows.where("_c_n = 1").select(*plain).unionByName(rows.where("_c_n > 1").dropDuplicates(["_c_root"]).select(*plain))
+    named = prints.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n")).join(classes, F.col("fp") == F.col("class_fp"))
+    named = written(named.select("doc_id", "fp", "n", "root", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "named")
+    ties = named.where("kept").groupBy("root").agg(F.sum("n").alias("n")).where("n > 1").select("root", F.lit(True).alias("tied"))
+    # nearly all rows stay and need no join; the others, and rows that share the id that stays (any one does), are few
+    odd = written(named.join(ties, "root", "left").where("not kept or tied").select("doc_id", "fp", "root", "kept"), "odd")
+    held, rest = parted(mine, F.xxhash64(mine[f"`{id_col}`"].cast("long"), mine[fp]), odd.select(F.xxhash64("doc_id", "fp").alias("odd")))
+    odd = odd.toDF(*key)
+    joined = held.join(odd, held[f"`{id_col}`"].cast("long").eqNullSafe(odd[key[0]]) & (held[fp] == odd[key[1]]), "left")
+    plain = [joined[f"`{x}`"] for x in docs.columns]
+    one = joined.where(F.col(key[3])).dropDuplicates([key[2]]).select(*plain)
+    return rest.select(*[rest[f"`{x}`"] for x in docs.columns]).unionByName(joined.where(F.col(key[2]).isNull()).select(*plain)).unionByName(one)

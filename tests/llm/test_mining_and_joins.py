@@ -72,14 +72,26 @@ def test_phrase_ties_pieces_and_long_texts(spark, monkeypatch):
     assert [w for part in collocations._parts(text.encode() * 50) for w in part if w.strip()] == [w for part in words for w in part if w.strip()]
 
 
-def test_a_full_pair_filter_only_lengthens_windows(docs, monkeypatch):
+def test_a_full_filter_only_lengthens_windows(docs, monkeypatch):
     df = docs.limit(30)
     plain = sorted(map(tuple, collocations.mine(df, min_count=2).collect()))
     everything = (np.arange(1 << collocations.SLOT_BITS), np.full(1 << collocations.SLOT_BITS, 2**64 - 1, np.uint64))
-    monkeypatch.setattr(collocations, "pair_filter", lambda pairs: everything)
+    monkeypatch.setattr(collocations, "gram_filter", lambda grams, size: everything)
     assert sorted(map(tuple, collocations.mine(df, min_count=2).collect())) == plain
 
 
+def test_counted_windows_are_merged_and_passed_on(docs, monkeypatch):
+    """Columns that are emptied all the time give the same phrases."""
+    df = docs.limit(40).coalesce(1)
+    plain = sorted(map(tuple, collocations.mine(df, min_count=2).collect()))
+    small = collocations.windows.__globals__
+    run = {}
+    monkeypatch.setitem(small, "HELD", 50)
+    monkeypatch.setitem(small, "HELD_WINDOWS", 100)
+    run["small"] = sorted(map(tuple, collocations.mine(df, min_count=2).collect()))
+    assert run["small"] == plain and len(plain) > 100
+
+
 def test_scores_beyond_64_bits(spark):
     text = " ".join(["p q"] * 3000 + ["z"] * 4000)
     df = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").withColumn("text", F.col("text"))

@@ -137,7 +137,10 @@ def test_packing(request, which):
     found = packing.pack(df, with_ids=True).collect()
     assert sorted([tuple(r[:5]) for r in found], key=key) == sorted(expected, key=key)
     assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in found)
-    assert {(r.sequence_id, r.offset, r.length) for r in found} == {tuple(r)[5:7] + (r.length,) for r in packing.pack(df).collect()} or which != "docs"
+    # the plan goes by the histogram of lengths alone, so places don't depend on ids being asked for
+    # (full pieces are sequences of their own, numbered by their rows)
+    places = [sorted((r.sequence_id if r.length < 4096 else -1, r.offset, r.length) for r in rows) for rows in (found, packing.pack(df).collect())]
+    assert places[0] == places[1]
     sequences = {}
     for r in found:
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))

@@ -56,8 +56,7 @@ def test_pii_base_on_hard_texts():
 def test_pii_scores_and_masks():
     text = "IBAN DE89 3704 0044 0532 0130 00, ssn 123-45-6789, 123-45-6789 alone, mail é a@b.co call 555-123-4567"
     _, added = pii.spans(text)
-    assert [text[a:b] for v in added.values() for a, b in v] == ["DE89 3704 0044 0532 0130 00", "123-45-6789", "555-123-4567"] or added
-    assert len(added["ssn"]) == 2 or len(added["ssn"]) == 1
+    assert [text[a:b] for v in added.values() for a, b in v] == ["DE89 3704 0044 0532 0130 00", "123-45-6789", "123-45-6789", "555-123-4567"]
     assert "DE89" not in pii.masked(text) and "a@b.co" not in pii.masked(text) and "<IBAN>" in pii.masked(text)
     assert not pii.mod97("DE89370400440532013001") and pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
@@ -365,3 +364,25 @@ def test_pipeline(spark):
     left = {r.doc_id for r in docs.collect()}
     assert {r.doc_id for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").select("doc_id").collect()} == left
     assert not any(r.n_email + r.n_ip + r.n_card + r.n_phone for r in pii.find(docs).collect())
+
+
+@pytest.mark.parametrize("which", ["odd", "clash", "empty"])
+def test_stages_take_odd_rows(request, spark, odd, which):
+    """Nulls, empty and very long texts, repeated rows, one id twice, extra columns, no rows: a stage keeps the columns and loses
+    only what it is there to remove."""
+    import corpus_pipeline
+
+    df = odd.limit(0) if which == "empty" else request.getfixturevalue(which)
+    total = df.count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, "/root/testdata/sf0.001")
+        n = out.count()
+        if name != "best_fit_packing":
+            assert out.columns == df.columns and n <= total
+        texts = {(t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for (t,) in df.select("text").collect()}
+        if name == "exact_dedup":
+            assert n == len(texts)
+        if name == "pii":
+            assert n == total
+        if name == "best_fit_packing":
+            assert out.select("doc_id").distinct().count() == df.select("doc_id").distinct().count()
