@@ -66,7 +66,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - e.g. a remote (Connect) session: the server owns the setting
-        return spark.conf.get("spark.checkpoint.dir", None) or ""
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the server and all executors share") from None
+        return found
     current = sc.getCheckpointDir()
     if current:
         return current
