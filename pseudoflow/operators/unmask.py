@@ -33,6 +33,13 @@ def restore_expr(text, vals):
     return let({"p": F.split(text, TOKEN_PATTERN, -1)}, body)
 
 
+def token_values(mapping: DataFrame) -> DataFrame:
+    """session_id, token, value: the mapping once; a token of a session with two values is refused."""
+    twice = F.raise_error(F.concat(F.lit("the mapping has two values for "), F.any_value("token"), F.lit(" of one session")))
+    return mapping.groupBy("session_id", "token").agg(
+        F.when(F.min("value").eqNullSafe(F.max("value")), F.min("value")).otherwise(twice).alias("value"))
+
+
 def unmask(df: DataFrame, mapping: DataFrame, text_col: str = "masked_text", key_col: str = "doc_id",
            session_col: str = "session_id", out_col: str = "restored_text") -> DataFrame:
     """Replace every known ``[TAG:N]`` of the row's session; unknown tokens stay.
@@ -50,9 +57,7 @@ def unmask(df: DataFrame, mapping: DataFrame, text_col: str = "masked_text", key
     tokens = F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_PATTERN), F.lit(0))
     # a token of an answer leaves the row once, with its places; equal answers fall together in the aggregate
     toks = with_tok.select("_answer", session.alias("session_id"), F.inline(places_of(tokens))).withColumnRenamed("value", "token")
-    twice = F.raise_error(F.concat(F.lit("the mapping has two values for "), F.any_value("token"), F.lit(" of one session")))
-    values = mapping.groupBy("session_id", "token").agg(
-        F.when(F.min("value").eqNullSafe(F.max("value")), F.min("value")).otherwise(twice).alias("value"))
+    values = token_values(mapping)
     found = F.collect_set(F.struct("places", F.coalesce("value", "token").alias("v")))
     placed = F.flatten(F.transform(found, lambda x: F.transform(x["places"], lambda i: F.struct(i.alias("pos"), x["v"].alias("v")))))
     vals = toks.join(values, ["session_id", "token"], "left").groupBy(F.col("_answer").alias("_k")) \

@@ -8,8 +8,8 @@
   giant session is numbered by many tasks, never held whole by one.  A batch reads only the buckets of its
   sessions, and every batch writes its own folders with overwrite and commits them last, so a batch replayed
   after a failure rewrites the same rows (idempotent).
-* ST3 ``SessionUnmaskSink``: restore each micro-batch against the mapping store.  ``restore_stream`` does so in the
-  row, in append mode, without ``foreachBatch``.
+* ST3 ``SessionUnmaskSink``: restore each micro-batch against the mapping store.  ``restore_stream`` does so
+  in append mode, without ``foreachBatch``.
 * ST4 session expiry: a session without rows for more than ``ttl_batches`` batches starts a new
   generation, whose numbers restart at 1 under a session id of its own (``GENERATION`` and a number are
   added), so texts masked before the expiry never get the values of later ones.  Off by default.
@@ -20,10 +20,14 @@ with a new checkpoint that would count its batches from 0 again, is refused befo
 
 from __future__ import annotations
 
+import re
 from typing import Optional, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pseudoflow.functions.regex import TOKEN_PATTERN
 from pseudoflow.functions.rules import Rule
@@ -49,8 +53,13 @@ def detect_stream(stream: DataFrame, rules: Sequence[Rule], text_col: str = "tex
 
 #: Stands between a session id and the number of its generation, from the second one on.
 GENERATION = "\u001f"
-#: Values of one session that ``restore_stream`` joins to each of its rows.
+#: Most values of a session in ``session_values``.
 MOST_VALUES = 100_000
+#: Shares of a micro-batch that ``restore_stream`` brings together one at a time.
+RESTORE_GROUPS = 1 << 12
+#: Begins what stands for the row itself among its tokens.
+NO_TOKEN = "\u0000"
+TOKEN = re.compile(TOKEN_PATTERN, re.ASCII)
 
 
 def _claim(spark: SparkSession, mapping_path: str) -> None:
@@ -157,23 +166,40 @@ def restore_stream(stream: DataFrame, mapping: DataFrame, sessions: DataFrame, t
                    session_col: str = "session_id") -> DataFrame:
     """ST3 without ``foreachBatch``: append mode, stateless; ``text`` and ``is_error`` as in ``unmask_checked``.
 
-    The token map of a session is joined to its rows (stream-static) and applied in the row, so it suits sessions of bounded
-    size (``session_values``); the sink has no such bound.  A query sees the committed mapping of its start; run it
-    again from the same checkpoint to take in later batches.
+    A row sends out its distinct tokens, which meet the mapping in a (stream-static) equi-join on session and token, and comes
+    together with their values again by a hash of the row, so a session may have any number of values; a group holds one of
+    ``RESTORE_GROUPS`` shares of a micro-batch.  A query sees the committed mapping of its start; run it again from the same
+    checkpoint to take in later batches.
     """
-    known = sessions.select(F.col("session_id").cast("string").alias("_sid")).distinct() \
-        .join(session_values(mapping).withColumnRenamed("session_id", "_sid"), "_sid", "left")
-    joined = stream.join(known.withColumn("_known", F.lit(True)), F.col(session_col).cast("string") == F.col("_sid"), "left")
-    tokens = F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_PATTERN), F.lit(0))
-    # only the entries whose token stands in the text make the look-up table
-    found = F.filter(F.coalesce(F.col("values"), F.array().cast("array<struct<token:string,value:string>>")), lambda e: F.array_contains(F.col("_tokens"), e["token"]))
-    work = joined.withColumn("_tokens", F.when(F.col("_known"), tokens)).withColumn("_map", F.map_from_entries(F.array_distinct(found)))
-    vals = F.transform("_tokens", lambda t: F.coalesce(F.element_at(F.col("_map"), t), t))
-    message = F.format_string(U.SESSION_NOT_FOUND.format(sid="%s"), F.col(session_col).cast("string"))
-    restored = F.when(F.size("_tokens") > 0, U.restore_expr(F.col(text_col), vals)).otherwise(F.col(text_col))
-    out = work.withColumn("_restored", F.when(F.coalesce("_known", F.lit(False)), restored).otherwise(message))
-    out = out.withColumn("is_error", ~F.coalesce("_known", F.lit(False))).drop("_sid", "_known", "values", "_tokens", "_map")
-    return out.drop("text").withColumnRenamed("_restored", "text")
+    cols = stream.columns
+    sid, text = F.col(session_col).cast("string"), F.col(text_col).cast("string")
+    known = sessions.select(F.col("session_id").cast("string").alias("_sid")).distinct().withColumn("_known", F.lit(True))
+    rows = stream.join(known, sid == F.col("_sid"), "left")
+    tokens = F.coalesce(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))), F.array().cast("array<string>"))
+    group = F.pmod(F.xxhash64(F.to_json(F.struct(*cols))), F.lit(RESTORE_GROUPS))
+    rows = rows.select(*cols, F.coalesce("_known", F.lit(False)).alias("_known"), sid.alias("_s"), text.alias("_text"), group.alias("_g"),
+                       F.when(F.col("_known"), tokens).otherwise(F.array().cast("array<string>")).alias("_tokens"))
+    held = [*cols, "_known", "_text"]
+    # the row itself goes along with a token that no mapping has, another one for each group
+    whole = F.struct(F.concat(F.lit(NO_TOKEN), F.col("_g").cast("string")).alias("_token"), *held)
+    part = lambda t: F.struct(t.alias("_token"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in held])
+    parts = rows.select("_s", "_g", F.inline(F.concat(F.array(whole), F.transform("_tokens", part))))
+    values = U.token_values(mapping).select(F.col("session_id").alias("_vs"), F.col("token").alias("_vt"), F.col("value").alias("_value"))
+    met = parts.join(values, (F.col("_s") == F.col("_vs")) & (F.col("_token") == F.col("_vt")), "left").select("_g", "_s", "_token", "_value", *held)
+    schema = StructType([*[StructField(f.name, f.dataType) for f in met.schema.fields if f.name in {*cols, "_known"}], StructField("_restored", StringType())])
+
+    def restored(group: pa.Table) -> pa.Table:
+        own = pc.starts_with(group["_token"], NO_TOKEN)
+        found = group.filter(pc.and_(pc.invert(own), pc.is_valid(group["_value"])))
+        value = dict(zip(zip(found["_s"].to_pylist(), found["_token"].to_pylist()), found["_value"].to_pylist()))
+        group = group.filter(own)
+        texts = [t and TOKEN.sub(lambda m: value.get((s, m[0]), m[0]), t) for s, t in zip(group["_s"].to_pylist(), group["_text"].to_pylist())]
+        return group.select([f.name for f in schema.fields[:-1]]).append_column("_restored", pa.array(texts, pa.string()))
+
+    out = met.groupBy("_g").applyInArrow(restored, schema)
+    message = F.format_string(U.SESSION_NOT_FOUND.format(sid="%s"), sid)
+    shown = F.when(F.col("_known"), F.col("_restored")).otherwise(message)
+    return out.select(*[c for c in cols if c != "text"], shown.alias("text"), (~F.col("_known")).alias("is_error"))
 
 
 def run_available(stream: DataFrame, sink, checkpoint: str) -> None:

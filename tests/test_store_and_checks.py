@@ -121,3 +121,16 @@ def test_restore_in_append_mode_and_its_bound(spark):
     from pseudoflow.streaming import session_values
     with pytest.raises(Exception, match="more values"):
         session_values(res.mapping, most=3).collect()
+
+
+def test_restore_stream_of_a_session_with_more_values_than_a_row_should_hold(spark):
+    """Values meet rows by their tokens; the session's 100,001 values are never held by a row."""
+    mapping = spark.range(1, 100_002).select(F.lit("s").alias("session_id"), F.concat(F.lit("[EMAIL:"), F.col("id").cast("string"), F.lit("]")).alias("token"),
+                                             F.concat(F.lit("v"), F.col("id").cast("string")).alias("value"))
+    rows = spark.createDataFrame([(1, "s", "[EMAIL:100001] and [EMAIL:1] [EMAIL:1]", {"a": 1}), (1, "s", "[EMAIL:100001] and [EMAIL:1] [EMAIL:1]", {"a": 1}),
+                                  (None, "s", "", None), (2, "t", "[EMAIL:1]", None), (3, "s", "[EMAIL:100002] [EMAIL:\u0663]", None)], "doc_id int, session_id string, masked_text string, m map<string,int>")
+    got = restore_stream(rows, mapping, spark.createDataFrame([("s",)], "session_id string"))
+    assert got.columns == ["doc_id", "session_id", "masked_text", "m", "text", "is_error"]
+    again = "v100001 and v1 v1"
+    assert sorted(((r.doc_id or 0, r.text, r.is_error) for r in got.collect())) == [
+        (0, "", False), (1, again, False), (1, again, False), (2, U.SESSION_NOT_FOUND.format(sid="t"), True), (3, "[EMAIL:100002] [EMAIL:\u0663]", False)]
