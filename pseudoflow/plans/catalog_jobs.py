@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pseudoflow.functions.hof import let
 from pseudoflow.functions.rules import Rule, rules_for_locale
 from pseudoflow.operators import detect as D
 from pseudoflow.operators import mask as M
@@ -145,7 +146,9 @@ def custom_literals_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = read_table(spark, sf_dir, "benchmark").select(F.explode(F.expr("regexp_extract_all(lower(text), '[a-z]{9,}', 0)")).alias("value"))
     docs = with_row_literals(read_table(spark, sf_dir, "documents").select("doc_id", "text"), words)
     folded = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    found = docs.withColumn("_t", folded).select("doc_id", F.array_sort(F.filter("_literals", lambda w: F.instr(F.col("_t"), w) > 0)).alias("found"))
+    # bound once: an expression read inside a lambda is evaluated again for every element
+    inside = let({"t": folded, "l": F.col("_literals")}, lambda v: F.filter(v["l"], lambda w: F.contains(v["t"], w)))
+    found = docs.select("doc_id", F.array_sort(inside).alias("found"))
     return found.where(F.size("found") > 0)
 
 
