@@ -1,7 +1,7 @@
 """Literal and gazetteer tables: which of very many values can occur in a row.
 
-The values are a table, never part of the plan.  Each is known by one anchor: of its n-grams (``GRAM`` characters, or
-the whole value if it is shorter) the one in the fewest documents.  One pass over the texts counts the documents
+The values are a table, never part of the plan.  Each is known by one anchor: of its n-grams (of the largest of ``LENGTHS``
+that it reaches, so that few texts share the anchor of a long value) the one in the fewest documents.  One pass over the texts counts the documents
 of all the values' grams, a second one notes the anchors of each row; both look grams up in a bit filter of a fixed
 size, whose false hits cost time only.  Rows with anchors meet the values in an equi-join; the exact check
 follows (the masking fold, or ``instr``).  Nothing grows with documents x values, and rows without anchors don't move.
@@ -23,9 +23,12 @@ from pyspark.sql import types as T
 
 from pseudoflow.session import materialize
 
-GRAM = 5
+#: Gram lengths, in characters; a value uses the largest that isn't longer than itself.
+LENGTHS = (1, 2, 3, 4, 5, 8, 16)
 #: The gram filter has 2 ** SLOT_BITS words of 64 bits (16 MB), whatever the number of values.
 SLOT_BITS = 21
+#: Characters of texts that are hashed at once.
+HELD = 1 << 17
 _P = 0x9E3779B97F4A7C15
 
 
@@ -45,19 +48,64 @@ def _fold_table(fold: bool) -> np.ndarray:
     return out
 
 
-def _grams(text: str, length: int, fold: bool) -> np.ndarray:
-    """A hash of each window of ``length`` characters."""
-    codes = _fold_table(fold)[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    n = len(codes) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.full(n, length, np.uint64)
-    for k in range(length):
-        h = (h ^ codes[k : k + n]) * np.uint64(_P)
-        h ^= h >> np.uint64(29)
+def _gram_length(n: int) -> int:
+    return max(k for k in LENGTHS if k <= n)
+
+
+def _codes(text: str, fold: bool) -> np.ndarray:
+    return _fold_table(fold)[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h *= np.uint64(_P)
+    h ^= h >> np.uint64(29)
     return h
 
 
+def _windows(codes: np.ndarray, lengths: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length a hash of each window of so many characters: that of two shorter windows that cover it, put together."""
+    powers = {1: _mixed(codes ^ np.uint64(1))}
+    for length in lengths:
+        if len(codes) < length:
+            yield length, np.zeros(0, np.uint64)
+            continue
+        k = 1
+        while 2 * k <= length:
+            if 2 * k not in powers:
+                h = powers[k]
+                powers[2 * k] = _mixed(h[:-k] * np.uint64(3) + h[k:] + np.uint64(2 * k))
+            k *= 2
+        if k < length:
+            h, step = powers[k], length - k
+            yield length, _mixed(h[:-step] * np.uint64(5) + h[step:] + np.uint64(length))
+        else:
+            yield length, powers[k]
+
+
+def _parts(texts: list[Optional[str]]) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about HELD characters (null: empty), each with the number of its first."""
+    part: list[str] = []
+    first = size = 0
+    for k, t in enumerate(texts):
+        part.append(t or "")
+        size += len(part[-1])
+        if size >= HELD:
+            yield first, part
+            part, first, size = [], k + 1, 0
+    if part:
+        yield first, part
+
+
+def _joined_windows(texts: list[str], lengths: Iterable[int], fold: bool, wanted=None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """length, text number, gram of each window inside a text (of those that ``wanted`` says), the texts hashed as one string."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends, owner = np.cumsum(sizes), np.repeat(np.arange(len(texts)), sizes)
+    for length, h in _windows(_codes("".join(texts), fold), lengths):
+        at = np.arange(len(h)) if wanted is None else np.flatnonzero(wanted(h))
+        at = at[at + length <= ends[owner[at]]]
+        yield length, owner[at], h[at]
+
+
 def _place(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = h * np.uint64(0xBF58476D1CE4E5B9)
     return (x >> np.uint64(64 - SLOT_BITS)).astype(np.int64), (x >> np.uint64(20)) & np.uint64(63)
@@ -73,21 +121,31 @@ class _Filter:
     def __getstate__(self):
         return {**self.__dict__, "_dense": None}
 
-    def found(self, text: str) -> np.ndarray:
-        """Distinct hashes of the text's grams that the filter has."""
+    def _has(self, h: np.ndarray) -> np.ndarray:
+        slot, bit = _place(h)
+        return (self._dense[slot] >> bit & np.uint64(1)).astype(bool)
+
+    def found(self, texts: list[Optional[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Text number and gram, in this order, of the distinct grams of each text that the filter has."""
         if self._dense is None:
             self._dense = np.zeros(1 << SLOT_BITS, np.uint64)
             self._dense[self.slots] = self.bits
-        out = []
-        for length in self.lengths:
-            h = _grams(text, length, self.fold)
-            slot, bit = _place(h)
-            out.append(np.unique(h[(self._dense[slot] >> bit & np.uint64(1)).astype(bool)]))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        rows, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for first, part in _parts(texts):
+            hits = [x for x in _joined_windows(part, self.lengths, self.fold, self._has)]
+            if hits:
+                row, gram = (np.concatenate([x[k] for x in hits]) for k in (1, 2))
+                order = np.lexsort((gram, row))
+                row, gram = row[order], gram[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+                rows.append(row[new] + first)
+                grams.append(gram[new])
+        return np.concatenate(rows), np.concatenate(grams)
 
 
 def _filter_of(grams: DataFrame, fold: bool) -> _Filter:
-    """``grams`` has gram (hash) and length (at most GRAM); at most 2 ** SLOT_BITS rows reach the driver."""
+    """``grams`` has gram (hash) and length (one of LENGTHS); at most 2 ** SLOT_BITS rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +156,7 @@ def _filter_of(grams: DataFrame, fold: bool) -> _Filter:
     placed = grams.select("gram", "length").mapInArrow(run, "slot long, bits long, lengths long")
     words = placed.groupBy("slot").agg(F.bit_or("bits").alias("bits"), F.bit_or("lengths").alias("lengths")).toArrow()
     used = int(np.bitwise_or.reduce(words["lengths"].to_numpy(), initial=0))
-    return _Filter(words["slot"].to_numpy(), words["bits"].to_numpy().view(np.uint64), [k for k in range(1, GRAM + 1) if used >> k & 1], fold)
+    return _Filter(words["slot"].to_numpy(), words["bits"].to_numpy().view(np.uint64), [k for k in LENGTHS if used >> k & 1], fold)
 
 
 def _value_grams(values: DataFrame, fold: bool) -> DataFrame:
@@ -106,15 +164,13 @@ def _value_grams(values: DataFrame, fold: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, grams, lengths = [], [], []
-            for i, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                length = min(GRAM, len(value))
-                h = np.unique(_grams(value, length, fold))
-                ids.append(np.full(len(h), i))
-                grams.append(h.view(np.int64))
-                lengths.append(np.full(len(h), length))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, grams, lengths)], names=["id", "gram", "length"])
+            ids, values = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            reached = np.array([_gram_length(len(v)) for v in values], np.int64)
+            for length in np.unique(reached).tolist():
+                mine = np.flatnonzero(reached == length)
+                for _, row, gram in _joined_windows([values[k] for k in mine], [length], fold):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[mine[row]]), pa.array(gram.view(np.int64)), pa.array(np.full(len(gram), length))],
+                                                     names=["id", "gram", "length"])
 
     return values.select("id", "value").mapInArrow(run, "id long, gram long, length long")
 
@@ -124,8 +180,7 @@ def _document_counts(texts: DataFrame, known: _Filter) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [known.found(t.as_py()) for t in batch.column(0) if t.is_valid]
-            grams, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
+            grams, n = np.unique(known.found(batch.column(0).to_pylist())[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], names=["gram", "df"])
 
     return texts.mapInArrow(run, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
@@ -146,7 +201,7 @@ def candidates(df: DataFrame, values: DataFrame, text_col: str, fold: bool, fiel
     """(rows of ``df`` with an array ``out_col`` of the values that may occur, rows without any).
 
     ``values`` has value (not empty) and ``fields``; the array holds structs of ``fields``.  With ``by`` (a column of both) a
-    row meets the values of its own group only.  Rows with anchors are checkpointed.
+    row meets the values of its own group only.  Rows are checkpointed with their anchors.
     """
     group = [by] if by else []
     values = materialize(values.withColumn("id", F.monotonically_increasing_id()))
@@ -157,16 +212,17 @@ def candidates(df: DataFrame, values: DataFrame, text_col: str, fold: bool, fiel
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [known.found(t.as_py()).view(np.int64) if t.is_valid else np.zeros(0, np.int64) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=schema.names)
-
-    noted = df.mapInArrow(run, schema)
-    rows = materialize(noted.where(F.size("_grams") > 0).withColumn("_row", F.monotonically_increasing_id()))
-    owned = own.select("id", "gram").join(values.select("id", *group), "id") if by else own.select("id", "gram")
-    listed = rows.select("_row", *group, F.explode("_grams").alias("gram")).join(owned, ["gram", *group]).select("_row", "id")
-    listed = listed.join(values.select("id", F.struct(*fields).alias("v")), "id").groupBy("_row").agg(F.collect_list("v").alias(out_col))
+            row, gram = known.found(batch.column(at).to_pylist())
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(gram.view(np.int64)))], names=schema.names)
+
+    # noted once: rows with and without anchors are read from it, the latter as they are
+    noted = materialize(df.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()))
+    rows = noted.where(F.size("_grams") > 0)
+    owned = own.select("id", "gram").join(values.select("id", *group, F.struct(*fields).alias("v")), "id").drop("id")
+    listed = rows.select("_row", *group, F.explode("_grams").alias("gram")).join(owned, ["gram", *group]).groupBy("_row").agg(F.collect_list("v").alias(out_col))
     some = rows.drop("_grams").join(listed, "_row", "left").drop("_row")
-    return some, noted.where(F.size("_grams") == 0).drop("_grams")
+    return some, noted.where(F.size("_grams") == 0).drop("_grams", "_row")
 
 
 def with_row_literals(df: DataFrame, literals: DataFrame, text_col: str = "text", value_col: str = "value",

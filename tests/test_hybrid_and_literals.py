@@ -131,3 +131,14 @@ def test_many_literals_cost_no_plan(spark):
     res = M.mask_rows(L.with_row_literals(df, table), options=MaskOptions(engines="llm"), literals_col="_literals")
     assert {r.masked_text for r in res.masked.collect()} == {"Order [CUSTOM:1]is here"}
     assert len(res.masked._jdf.queryExecution().optimizedPlan().toString()) < 200_000
+
+
+def test_long_literals_meet_their_own_rows_only(spark):
+    """Names that share every short gram: the anchor of a long value is long, and texts are noted once."""
+    name = F.concat(F.lit("Customer#"), F.lpad((F.col("id") * 37).cast("string"), 9, "0"))
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Client "), name, F.lit(" owes 00011100")).alias("text"))
+    found = L.with_row_literals(df, spark.range(3000).select(F.upper(name).alias("value")))
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.c for r in found.select(F.size("_literals").alias("c")).collect()} == {1}
+    short = L.with_row_literals(df, spark.createDataFrame([("t",), ("customer",), ("CLIENT CUSTOMER#00",), ("nt c",)], "value string"))
+    assert {r.c for r in short.select(F.size("_literals").alias("c")).collect()} == {4}
