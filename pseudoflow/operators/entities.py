@@ -2,7 +2,7 @@
 
 * N1 ``extract_entities``: the user's extractor runs per chunk, chunks of a document in order,
   entities found so far handed to the next call.  All chunks of a document live in one row,
-  so this is a ``mapInPandas`` over document rows — documents in parallel, no shuffle.
+  so this is a ``mapInArrow`` over document rows — documents in parallel, no shuffle.
   ``extract_in_rows`` gives the merged list and the status in the row itself, for masking that goes on from there.
 * N2 ``parse_model_replies``: stored model replies -> entities, with variant functions.
 * N3 ``merge_entities`` / ``entity_lists``: dedupe on (type, value), first occurrence order.
@@ -12,14 +12,14 @@
 
 from __future__ import annotations
 
-from typing import Callable, Iterable, Iterator, Optional
+from typing import Callable, Iterable
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pseudoflow.functions.arrow import in_pieces
 from pseudoflow.operators.chunks import DEFAULT_MAX_LEN, chunks_expr
 from pseudoflow.operators.segments import trim_js
 
@@ -67,23 +67,22 @@ def extract_in_rows(df: DataFrame, extractor: Extractor, text_col: str, max_len:
     entity = T.StructType([T.StructField("type", T.StringType()), T.StructField("value", T.StringType())])
     schema = T.StructType([*df.schema.fields, T.StructField("_entities", T.ArrayType(entity)), T.StructField("ner_status", T.StringType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         kind = pa.list_(pa.struct([("type", pa.string()), ("value", pa.string())]))
-        for batch in batches:
-            lists, states = [], []
-            for chunks in batch.column(at):
-                rows = _run_document("", chunks.as_py() or [], extractor)
-                found: dict[tuple[str, str], dict] = {}
-                for r in rows:
-                    if r[2] == "entity":
-                        found.setdefault((r[4], r[5].strip(JS_SPACE)), {"type": r[4], "value": r[5]})
-                calls = [r for r in rows if r[2] == "chunk"]
-                states.append("ready" if any(r[6] for r in calls) else "warming_up" if any(r[7] for r in calls) else "disabled")
-                lists.append(list(found.values()))
-            cols = [batch.column(i) for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lists, kind), pa.array(states, pa.string())], names=schema.names)
-
-    return src.mapInArrow(run, schema)
+        lists, states = [], []
+        for chunks in batch.column(at):
+            rows = _run_document("", chunks.as_py() or [], extractor)
+            found: dict[tuple[str, str], dict] = {}
+            for r in rows:
+                if r[2] == "entity":
+                    found.setdefault((r[4], r[5].strip(JS_SPACE)), {"type": r[4], "value": r[5]})
+            calls = [r for r in rows if r[2] == "chunk"]
+            states.append("ready" if any(r[6] for r in calls) else "warming_up" if any(r[7] for r in calls) else "disabled")
+            lists.append(list(found.values()))
+        cols = [batch.column(i) for i in range(batch.num_columns) if i != at]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(lists, kind), pa.array(states, pa.string())], names=schema.names)
+
+    return src.mapInArrow(in_pieces(run), schema)
 
 
 def extract_entities(df: DataFrame, extractor: Extractor, text_col: str = "text", key_col: str = "doc_id",
@@ -97,15 +96,17 @@ def extract_entities(df: DataFrame, extractor: Extractor, text_col: str = "text"
     """
     src = df.select(F.col(key_col).cast("string").alias("doc_key"), chunks_expr(F.col(text_col), max_len).alias("chunks"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = [c.split()[0] for c in RESULT_SCHEMA.split(", ")]
-        for pdf in batches:
-            out: list[tuple] = []
-            for key, chunks in zip(pdf["doc_key"], pdf["chunks"]):
-                out.extend(_run_document(key, list(chunks) if chunks is not None else [], extractor))
-            yield pd.DataFrame(out, columns=cols)
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    fields = [(name, kinds[kind]) for name, kind in (c.split() for c in RESULT_SCHEMA.split(", "))]
 
-    out = src.mapInPandas(run, RESULT_SCHEMA)
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for key, chunks in zip(batch.column(0), batch.column(1)):
+            out.extend(_run_document(key.as_py(), chunks.as_py() or [], extractor))
+        columns = list(zip(*out)) or [()] * len(fields)
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields)], names=[name for name, _ in fields])
+
+    out = src.mapInArrow(in_pieces(run), RESULT_SCHEMA)
     if persist:
         from pseudoflow.session import materialize
         out = materialize(out)

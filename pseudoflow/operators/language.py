@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pseudoflow.functions.arrow import give_back, in_pieces
 from pseudoflow.operators.segments import trim_js
 
 # Decision constants and the code map of supported packs.
@@ -64,14 +65,16 @@ def train_language_profiles(df: DataFrame, text_col: str = "text", lang_col: str
         held: dict[str, list[np.ndarray]] = {}
         size = 0
         for batch in batches:
-            for code, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for code, text in zip(batch.column(0), batch.column(1)):
                 grams = _packed(text.as_py())
-                held.setdefault(code, []).append(grams)
+                held.setdefault(code.as_py(), []).append(grams)
                 size += len(grams)
                 if size > HELD:
                     yield from (counted(c, g) for c, g in held.items())
                     held, size = {}, 0
         yield from (counted(c, g) for c, g in held.items())
+        held = {}
+        give_back()
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,10 +104,11 @@ def _profile_arrays(profiles: DataFrame, top_k: int) -> list[tuple[str, np.ndarr
 
 
 def _distances(df: DataFrame, profiles: DataFrame, text_col: str, top_k: int) -> DataFrame:
-    """``df`` with ``_dist`` (array of distance, code; nearest first; null without three letters or profiles) and ``_chars``."""
+    """``df`` without its text, with ``_dist`` (array of distance, code; nearest first; null without three letters or profiles) and ``_chars``."""
     known = _profile_arrays(profiles, top_k)
     text = normalized(F.col(text_col))
-    src = df.withColumn("_chars", F.length(trim_js(F.col(text_col)))).withColumn("_t", F.when(F.length(text) >= 3, text))
+    # only the normalized text goes to the tasks' Python
+    src = df.withColumn("_chars", F.length(trim_js(F.col(text_col)))).withColumn("_t", F.when(F.length(text) >= 3, text)).drop(text_col)
     at = src.columns.index("_t")
     one = T.StructType([T.StructField("distance", T.LongType()), T.StructField("code", T.StringType())])
     schema = T.StructType([f for f in src.schema.fields if f.name != "_t"] + [T.StructField("_dist", T.ArrayType(one))])
@@ -119,14 +123,13 @@ def _distances(df: DataFrame, profiles: DataFrame, text_col: str, top_k: int) ->
             out.append((int(np.where(grams[i] == gram, np.abs(place - ranks[i]), top_k).sum()), code))
         return [{"distance": d, "code": c} for d, c in sorted(out)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         kind = pa.list_(pa.struct([("distance", pa.int64()), ("code", pa.string())]))
-        for batch in batches:
-            found = [distances(t.as_py()) if known and t.is_valid else None for t in batch.column(at)]
-            cols = [batch.column(i) for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(found, kind)], names=schema.names)
+        found = [distances(t.as_py()) if known and t.is_valid else None for t in batch.column(at)]
+        cols = [batch.column(i) for i in range(batch.num_columns) if i != at]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(found, kind)], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(in_pieces(run), schema)
 
 
 def _scores(top_k: int) -> Column:

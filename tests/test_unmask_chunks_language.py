@@ -146,3 +146,20 @@ def test_leak_check_and_token_shaped_inputs(spark):
     leaks = {(r.doc_id, r.leaked_value) for r in U.leak_check(res.masked, h).collect()}
     assert leaks == {(2, "4111111111111111")}  # the copy glued to a word is not a hit
     assert [r.doc_id for r in U.token_shaped_inputs(df).collect()] == [3]
+
+
+def test_a_task_works_on_small_pieces_of_a_batch(spark):
+    """Of any Arrow batch only some rows are Python objects at a time; the rows and their order stay."""
+    import pyarrow as pa
+
+    from pseudoflow.functions.arrow import ROWS, in_pieces
+
+    sizes = []
+
+    def run(batch):
+        sizes.append(batch.num_rows)
+        return batch
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n))], names=["a"]) for n in (1000, 0, 1)]
+    out = list(in_pieces(run)(iter(batches)))
+    assert max(sizes) <= ROWS and [x for b in out for x in b.column(0).to_pylist()] == [*range(1000), 0]
