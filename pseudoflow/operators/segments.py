@@ -9,17 +9,20 @@ A pass (one rule, one literal, one entity) splits every plain piece with the pas
 * hits rejected by the validator are glued back to their neighbours, so a later pass can match
   across them; accepted hits become hit pieces that later passes never look into.
 
-Everything is a built-in higher-order function, evaluated in the JVM.  ``let`` binds an
+Everything but the entity passes is a built-in higher-order function, evaluated in the JVM.  ``let`` binds an
 intermediate array once (Spark does not share sub-expressions inside lambdas).
 """
 
 from __future__ import annotations
 
-from typing import Callable, Iterable, Optional
+import re
+from typing import Callable, Iterable, Iterator, Optional
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pseudoflow.functions.arrow import ROWS, give_back
 from pseudoflow.functions.hof import let
 from pseudoflow.functions.regex import LITERAL_META_CLASS, TOKEN_PATTERN
 from pseudoflow.functions.rules import Rule
@@ -178,19 +181,54 @@ def entity_passes(segs: Column, entities: Column, first_pass: Column | int) -> C
     ents = F.filter(entities, lambda e: F.length(trim_js(e["value"])) > 0)
     keyed = F.transform(ents, lambda e, i: F.struct((-F.length(e["value"])).alias("k"), i.alias("i"),
                                                     e["type"].alias("type"), trim_js(e["value"]).alias("v")))
-    ordered = F.transform(F.array_sort(keyed), lambda x, j: F.struct(
-        x["type"].alias("type"), x["v"].alias("v"), j.alias("j"), escape_literal(x["v"]).alias("re")))
     base = F.lit(first_pass) if isinstance(first_pass, int) else first_pass
+    ordered = F.transform(F.array_sort(keyed), lambda x, j: F.struct(x["type"].alias("tag"), x["v"].alias("txt"), (base + j).cast("long").alias("pass_no")))
+    return F.arrow_udf(_entities_replaced, SEG_DDL)(segs, ordered)
 
-    def run(v: Column) -> Column:
-        # case-sensitive containment is exactly the match condition: absent entities never run
-        return let({"text": _full_text(v["segs"])}, lambda w: F.aggregate(
-            F.filter(ordered, lambda x: F.instr(w["text"], x["v"]) > 0),
-            v["segs"],
-            lambda acc, x: apply_pass(acc, x["re"], x["type"], base + x["j"]),
-        ))
 
-    return let({"segs": segs}, run)
+# A mark is three surrogates: no text holds them, so no entity can match in one.
+MARK_BASE = 0x800
+_MARK = re.compile("([\ud800-\udfff]{3})")
+
+
+def _mark(n: int) -> str:
+    return chr(0xD800 + n // MARK_BASE ** 2) + chr(0xD800 + n // MARK_BASE % MARK_BASE) + chr(0xD800 + n % MARK_BASE)
+
+
+def _with_entities(segs: list[dict], ents: list[dict]) -> list[dict]:
+    """The passes of one row: the text is one string in which hits stand as marks, so a pass is one ``replace``.
+
+    Mark 0 parts two plain pieces; mark k stands for the k-th of the row's pieces and entities.
+    """
+    known = [None, *segs, *ents]
+    text = "".join(_mark(k) if s["tag"] is not None or not s["txt"] else s["txt"] + _mark(0) for k, s in enumerate(segs, 1))
+    for k, e in enumerate(ents, len(segs) + 1):
+        # a hit without a type stays plain text, in a piece of its own
+        text = text.replace(e["txt"], _mark(k) if e["tag"] is not None else _mark(0) + e["txt"] + _mark(0))
+    out: list[dict] = []
+    for i, part in enumerate(_MARK.split(text)):
+        if i % 2 == 0:
+            if part:
+                out.append({"tag": None, "txt": part, "pass_no": None})
+        else:
+            a, b, c = (ord(x) - 0xD800 for x in part)
+            if k := (a * MARK_BASE + b) * MARK_BASE + c:
+                out.append(known[k])
+    return out
+
+
+def _entities_replaced(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    kind = pa.list_(pa.struct([("tag", pa.string()), ("txt", pa.string()), ("pass_no", pa.int64())]))
+
+    def row(segs, ents):
+        segs, ents = segs.as_py(), ents.as_py()
+        return None if segs is None or ents is None else _with_entities(segs, ents) if ents else segs
+
+    for segs, ents in batches:
+        pieces = [pa.array([row(*x) for x in zip(segs[at : at + ROWS], ents[at : at + ROWS])], kind) for at in range(0, len(segs), ROWS)]
+        yield pa.concat_arrays(pieces) if pieces else pa.array([], kind)
+        del segs, ents, pieces
+        give_back()
 
 
 def trim_js(c: Column) -> Column:

@@ -142,3 +142,23 @@ def test_long_literals_meet_their_own_rows_only(spark):
     assert {r.c for r in found.select(F.size("_literals").alias("c")).collect()} == {1}
     short = L.with_row_literals(df, spark.createDataFrame([("t",), ("customer",), ("CLIENT CUSTOMER#00",), ("nt c",)], "value string"))
     assert {r.c for r in short.select(F.size("_literals").alias("c")).collect()} == {4}
+
+
+def test_many_entities_of_a_long_text_are_replaced_in_time(spark):
+    """A text of 6,000 names: passes longest first, none inside a hit, digits and brackets are plain characters."""
+    import time
+
+    from pseudoflow.operators import segments as S
+
+    names = [f"Name{i}" for i in range(6000)]
+    text, ents = " ".join(names), [("PERSON", n) for n in names] + [("ORG", "Name1 Name2"), ("ORG", "[x](1)")]
+    rows = spark.createDataFrame([(text, ents), ("b Name1 Name2 [x](1) Name13", ents), ("", ents), (None, ents), ("Name1", None), ("Name1", [])],
+                                 "text string, ents array<struct<type: string, value: string>>")
+    segs = S.entity_passes(S.initial_segments(F.col("text")), F.col("ents"), 100)
+    began = time.time()
+    got = [r[0] for r in rows.select(segs).collect()]
+    assert time.time() - began < 20
+    plain = [[s["txt"] if s["tag"] is None else (s["tag"], s["txt"]) for s in r] if r is not None else None for r in got]
+    assert "".join(s["txt"] for s in got[0]) == text
+    assert plain[0][:4] == [("PERSON", "Name0"), " ", ("ORG", "Name1 Name2"), " "] and plain[0][4::2] == [("PERSON", n) for n in names[3:]]
+    assert plain[1:] == [["b ", ("ORG", "Name1 Name2"), " ", ("ORG", "[x](1)"), " ", ("PERSON", "Name13")], [""], None, None, ["Name1"]]
