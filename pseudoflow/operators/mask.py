@@ -72,7 +72,7 @@ def segment(df: DataFrame, text_col: str = "text", *, options: MaskOptions = Mas
         segs = S.literal_passes(segs, lits, LITERAL_PASS_BASE)
     if entities_col and options.engines in ("llm", "hybrid"):
         ents = F.coalesce(F.col(entities_col), F.array().cast("array<struct<type:string,value:string>>"))
-        segs = S.entity_passes(segs, ents, ENTITY_PASS_BASE)
+        return S.with_entity_passes(df.withColumn(out_col, segs), out_col, ents, ENTITY_PASS_BASE)
     return df.withColumn(out_col, segs)
 
 
@@ -196,8 +196,8 @@ def mask_with_extractor(df: DataFrame, extractor, text_col: str = "text", key_co
         numbered = texts
     numbered = numbered.withColumn("_text", S.render(F.col("segs")))
     asked = materialize(extract_in_rows(numbered, extractor, "_text", max_len))
-    ents = F.col("_entities")
-    segs = S.entity_passes(F.col("segs"), ents, ENTITY_PASS_BASE)
+    asked = S.with_entity_passes(asked, "segs", F.col("_entities"), ENTITY_PASS_BASE)
+    segs = F.col("segs")
     out_cols = [key_col, "session_id", *keep_cols]
     if session_col is None:
         final = asked.withColumn("_n", S.pieces_and_numbering(S.only_new_hits(segs)))
@@ -206,7 +206,7 @@ def mask_with_extractor(df: DataFrame, extractor, text_col: str = "text", key_co
         both = F.concat(F.col("_numbered"), F.col("_n.numbered"))
         mapping = final.select("session_id", F.explode(both).alias("m")).select("session_id", "m.tag", "m.n", S.token_text(F.col("m.tag"), F.col("m.n")).alias("token"), F.col("m.txt").alias("value"))
         return MaskResult(masked, mapping)
-    rows, mapping, added = _number_rows(asked.withColumn("segs", segs), key_col, order_col, [*keep_cols, "ner_status"], strategy, known)
+    rows, mapping, added = _number_rows(asked, key_col, order_col, [*keep_cols, "ner_status"], strategy, known)
     masked = rows.select(*out_cols, S.render(F.col("segs")).alias("masked_text"), "ner_status")
     return MaskResult(masked, mapping, added)
 

@@ -16,13 +16,14 @@ intermediate array once (Spark does not share sub-expressions inside lambdas).
 from __future__ import annotations
 
 import re
-from typing import Callable, Iterable, Iterator, Optional
+from typing import Callable, Iterable, Optional
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pseudoflow.functions.arrow import ROWS, give_back
+from pseudoflow.functions.arrow import in_pieces
 from pseudoflow.functions.hof import let
 from pseudoflow.functions.regex import LITERAL_META_CLASS, TOKEN_PATTERN
 from pseudoflow.functions.rules import Rule
@@ -176,14 +177,27 @@ def literal_passes(segs: Column, literals: Column, first_pass: Column | int) ->
     return let({"segs": segs}, run)
 
 
-def entity_passes(segs: Column, entities: Column, first_pass: Column | int) -> Column:
-    """Case-sensitive entity passes, sorted by untrimmed length (longest first), value trimmed."""
+def with_entity_passes(df: DataFrame, segs_col: str, entities: Column, first_pass: int) -> DataFrame:
+    """``df`` with case-sensitive entity passes done in ``segs_col``, sorted by untrimmed length (longest first), value
+    trimmed.  The other columns pass through as Arrow data; nothing is shuffled."""
     ents = F.filter(entities, lambda e: F.length(trim_js(e["value"])) > 0)
     keyed = F.transform(ents, lambda e, i: F.struct((-F.length(e["value"])).alias("k"), i.alias("i"),
                                                     e["type"].alias("type"), trim_js(e["value"]).alias("v")))
-    base = F.lit(first_pass) if isinstance(first_pass, int) else first_pass
-    ordered = F.transform(F.array_sort(keyed), lambda x, j: F.struct(x["type"].alias("tag"), x["v"].alias("txt"), (base + j).cast("long").alias("pass_no")))
-    return F.arrow_udf(_entities_replaced, SEG_DDL)(segs, ordered)
+    ordered = F.transform(F.array_sort(keyed), lambda x, j: F.struct(
+        x["type"].alias("tag"), x["v"].alias("txt"), (j + first_pass).cast("long").alias("pass_no")))
+    at, width = df.columns.index(segs_col), len(df.columns)
+    schema = T.StructType([T.StructField(f.name, T.DataType.fromDDL(SEG_DDL)) if i == at else f for i, f in enumerate(df.schema.fields)])
+    kind = pa.list_(pa.struct([("tag", pa.string()), ("txt", pa.string()), ("pass_no", pa.int64())]))
+
+    def row(segs: list[dict] | None, ents: list[dict] | None) -> list[dict] | None:
+        return None if segs is None or ents is None else _with_entities(segs, ents) if ents else segs
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cols = [batch.column(i) for i in range(width)]
+        cols[at] = pa.array([row(s.as_py(), e.as_py()) for s, e in zip(cols[at], batch.column(width))], kind)
+        return pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return df.select("*", ordered.alias("_ordered_entities")).mapInArrow(in_pieces(run), schema)
 
 
 # A mark is three surrogates: no text holds them, so no entity can match in one.
@@ -217,20 +231,6 @@ def _with_entities(segs: list[dict], ents: list[dict]) -> list[dict]:
     return out
 
 
-def _entities_replaced(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    kind = pa.list_(pa.struct([("tag", pa.string()), ("txt", pa.string()), ("pass_no", pa.int64())]))
-
-    def row(segs, ents):
-        segs, ents = segs.as_py(), ents.as_py()
-        return None if segs is None or ents is None else _with_entities(segs, ents) if ents else segs
-
-    for segs, ents in batches:
-        pieces = [pa.array([row(*x) for x in zip(segs[at : at + ROWS], ents[at : at + ROWS])], kind) for at in range(0, len(segs), ROWS)]
-        yield pa.concat_arrays(pieces) if pieces else pa.array([], kind)
-        del segs, ents, pieces
-        give_back()
-
-
 def trim_js(c: Column) -> Column:
     """JavaScript ``trim()``: strip all (Unicode) whitespace at both ends."""
     from pseudoflow.functions.regex import WS_BODY
