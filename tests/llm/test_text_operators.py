@@ -235,6 +235,21 @@ def test_repeats_of_tables(request, which):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in found)
 
 
+def test_passages_count_by_bytes_not_words(spark):
+    """A passage of 60 words stays if it has fewer than 400 bytes; n_bytes is the length of the document in any case."""
+    rng = np.random.default_rng(8)
+    words = lambda n, size: " ".join("".join(rng.choice(list("abcdefgh"), size)) for _ in range(n))
+    short, exact, long = words(60, 5), words(60, 5)[:359] + "k" * 41, words(60, 8)
+    assert (len(short), len(exact), len(long)) == (359, 400, 539)
+    texts = [f"{words(30, 6)} {i} {x} {9 - i} {words(30, 6)}" for i, x in enumerate([short, short, exact, exact, long, long])] + [words(90, 6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [tuple(r)[1:5] for r in sorted(suffix_dedup.remove(df).collect())]
+    assert found == brute_repeats(texts, 400)
+    assert [r[0] for r in found] == [len(t) for t in texts]
+    assert [r[1] for r in found[:2]] + [found[6][1]] == [0, 0, 0]
+    assert all(400 <= r[1] <= 404 for r in found[2:4]) and all(539 <= r[1] <= 543 for r in found[4:6])
+
+
 def test_merge_keeps_no_place_twice():
     contexts = [b"a" * 30, b"b" * 12, bytes(range(40))]
     marks = suffix_dedup.repeated_strings(contexts, np.array([1, 2, 1]), 10, 25)
