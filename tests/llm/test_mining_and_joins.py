@@ -92,6 +92,21 @@ def test_counted_windows_are_merged_and_passed_on(docs, monkeypatch):
     assert run["small"] == plain and len(plain) > 100
 
 
+def test_windows_grow_with_words_not_with_pairs_of_rows(spark):
+    """At most one counted window a word; a group of equal texts gives each task the windows of one text."""
+    rng = np.random.default_rng(3)
+    text = " ".join(rng.choice(list("abcdefghij"), 400)).encode()
+    everything = (np.arange(1 << collocations.SLOT_BITS), np.full(1 << collocations.SLOT_BITS, 2**64 - 1, np.uint64))
+    made = {}
+    for copies, tasks in [(1, 1), (40, 1), (400, 1), (400, 4)]:
+        df = spark.createDataFrame([(b"en", text)] * copies, "lang binary, text binary").repartition(tasks)
+        for order, known in [(2, 0), (3, 2), (5, 3)]:
+            rows = collocations.windows(df, order, known, everything if known else None).collect()
+            made[copies, tasks, order] = len(rows)
+            assert sum(r.n for r in rows) == copies * (400 - known) and len(rows) <= tasks * 400
+    assert all(made[400, 1, k] == made[40, 1, k] == made[1, 1, k] and made[400, 4, k] <= 4 * made[1, 1, k] for k in (2, 3, 5))
+
+
 def test_scores_beyond_64_bits(spark):
     text = " ".join(["p q"] * 3000 + ["z"] * 4000)
     df = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").withColumn("text", F.col("text"))
